@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesync.functions.columns import quoted, resolve_key
 from tablesync.functions.text import key_text, md5_hex, text_of
@@ -36,16 +37,46 @@ def tagged_row_text(df: DataFrame, columns: list[str] | None = None, float_scale
 
 
 def row_hash(
-    df: DataFrame, key: Key, columns: list[str] | None = None, float_scale: int | None = None, tagged: bool = False
+    df: DataFrame, key: Key, columns: list[str] | None = None, float_scale: int | None = None
 ) -> DataFrame:
     """``(key columns, row_hash)`` for every row; a narrow projection without a shuffle."""
-    text = (tagged_row_text if tagged else row_text)(df, columns, float_scale)
+    text = row_text(df, columns, float_scale)
     return df.select(*[quoted(k) for k in resolve_key(df, key)], md5_hex(text).alias("row_hash"))
 
 
-def hash_word(hash_col: Column, word: int) -> Column:
-    """One 32-bit word (0..3) of an MD5 text as bigint; sums of it are safe up to 2^31 rows."""
-    return F.conv(F.substring(hash_col, word * 8 + 1, 8), 16, 10).cast("bigint")
+# Checksums add up words of at most 21 bits, so the sums are exact up to 2^42 rows in one group.
+WORDS = 3
+
+
+def md5_words(hash_col: Column) -> list[Column]:
+    """The first 60 bits of an MD5 text as words of five hex digits."""
+    return [F.conv(F.substring(hash_col, 5 * w + 1, 5), 16, 10).cast("bigint") for w in range(WORDS)]
+
+
+def value_words(df: DataFrame, columns: list[str], as_text: set[str]) -> list[Column]:
+    """63 bits of a 64-bit hash over the typed values, as words.
+
+    Several times cheaper than hashing text. NULL flags are part of the hash, since the hash function itself skips NULL.
+    Columns in ``as_text`` are hashed by their canonical text.
+    """
+    values, flags = [], []
+    for name in columns:
+        c = F.col(quoted(name))
+        values.append(text_of(c, df.schema[name].dataType) if name in as_text else c)
+        flags.append(c.isNull())
+    h = F.xxhash64(*values, *flags)
+    return [F.shiftrightunsigned(h, 21 * w).bitwiseAND(F.lit((1 << 21) - 1)) for w in range(WORDS)]
+
+
+def text_columns(src: DataFrame, dst: DataFrame, columns: list[str]) -> set[str]:
+    """Columns to compare by text: nested ones and those whose types differ between the sides."""
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    out = set()
+    for name in columns:
+        a, b = src.schema[name].dataType, dst.schema[name].dataType
+        if a.simpleString() != b.simpleString() or isinstance(a, nested):
+            out.add(name)
+    return out
 
 
 def combined(order_text: Column, hash_col: Column) -> Column:

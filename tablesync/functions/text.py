@@ -27,9 +27,12 @@ def _timestamp_text(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.TimestampType):
         epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
         c = F.timestamp_add("MICROSECOND", F.unix_micros(c), epoch)
-    text = F.translate(c.cast("string"), " ", "T")
-    dotted = F.when(F.instr(text, ".") > 0, text).otherwise(F.concat(text, F.lit(".")))
-    return F.rpad(dotted, 26, "0")
+    text = c.cast("string")  # no trailing zeros in the fraction, no session zone
+    fixed = F.concat(
+        F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8),
+        F.lit("."), F.rpad(F.substring(text, 21, 6), 6, "0"),
+    )
+    return F.when(F.substring(text, 5, 1) == "-", fixed).otherwise(text)  # years of four digits
 
 
 def _float_text(c: Column, dtype: T.DataType, scale: int | None) -> Column:
@@ -37,7 +40,8 @@ def _float_text(c: Column, dtype: T.DataType, scale: int | None) -> Column:
     exact = (c + F.lit(0.0).cast(dtype)).cast("string")  # -0.0 and 0.0 are the same value
     if scale is None:
         return exact
-    return F.coalesce(c.try_cast(T.DecimalType(38, scale)).cast("string"), exact)
+    decimals = [c.try_cast(T.DecimalType(p, scale)).cast("string") for p in (18, 38)]  # 18 digits are the fast case
+    return F.coalesce(*decimals, exact)
 
 
 def _nested(c: Column, dtype: T.DataType, scale: int | None) -> Column:

@@ -2,7 +2,7 @@
 
 All functions are lazy. Key sets are DataFrames and stay distributed. Without ``broadcast`` the join strategy is left to
 Catalyst and AQE (size statistics decide, skewed partitions are split); ``broadcast=True`` is for callers that have
-measured the key set, see :func:`measure_keys`.
+measured the key set, see :func:`measure_keys`; ``merge=True`` asks for a sort-merge join, whose output is partitioned by key.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def changed_keys(changes: DataFrame, key: Key) -> DataFrame:
     return changes.where(not_null_key(changes, key)).select(*[quoted(k) for k in keys]).distinct()
 
 
-def _typed_keys(keys: DataFrame, table: DataFrame, key: Key) -> DataFrame:
+def typed_keys(keys: DataFrame, table: DataFrame, key: Key) -> DataFrame:
     """Keys under the names and types of ``table``, so that the join compares plain columns of equal type."""
     out = []
     for k in key_list(key):
@@ -79,21 +79,27 @@ def _typed_keys(keys: DataFrame, table: DataFrame, key: Key) -> DataFrame:
     return keys.where(not_null_key(keys, key)).select(*out)
 
 
-def _key_join(table: DataFrame, keys: DataFrame, key: Key, how: str, broadcast: bool) -> DataFrame:
-    right = _typed_keys(keys, table, key)
+def _key_join(table: DataFrame, keys: DataFrame, key: Key, how: str, broadcast: bool, merge: bool) -> DataFrame:
+    right = typed_keys(keys, table, key)
     if broadcast:
         right = F.broadcast(right)
+    elif merge:
+        right = right.hint("merge")
     return table.join(right, resolve_key(table, key), how).select(*[quoted(c) for c in table.columns])
 
 
-def read_by_keys(table: DataFrame, keys: DataFrame, key: Key, broadcast: bool = False) -> DataFrame:
+def read_by_keys(
+    table: DataFrame, keys: DataFrame, key: Key, broadcast: bool = False, merge: bool = False
+) -> DataFrame:
     """Current rows whose key is in the set; keys absent from the table yield nothing."""
-    return _key_join(table, keys, key, "left_semi", broadcast)
+    return _key_join(table, keys, key, "left_semi", broadcast, merge)
 
 
-def delete_by_keys(target: DataFrame, keys: DataFrame, key: Key, broadcast: bool = False) -> DataFrame:
+def delete_by_keys(
+    target: DataFrame, keys: DataFrame, key: Key, broadcast: bool = False, merge: bool = False
+) -> DataFrame:
     """Rows whose key is not in the set. Rows with a NULL key stay."""
-    return _key_join(target, keys, key, "left_anti", broadcast)
+    return _key_join(target, keys, key, "left_anti", broadcast, merge)
 
 
 def replace_by_keys(

@@ -6,8 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.functions.columns import quoted, resolve_key, select_as, verify_columns
-from tablesync.functions.hashing import MAX_COMBINED_ROWS, combined, hash_word, row_hash
-from tablesync.functions.text import key_text, text_of
+from tablesync.functions.hashing import (
+    MAX_COMBINED_ROWS,
+    WORDS,
+    combined,
+    md5_words,
+    row_hash,
+    tagged_row_text,
+    text_columns,
+    value_words,
+)
+from tablesync.functions.text import key_text, md5_hex, text_of
 from tablesync.model import Key
 
 MATCH, DIFFERENT = "match", "different"
@@ -115,21 +124,25 @@ def verify_tail(
     return tail_summary(rows, key), mismatch_sample(rows, key)
 
 
-def key_bucket(df: DataFrame, key: Key, buckets: int) -> Column:
-    """Bucket number from the text of the key, so that both sides agree even if their key types differ."""
-    return F.pmod(
-        F.xxhash64(*[text_of(F.col(quoted(k)), df.schema[k].dataType) for k in resolve_key(df, key)]), F.lit(buckets)
-    ).cast("int")
+def key_bucket(df: DataFrame, key: Key, buckets: int, as_text: set[str] = frozenset()) -> Column:
+    """Bucket number of the key; by text where the key types of the sides differ, so that both agree."""
+    parts = []
+    for k in resolve_key(df, key):
+        c = F.col(quoted(k))
+        parts.append(text_of(c, df.schema[k].dataType) if k in as_text else c)
+    return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
 
 
-def _side_buckets(df: DataFrame, key: Key, cols: list[str], bucket: Column, side: str, scale: int | None) -> DataFrame:
-    text = row_hash(df.withColumn("__bucket", bucket), [*resolve_key(df, key), "__bucket"], cols, scale, tagged=True)
-    return text.select(
-        F.col("__bucket").alias(BUCKET),
-        F.lit(side == "src").alias("in_src"),
-        hash_word(F.col("row_hash"), 0).alias("w0"),
-        hash_word(F.col("row_hash"), 1).alias("w1"),
-    )
+def _words(df: DataFrame, cols: list[str], as_text: set[str], checksum: str, scale: int | None) -> list[Column]:
+    if checksum == "md5":
+        return md5_words(md5_hex(tagged_row_text(df, cols, scale)))
+    if checksum != "xxhash64":
+        raise ValueError(f"unknown checksum {checksum!r}")
+    return value_words(df, cols, as_text)
+
+
+def _named_words(words: list[Column]) -> list[Column]:
+    return [c.alias(f"w{i}") for i, c in enumerate(words)]
 
 
 def verify_buckets(
@@ -139,35 +152,33 @@ def verify_buckets(
     buckets: int = 4096,
     float_scale: int | None = None,
     bucket_of: Column | None = None,
+    checksum: str = "xxhash64",
 ) -> DataFrame:
     """Row count and checksum of both sides per key bucket.
 
     One scan per side and one small shuffle: every task reduces its rows to at most ``buckets`` partial sums, whatever
     the number of rows or the weight of one key. ``bucket_of`` replaces the hash bucket by an own expression.
+    ``checksum="md5"`` adds up words of the MD5 row hashes, which other engines can reproduce.
     """
     src, dst, cols = _sides(src, dst, key)
+    as_text = text_columns(src, dst, cols)
     parts = []
-    for df, side in ((src, "src"), (dst, "dst")):
-        bucket = bucket_of if bucket_of is not None else key_bucket(df, key, buckets)
-        parts.append(_side_buckets(df, key, cols, bucket, side, float_scale))
-    is_src, is_dst = F.col("in_src"), ~F.col("in_src")
-
-    def total(word: str, side: Column) -> Column:
-        return F.coalesce(F.sum(F.when(side, F.col(word))), F.lit(0))
-
+    for df, in_src in ((src, True), (dst, False)):
+        bucket = bucket_of if bucket_of is not None else key_bucket(df, key, buckets, as_text)
+        words = _words(df, cols, as_text, checksum, float_scale)
+        parts.append(df.select(bucket.alias(BUCKET), F.lit(in_src).alias("in_src"), *_named_words(words)))
+    sides = (("src", F.col("in_src")), ("dst", ~F.col("in_src")))
     grouped = parts[0].unionByName(parts[1]).groupBy(BUCKET).agg(
-        F.count_if(is_src).alias("src_rows"),
-        F.count_if(is_dst).alias("dst_rows"),
-        total("w0", is_src).alias("src_sum0"),
-        total("w1", is_src).alias("src_sum1"),
-        total("w0", is_dst).alias("dst_sum0"),
-        total("w1", is_dst).alias("dst_sum1"),
-    )
-    equal = (
-        (F.col("src_rows") == F.col("dst_rows"))
-        & (F.col("src_sum0") == F.col("dst_sum0"))
-        & (F.col("src_sum1") == F.col("dst_sum1"))
+        *[F.count_if(side).alias(f"{name}_rows") for name, side in sides],
+        *[
+            F.coalesce(F.sum(F.when(side, F.col(f"w{w}"))), F.lit(0)).alias(f"{name}_sum{w}")
+            for name, side in sides
+            for w in range(WORDS)
+        ],
     )
+    equal = F.col("src_rows") == F.col("dst_rows")
+    for w in range(WORDS):
+        equal = equal & (F.col(f"src_sum{w}") == F.col(f"dst_sum{w}"))
     return grouped.withColumn("equal", equal)
 
 
@@ -176,7 +187,12 @@ def differing_buckets(buckets: DataFrame) -> DataFrame:
 
 
 def verify_full(
-    src: DataFrame, dst: DataFrame, key: Key, buckets: int = 4096, float_scale: int | None = None
+    src: DataFrame,
+    dst: DataFrame,
+    key: Key,
+    buckets: int = 4096,
+    float_scale: int | None = None,
+    checksum: str = "xxhash64",
 ) -> DataFrame:
     """Every key that differs: ``(key, status)`` with missing_in_src, missing_in_dst or different.
 
@@ -187,34 +203,33 @@ def verify_full(
     """
     if not 0 < buckets <= MAX_BUCKETS:
         raise ValueError(f"buckets must be 1 to {MAX_BUCKETS}")
+    diff = F.broadcast(differing_buckets(
+        verify_buckets(src, dst, key, buckets, float_scale, checksum=checksum)
+    ))
     src, dst, cols = _sides(src, dst, key)
-    keys = resolve_key(dst, key)
-    diff = F.broadcast(differing_buckets(verify_buckets(src, dst, key, buckets, float_scale)))
+    as_text, keys = text_columns(src, dst, cols), resolve_key(dst, key)
     parts = []
-    for df, in_src in ((src, True), (dst, False)):
-        suspects = df.withColumn(BUCKET, key_bucket(df, keys, buckets)).join(diff, BUCKET, "left_semi").drop(BUCKET)
-        hashed = row_hash(suspects, keys, cols, float_scale, tagged=True)
-        sign = 1 if in_src else -1
-        parts.append(hashed.select(
+    for df, sign in ((src, 1), (dst, -1)):
+        bucket = key_bucket(df, keys, buckets, as_text)
+        suspects = df.withColumn(BUCKET, bucket).join(diff, BUCKET, "left_semi").drop(BUCKET)
+        words = [c * sign for c in _words(suspects, cols, as_text, checksum, float_scale)]
+        parts.append(suspects.select(
             *[F.col(quoted(k)).cast(dst.schema[k].dataType).alias(k) for k in keys],
-            F.lit(in_src).alias("in_src"),
-            *[(hash_word(F.col("row_hash"), w) * sign).alias(f"w{w}") for w in range(4)],
+            F.lit(sign).alias("side"),
+            *_named_words(words),
         ))
     per_key = parts[0].unionByName(parts[1]).groupBy(*[quoted(k) for k in keys]).agg(
-        F.count_if(F.col("in_src")).alias("n_src"),
-        F.count_if(~F.col("in_src")).alias("n_dst"),
-        *[F.sum(f"w{w}").alias(f"w{w}") for w in range(4)],
+        F.count_if(F.col("side") == 1).alias("n_src"),
+        F.count_if(F.col("side") == -1).alias("n_dst"),
+        *[F.sum(f"w{w}").alias(f"w{w}") for w in range(WORDS)],
     )
-    words_equal = F.lit(True)
-    for w in range(4):
-        words_equal = words_equal & (F.col(f"w{w}") == 0)
+    equal = F.col("n_src") == F.col("n_dst")
+    for w in range(WORDS):
+        equal = equal & (F.col(f"w{w}") == 0)
     status = (
-        F.when(F.col("n_src") == 0, MISSING_IN_SRC)
-        .when(F.col("n_dst") == 0, MISSING_IN_DST)
-        .when((F.col("n_src") != F.col("n_dst")) | ~words_equal, DIFFERENT)
-        .otherwise(MATCH)
+        F.when(F.col("n_src") == 0, MISSING_IN_SRC).when(F.col("n_dst") == 0, MISSING_IN_DST).otherwise(DIFFERENT)
     )
-    return per_key.select(*[quoted(k) for k in keys], status.alias("status")).where(F.col("status") != MATCH)
+    return per_key.where(~equal).select(*[quoted(k) for k in keys], status.alias("status"))
 
 
 def reconcile_counts(exported: DataFrame, imported: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ class RunResult:
     message: str
     records: int | None = None
     duration_ms: int | None = None
-    deleted: int = 0
+    deleted: int | None = None
     changes: int = 0
     keys: int = 0
     mismatches: int = 0
@@ -197,7 +197,8 @@ class SyncEngine:
             target.publish(staged)
         now = utc_now()
         self.store.update(mapping.mapping_id, last_cdc_lsn=end, last_cdc_sync_at=now, last_connected_at=now)
-        message = f"Change sync completed, {changes} changes, {staged.keys} keys, {staged.deleted} deleted, {arrived} imported"
+        deleted = "uncounted" if staged.deleted is None else staged.deleted
+        message = f"Change sync completed, {changes} changes, {staged.keys} keys, {deleted} deleted, {arrived} imported"
         return self._done(
             mapping, CDC, message, records=arrived, deleted=staged.deleted, changes=changes, keys=staged.keys
         )

@@ -1,14 +1,22 @@
 """Snapshot target: a Parquet table in key buckets whose versions are published atomically.
 
-Layout: ``<root>/data/<version folder>/tablesync_bucket=<b>/*.parquet`` and ``<root>/manifest/<n>.json``. A manifest names
-the folders that hold the current rows of every non-empty bucket. A pass writes the touched buckets into a new folder and
-publishes a new manifest last, so readers see the old table or the new one, never a mixture, and a failed pass leaves the
-table as it was. Untouched buckets are not rewritten. One writer per target at a time; a second one fails on publishing.
+Layout::
+
+    <root>/data/<folder>/tablesync_bucket=<b>/*.parquet    base rows
+    <root>/pending/<folder>/keys, .../rows                 keys replaced since, and their current rows
+    <root>/manifest/<n>.json                               which folders make up version n
+
+The table is ``(base without the pending keys) + pending rows``. A small pass only rewrites the pending part, so its cost
+does not depend on the size of the table. Once the pending keys outgrow the measured broadcast limit, a pass folds them into
+the base: the touched buckets are written into a new folder, untouched ones are not rewritten. The manifest is written last,
+so readers see the old table or the new one, never a mixture, and a failed pass leaves the table as it was. One writer per
+target at a time; a second one fails on publishing.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 from typing import Any
 
@@ -21,11 +29,11 @@ from tablesync.model import DEFAULT_FEED, FeedNames, Key, key_list
 from tablesync.operators.keyed import (
     BROADCAST_BYTES,
     KeyStats,
-    _typed_keys,
     delete_by_keys,
-    key_bytes,
+    measure_keys,
     put_rows,
     read_by_keys,
+    typed_keys,
 )
 from tablesync.sources.folders import Folder, VersionedDocument
 
@@ -38,12 +46,11 @@ class Staged:
     """A written but not yet published version."""
 
     number: int
-    folder: str
+    path: str | None
     document: dict[str, Any]
-    touched: list[int]
     kept: int
     fresh: int
-    deleted: int = 0
+    deleted: int | None = None
     keys: int = 0
 
 
@@ -51,7 +58,9 @@ class SnapshotTarget:
     """A versioned, bucketed Parquet table.
 
     ``buckets`` is the unit of rewriting, not of parallelism: a bucket may hold any number of files, and a hot bucket is
-    split over many write tasks. Choose it so that a bucket has some hundred MB to some GB.
+    split over many write tasks. Choose it so that a bucket has some hundred MB to some GB. A pass folds the pending part
+    into the base when its keys outgrow ``broadcast_bytes`` or its rows ``pending_rows``. ``count_deleted`` counts the rows
+    a pass replaces, which takes a scan of the key column.
     """
 
     def __init__(
@@ -61,11 +70,15 @@ class SnapshotTarget:
         key: Key,
         buckets: int = 64,
         broadcast_bytes: int = BROADCAST_BYTES,
-        compact_every: int = 16,
+        pending_rows: int = 10_000_000,
+        compact_every: int = 8,
+        count_deleted: bool = True,
     ):
         self.spark, self.root = spark, root.rstrip("/")
         self.key = key_list(key)
         self.buckets, self.broadcast_bytes, self.compact_every = buckets, broadcast_bytes, compact_every
+        self.pending_rows = pending_rows
+        self.count_deleted = count_deleted
         self._versions = VersionedDocument(Folder(spark, f"{self.root}/manifest"))
 
     # ---- reading -------------------------------------------------------------------------------------------------
@@ -86,17 +99,18 @@ class SnapshotTarget:
         return T.StructType.fromJson(self.manifest()[1]["schema"])
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The published table (or one of its earlier versions that is still kept)."""
+        """The published table (or one of its earlier versions that is still kept).
+
+        Pending keys are broadcast; they never exceed the limit a pass has measured.
+        """
         document = self.manifest()[1] if version is None else self._versions.read(version)
-        return self._scan(document, range(document["buckets"]))
+        base = self._base(document, range(document["buckets"]))
+        if not document["pending"]:
+            return base
+        keys, rows = self._pending(document)
+        return delete_by_keys(base, keys, self.key, broadcast=True).unionByName(rows)
 
-    def _scan(self, document: dict[str, Any], buckets) -> DataFrame:
-        schema = T.StructType.fromJson(document["schema"])
-        paths = [
-            f"{self.root}/data/{folder}/{BUCKET_COLUMN}={b}"
-            for b in buckets
-            for folder in document["data"].get(str(b), [])
-        ]
+    def _load(self, schema: T.StructType, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], schema)
         df = self.spark.read.schema(schema).parquet(*paths)
@@ -105,37 +119,65 @@ class SnapshotTarget:
                 df = df.withMetadata(f.name, f.metadata)
         return df
 
+    def _base(self, document: dict[str, Any], buckets: Iterable[int]) -> DataFrame:
+        paths = [
+            f"{self.root}/data/{folder}/{BUCKET_COLUMN}={b}"
+            for b in buckets
+            for folder in document["data"].get(str(b), [])
+        ]
+        return self._load(T.StructType.fromJson(document["schema"]), paths)
+
+    def _pending(self, document: dict[str, Any]) -> tuple[DataFrame, DataFrame]:
+        schema, pending = T.StructType.fromJson(document["schema"]), document["pending"]
+        key_schema = T.StructType([schema[k] for k in self._key_names(schema)])
+        path = f"{self.root}/pending/{pending['folder']}" if pending else None
+        return (
+            self._load(key_schema, [f"{path}/keys"] if path else []),
+            self._load(schema, [f"{path}/rows"] if path else []),
+        )
+
+    def _key_names(self, schema: T.StructType) -> list[str]:
+        return [next(f.name for f in schema.fields if f.name.lower() == k.lower()) for k in self.key]
+
     # ---- writing -------------------------------------------------------------------------------------------------
 
     def _bucket(self, df: DataFrame, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(*[F.col(quoted(k)) for k in resolve_key(df, self.key)]), F.lit(buckets)).cast("int")
+        """The hash Spark partitions by, so that a shuffle by key can also be a shuffle by bucket."""
+        return F.pmod(F.hash(*[F.col(quoted(k)) for k in resolve_key(df, self.key)]), F.lit(buckets)).cast("int")
 
-    def _write(self, kept: DataFrame | None, fresh: DataFrame, buckets: int, rebalance_kept: bool):
-        """Write rows by bucket; returns the folder, its buckets and the exact row counts.
+    def _aligned(self, buckets: int) -> bool:
+        """Whether a task of a shuffle by key holds rows of few buckets only, and needs no second shuffle to write."""
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return tasks % buckets == 0 or (buckets % tasks == 0 and buckets // tasks <= 16)
+
+    def _write_base(self, parts: list[tuple[DataFrame, bool, bool]], buckets: int) -> tuple[str, list[int], dict]:
+        """Write ``(rows, fresh, shuffle)`` parts by bucket; returns the folder, its buckets and exact row counts.
 
         ``rebalance`` hashes rows by bucket and lets AQE split a bucket that is too big for one task and merge small
-        ones. Kept rows that come straight from the bucket files are already clustered and skip this shuffle. The
-        counters sit in the last stage, where a task that is run again is not counted twice.
+        ones. Parts that are clustered by bucket already skip it. The counters sit in the last stage, where a task that
+        is run again is not counted twice.
         """
-        def placed(df: DataFrame, is_fresh: bool, shuffle: bool) -> DataFrame:
-            out = df.withColumn(BUCKET_COLUMN, self._bucket(df, buckets))
+        rows = None
+        for df, fresh, shuffle in parts:
+            part = df.withColumn(BUCKET_COLUMN, self._bucket(df, buckets))
             if shuffle:
-                out = out.hint("rebalance", BUCKET_COLUMN)
-            return out.withColumn(_FRESH, F.lit(is_fresh))
-
-        rows = placed(fresh, True, True)
-        if kept is not None:
-            rows = placed(kept, False, rebalance_kept).unionByName(rows)
-        seen = Observation()
-        rows = rows.observe(
-            seen, F.count_if(F.col(_FRESH)).alias("fresh"), F.count_if(~F.col(_FRESH)).alias("kept")
-        ).drop(_FRESH)
+                part = part.hint("rebalance", BUCKET_COLUMN)
+            part = part.withColumn(_FRESH, F.lit(fresh))
+            rows = part if rows is None else rows.unionByName(part)
+        rows, seen = self._observed(rows)
         folder = f"v{uuid.uuid4().hex}"
-        by = [BUCKET_COLUMN, *[quoted(k) for k in resolve_key(fresh, self.key)]]
+        by = [BUCKET_COLUMN, *[quoted(k) for k in resolve_key(rows, self.key)]]
         rows.sortWithinPartitions(*by).write.partitionBy(BUCKET_COLUMN).parquet(f"{self.root}/data/{folder}")
         prefix = BUCKET_COLUMN + "="
         names = Folder(self.spark, f"{self.root}/data/{folder}").names()
-        return folder, [int(n[len(prefix):]) for n in names if n.startswith(prefix)], seen.get
+        return folder, [int(n[len(prefix):]) for n in names if n.startswith(prefix)], _counts(seen)
+
+    @staticmethod
+    def _observed(rows: DataFrame) -> tuple[DataFrame, Observation]:
+        seen = Observation()
+        return rows.observe(
+            seen, F.count_if(F.col(_FRESH)).alias("fresh"), F.count_if(~F.col(_FRESH)).alias("kept")
+        ).drop(_FRESH), seen
 
     def _next(self) -> int:
         numbers = self._versions.numbers()
@@ -145,40 +187,34 @@ class SnapshotTarget:
         """Write a full snapshot without publishing it."""
         resolve_key(df, self.key)
         number = self._next()
-        folder, filled, seen = self._write(None, df, self.buckets, True)
+        folder, filled, seen = self._write_base([(df, True, True)], self.buckets)
         document = {
             "schema": df.schema.jsonValue(),
             "key": self.key,
             "buckets": self.buckets,
             "data": {str(b): [folder] for b in filled},
+            "pending": None,
+            "folds": 0,
             "properties": properties or {},
         }
-        return Staged(number, folder, document, list(range(self.buckets)), 0, seen["fresh"])
-
-    def key_buckets(self, keys: DataFrame) -> tuple[list[int], KeyStats]:
-        """Buckets a key set touches, with count and size of the set, in one job. At most ``buckets`` rows return."""
-        document = self.manifest()[1]
-        schema = T.StructType.fromJson(document["schema"])
-        typed = _typed_keys(keys, self.spark.createDataFrame([], schema), self.key)
-        stats = typed.groupBy(self._bucket(typed, document["buckets"]).alias("b")).agg(
-            F.count(F.lit(1)).alias("n"), key_bytes(typed, self.key).alias("bytes")
-        ).collect()
-        touched = sorted(r["b"] for r in stats)
-        return touched, KeyStats(sum(r["n"] for r in stats), sum(r["bytes"] for r in stats))
+        return Staged(number, f"{self.root}/data/{folder}", document, 0, seen["fresh"])
 
     def stage_replace(
         self, source: DataFrame, keys: DataFrame, properties: dict[str, Any] | None = None
     ) -> Staged:
         """Delete the keys and add their current source rows, in a new unpublished version.
 
-        ``keys`` must be distinct and cheap to read again (a written table). A key set of measured small size is broadcast
-        and the kept rows are rewritten without a shuffle; a larger one is joined by shuffle.
+        ``keys`` must be distinct and cheap to read again (a written table).
         """
-        def rows(old: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
-            fresh = cast_like(read_by_keys(source, keys, self.key, small), old.schema)
-            return delete_by_keys(old, keys, self.key, small), fresh
+        def fresh(schema: T.StructType, stats: KeyStats) -> DataFrame:
+            small = stats.fits(self.broadcast_bytes)
+            return cast_like(read_by_keys(source, keys, self.key, small, not small), schema)
 
-        return self._stage_touched(keys, rows, properties)
+        same_type = all(
+            source.schema[a].dataType == f.dataType
+            for a, f in zip(resolve_key(source, self.key), self._key_fields(), strict=True)
+        )
+        return self._stage(keys, fresh, same_type, properties)
 
     def stage_ops(
         self,
@@ -187,35 +223,87 @@ class SnapshotTarget:
         properties: dict[str, Any] | None = None,
     ) -> Staged:
         """Apply one change per key (see ``latest_changes``) in a new unpublished version."""
-        def rows(old: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
-            return delete_by_keys(old, latest, self.key, small), put_rows(latest, old.schema, names)
+        return self._stage(latest, lambda schema, _: put_rows(latest, schema, names), False, properties)
 
-        return self._stage_touched(latest, rows, properties)
+    def _key_fields(self) -> list[T.StructField]:
+        schema = self.schema()
+        return [schema[k] for k in self._key_names(schema)]
 
-    def _stage_touched(self, keys: DataFrame, rows, properties) -> Staged:
+    def _stage(self, keys: DataFrame, fresh_rows, by_key: bool, properties: dict[str, Any] | None) -> Staged:
+        """``by_key`` tells that a shuffle join leaves the fresh rows partitioned by the target key."""
         number, document = self._next(), self.manifest()[1]
-        touched, stats = self.key_buckets(keys)
-        old = self._scan(document, touched)
-        before = old.count() if touched else 0
+        new = {**document, "properties": {**document["properties"], **(properties or {})}}
+        old_keys, old_rows = self._pending(document)
+        keys = typed_keys(keys, old_keys, self.key)
+        stats = measure_keys(keys, self.key)
+        if stats.keys == 0:
+            return Staged(number, None, new, 0, 0, 0, 0)
         small = stats.fits(self.broadcast_bytes)
-        compact = number % self.compact_every == 0
-        kept, fresh = rows(old, small)
-        if touched:
-            folder, filled, seen = self._write(kept, fresh, document["buckets"], not small or compact)
-        else:
-            folder, filled, seen = "", [], {"kept": 0, "fresh": 0}
-        data = {b: f for b, f in document["data"].items() if int(b) not in set(touched)}
-        data |= {str(b): [folder] for b in filled}
-        new = {**document, "data": data, "properties": {**document["properties"], **(properties or {})}}
-        return Staged(
-            number, folder, new, touched, seen["kept"], seen["fresh"], before - seen["kept"], stats.keys
-        )
+        deleted = None
+        if self.count_deleted:
+            have = self.read().select(*[quoted(f.name) for f in self._key_fields()])
+            deleted = read_by_keys(have, keys, self.key, small, not small).count()
+        fresh = fresh_rows(self.schema(), stats)
+        kept = delete_by_keys(old_rows, keys, self.key, small, not small)
+        pending = document["pending"] or {"keys": 0, "bytes": 0, "rows": 0}
+        total = KeyStats(pending["keys"] + stats.keys, pending["bytes"] + stats.bytes)
+        all_keys = keys if not document["pending"] else old_keys.unionByName(keys).distinct()
+        if total.fits(self.broadcast_bytes) and pending["rows"] <= self.pending_rows:
+            path, seen = self._write_pending(all_keys, kept, fresh)
+            new["pending"] = {
+                "folder": path.rsplit("/", 1)[1],
+                "keys": total.keys,
+                "bytes": total.bytes,
+                "rows": seen["kept"] + seen["fresh"],
+            }
+            return Staged(number, f"{path}/rows", new, seen["kept"], seen["fresh"], deleted, stats.keys)
+        path, seen = self._fold(new, all_keys, [(kept, False, True)], fresh, small, by_key)
+        return Staged(number, path, new, seen["kept"], seen["fresh"], deleted, stats.keys)
+
+    def _write_pending(self, keys: DataFrame, kept: DataFrame, fresh: DataFrame) -> tuple[str, dict]:
+        """Few rows: ``rebalance`` gathers them from many scan tasks into files of normal size."""
+        path = f"{self.root}/pending/p{uuid.uuid4().hex}"
+        rows = kept.withColumn(_FRESH, F.lit(False)).unionByName(fresh.withColumn(_FRESH, F.lit(True)))
+        rows, seen = self._observed(rows.hint("rebalance"))
+        rows.write.parquet(f"{path}/rows")
+        keys.hint("rebalance").write.parquet(f"{path}/keys")
+        return path, _counts(seen)
+
+    def _fold(
+        self,
+        document: dict[str, Any],
+        keys: DataFrame,
+        rows: list[tuple[DataFrame, bool, bool]],
+        fresh: DataFrame | None,
+        small: bool,
+        by_key: bool,
+    ) -> tuple[str, dict]:
+        """Write the touched buckets without ``keys`` but with the new rows; updates the document in place.
+
+        Base rows come bucket by bucket from their files. With broadcast keys they are written without a shuffle, with a
+        shuffle join after the one of the join if buckets and shuffle partitions are aligned.
+        """
+        buckets = document["buckets"]
+        touched = sorted(r[0] for r in keys.select(self._bucket(keys, buckets)).distinct().collect())
+        compact = (document["folds"] + 1) % self.compact_every == 0
+        aligned = self._aligned(buckets)
+        base = delete_by_keys(self._base(document, touched), keys, self.key, small, not small)
+        parts = [(base, False, compact or not (small or aligned)), *rows]
+        if fresh is not None:
+            parts.append((fresh, True, small or not (aligned and by_key)))
+        folder, filled, seen = self._write_base(parts, buckets)
+        gone = {str(b) for b in touched}
+        document["data"] = {b: f for b, f in document["data"].items() if b not in gone} | {
+            str(b): [folder] for b in filled
+        }
+        document["pending"], document["folds"] = None, document["folds"] + 1
+        return f"{self.root}/data/{folder}", seen
 
     def staged_rows(self, staged: Staged) -> int:
-        """Rows found in the files of a staged version (read from the Parquet footers)."""
-        if not any(staged.folder in folders for folders in staged.document["data"].values()):
+        """Rows found in the files a staged version has written (read from the Parquet footers)."""
+        if staged.path is None or not Folder(self.spark, staged.path).has_data():
             return 0
-        return self.spark.read.parquet(f"{self.root}/data/{staged.folder}").count()
+        return self.spark.read.parquet(staged.path).count()
 
     def publish(self, staged: Staged) -> int:
         self._versions.publish(staged.number, staged.document)
@@ -223,28 +311,15 @@ class SnapshotTarget:
 
     # ---- one-step forms ------------------------------------------------------------------------------------------
 
-    def overwrite(self, df: DataFrame, properties: dict[str, Any] | None = None) -> Staged:
-        staged = self.stage_overwrite(df, properties)
+    def _published(self, staged: Staged) -> Staged:
         self.publish(staged)
         return staged
 
-    def append(self, df: DataFrame, properties: dict[str, Any] | None = None) -> Staged:
-        """Add rows without looking at existing ones; no existing file is rewritten."""
-        number, document = self._next(), self.manifest()[1]
-        aligned = cast_like(df, T.StructType.fromJson(document["schema"]))
-        folder, filled, seen = self._write(None, aligned, document["buckets"], True)
-        data = dict(document["data"])
-        for b in map(str, filled):
-            data[b] = [*data.get(b, []), folder]
-        new = {**document, "data": data, "properties": {**document["properties"], **(properties or {})}}
-        staged = Staged(number, folder, new, filled, 0, seen["fresh"])
-        self.publish(staged)
-        return staged
+    def overwrite(self, df: DataFrame, properties: dict[str, Any] | None = None) -> Staged:
+        return self._published(self.stage_overwrite(df, properties))
 
     def replace_by_keys(self, source: DataFrame, keys: DataFrame, properties: dict[str, Any] | None = None) -> Staged:
-        staged = self.stage_replace(source, keys, properties)
-        self.publish(staged)
-        return staged
+        return self._published(self.stage_replace(source, keys, properties))
 
     def delete_by_keys(self, keys: DataFrame, properties: dict[str, Any] | None = None) -> Staged:
         empty = self.spark.createDataFrame([], self.schema())
@@ -253,21 +328,49 @@ class SnapshotTarget:
     def apply_ops(
         self, latest: DataFrame, names: FeedNames = DEFAULT_FEED, properties: dict[str, Any] | None = None
     ) -> Staged:
-        staged = self.stage_ops(latest, names, properties)
-        self.publish(staged)
-        return staged
+        return self._published(self.stage_ops(latest, names, properties))
+
+    def fold(self) -> None:
+        """Fold the pending rows into the base."""
+        number, document = self._next(), self.manifest()[1]
+        if document["pending"]:
+            keys, rows = self._pending(document)
+            self._fold(document, keys, [(rows, False, True)], None, True, False)
+            self._versions.publish(number, document)
+
+    def append(self, df: DataFrame, properties: dict[str, Any] | None = None) -> Staged:
+        """Add rows without looking at the keys that are there; no existing file is rewritten."""
+        self.fold()  # a pending key would hide appended base rows
+        number, document = self._next(), self.manifest()[1]
+        aligned = cast_like(df, T.StructType.fromJson(document["schema"]))
+        folder, filled, seen = self._write_base([(aligned, True, True)], document["buckets"])
+        data = dict(document["data"])
+        for b in map(str, filled):
+            data[b] = [*data.get(b, []), folder]
+        new = {**document, "data": data, "properties": {**document["properties"], **(properties or {})}}
+        return self._published(Staged(number, f"{self.root}/data/{folder}", new, 0, seen["fresh"]))
 
     def vacuum(self, keep: int = 2) -> list[str]:
-        """Remove version folders that none of the last ``keep`` manifests names (old versions, failed passes).
+        """Remove folders that none of the last ``keep`` manifests names (old versions, failed passes).
 
         Not to be run while a pass is writing to this target.
         """
         numbers = self._versions.numbers()[-max(keep, 1):]
-        used = {f for n in numbers for folders in self._versions.read(n)["data"].values() for f in folders}
-        data = Folder(self.spark, f"{self.root}/data")
-        dropped = [name for name in data.names() if name not in used]
+        documents = [self._versions.read(n) for n in numbers]
+        used = {f for d in documents for folders in d["data"].values() for f in folders}
+        used |= {d["pending"]["folder"] for d in documents if d["pending"]}
+        dropped = []
+        for place in ("data", "pending"):
+            folder = Folder(self.spark, f"{self.root}/{place}")
+            for name in folder.names():
+                if documents and name not in used:
+                    folder.delete(name)
+                    dropped.append(name)
         if numbers:
             self._versions.drop_before(numbers[0])
-            for name in dropped:
-                data.delete(name)
         return dropped
+
+
+def _counts(seen: Observation) -> dict[str, int]:
+    found = seen.get
+    return {"fresh": found.get("fresh") or 0, "kept": found.get("kept") or 0}

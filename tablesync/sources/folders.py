@@ -62,6 +62,10 @@ class Folder:
         fs, path = self._at()
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
+    def has_data(self) -> bool:
+        """Whether any visible file or folder is in here."""
+        return any(not n.startswith(("_", ".")) for n in self.names())
+
     def read_json(self, name: str) -> dict[str, Any]:
         fs, path = self._at(name)
         stream = fs.open(path)

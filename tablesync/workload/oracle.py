@@ -129,10 +129,11 @@ APPLIED_SELECT = """select * from dst where o_orderkey not in (select o_orderkey
 
 
 def _bucket_side(table: str, prefix: str) -> str:
-    return f"""(select cast(o_orderkey % 16 as int) as bucket, count(*) as {prefix}_rows,
-  cast(sum(cast('0x' || substr({ORDER_TAGGED}, 1, 8) as bigint)) as bigint) as {prefix}_sum0,
-  cast(sum(cast('0x' || substr({ORDER_TAGGED}, 9, 8) as bigint)) as bigint) as {prefix}_sum1
-  from {table} group by 1)"""
+    sums = ", ".join(
+        f"cast(sum(cast('0x' || substr(h, {5 * w + 1}, 5) as bigint)) as bigint) as {prefix}_sum{w}" for w in range(3)
+    )
+    return f"""(select cast(o_orderkey % 16 as int) as bucket, count(*) as {prefix}_rows, {sums}
+  from (select o_orderkey, {ORDER_TAGGED} as h from {table}) group by 1)"""
 
 
 ORACLE: dict[str, str] = {
@@ -180,8 +181,8 @@ ORACLE: dict[str, str] = {
     "verify_tail_rows": _rep("select o_orderkey, status from cmp", _tail(50)),
     "mismatch_sample": _rep("""select o_orderkey, status, (select count(*) from cmp where status <> 'match') as mismatches
       from cmp where status <> 'match' order by o_orderkey desc limit 50""", _tail(500)),
-    "verify_buckets": _rep(f"""select bucket, src_rows, dst_rows, src_sum0, src_sum1, dst_sum0, dst_sum1,
-      src_rows = dst_rows and src_sum0 = dst_sum0 and src_sum1 = dst_sum1 as equal
+    "verify_buckets": _rep(f"""select bucket, src_rows, dst_rows, src_sum0, src_sum1, src_sum2, dst_sum0, dst_sum1,
+      dst_sum2, src_rows = dst_rows and src_sum0 = dst_sum0 and src_sum1 = dst_sum1 and src_sum2 = dst_sum2 as equal
       from {_bucket_side('src', 'src')} s join {_bucket_side('dst', 'dst')} d using (bucket)"""),
     "verify_full": _rep("""select coalesce(s.o_orderkey, d.o_orderkey) as o_orderkey,
       case when s.o_orderkey is null then 'missing_in_src' when d.o_orderkey is null then 'missing_in_dst'
