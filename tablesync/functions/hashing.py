@@ -24,15 +24,17 @@ def row_text(df: DataFrame, columns: list[str] | None = None, float_scale: int |
 
 
 def tagged_row_text(df: DataFrame, columns: list[str] | None = None, float_scale: int | None = None) -> Column:
-    """Unambiguous form: ``name=<length>:value|`` and ``name|`` for NULL.
+    """Unambiguous form: ``name=value|``, with the length of texts as ``name=<length>:value|``, and ``name|`` for NULL.
 
     A value can neither imitate NULL nor the text of a neighbouring column.
     """
+    free_text = (T.StringType, T.ArrayType, T.MapType, T.StructType)
     parts: list[Column] = []
     for name in sorted(columns or df.columns):
-        value = text_of(F.col(quoted(name)), df.schema[name].dataType, float_scale)
-        tagged = F.concat(F.lit(f"{name}="), F.length(value).cast("string"), F.lit(":"), value, F.lit("|"))
-        parts.append(F.coalesce(tagged, F.lit(f"{name}|")))
+        dtype = df.schema[name].dataType
+        value = text_of(F.col(quoted(name)), dtype, float_scale)
+        head = [F.length(value).cast("string"), F.lit(":")] if isinstance(dtype, free_text) else []
+        parts.append(F.coalesce(F.concat(F.lit(f"{name}="), *head, value, F.lit("|")), F.lit(f"{name}|")))
     return F.concat(*parts)
 
 

@@ -6,7 +6,7 @@ copy), never which rows are processed.
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +17,6 @@ KEY = "o_orderkey"
 SHORT = FeedNames("start_lsn", "seqval", "operation")
 
 
-class Replication(NamedTuple):
-    src: DataFrame
-    dst: DataFrame
-    chg: DataFrame
-    from_lsn: Column
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,36 +25,56 @@ def lsn_hex(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 20, "0"))
 
 
-def replication(spark: SparkSession, sf_dir: str) -> Replication:
-    """Source, stale copy and change feed made of ``orders``.
+class Replication:
+    """Source, stale copy and change feed made of ``orders``; each is built when it is asked for.
 
     Keys with remainder 3 (mod 10) are missing in the copy, 5 have an old price, 7 are deleted in the source. Remainders
     3 and 7 (mod 20) were changed a second time.
     """
-    orders = table(spark, sf_dir, "orders")
-    key, price = F.col(KEY), F.col("o_totalprice")
-    m10, m20 = key % 10, key % 20
-    src = orders.where(m10 != 7)
-    dst = orders.where(m10 != 3).withColumn("o_totalprice", F.when(m10 == 5, price - 1).otherwise(price))
-
-    def op(phase: int, code: int, value: Column) -> Column:
-        return F.struct(F.lit(phase).alias("ph"), F.lit(code).alias("operation"), value.alias("price"))
-
-    ops = (
-        F.when(m20 == 3, F.array(op(0, 2, price), op(1, 3, price), op(1, 4, price)))
-        .when(m10 == 3, F.array(op(0, 2, price)))
-        .when(m10 == 5, F.array(op(0, 3, price - 1), op(0, 4, price)))
-        .when(m20 == 7, F.array(op(0, 3, price), op(0, 4, price + 1), op(1, 1, price + 1)))
-        .when(m10 == 7, F.array(op(1, 1, price)))
-    )
-    chg = orders.select("*", F.inline(ops)).select(
-        lsn_hex((F.floor(key / 100) * 2 + F.col("ph") + 1).cast("bigint")).alias("start_lsn"),
-        lsn_hex((key * 2 + F.col("ph")).cast("bigint")).alias("seqval"),
-        "operation", KEY, "o_custkey", "o_orderstatus", F.col("price").alias("o_totalprice"),
-        "o_orderdate", "o_orderpriority",
-    )
-    middle = orders.agg(lsn_hex(F.floor(F.max(KEY) / 100).cast("bigint"))).scalar()
-    return Replication(src, dst, chg, middle)
+
+    def __init__(self, orders: DataFrame):
+        self.orders = orders
+
+    @cached_property
+    def src(self) -> DataFrame:
+        return self.orders.where(F.col(KEY) % 10 != 7)
+
+    @cached_property
+    def dst(self) -> DataFrame:
+        m10, price = F.col(KEY) % 10, F.col("o_totalprice")
+        old = F.when(m10 == 5, price - 1).otherwise(price)
+        return self.orders.where(m10 != 3).withColumn("o_totalprice", old)
+
+    @cached_property
+    def chg(self) -> DataFrame:
+        key, price = F.col(KEY), F.col("o_totalprice")
+        m10, m20 = key % 10, key % 20
+
+        def op(phase: int, code: int, value: Column) -> Column:
+            return F.struct(F.lit(phase).alias("ph"), F.lit(code).alias("operation"), value.alias("price"))
+
+        ops = (
+            F.when(m20 == 3, F.array(op(0, 2, price), op(1, 3, price), op(1, 4, price)))
+            .when(m10 == 3, F.array(op(0, 2, price)))
+            .when(m10 == 5, F.array(op(0, 3, price - 1), op(0, 4, price)))
+            .when(m20 == 7, F.array(op(0, 3, price), op(0, 4, price + 1), op(1, 1, price + 1)))
+            .when(m10 == 7, F.array(op(1, 1, price)))
+        )
+        return self.orders.select("*", F.inline(ops)).select(
+            lsn_hex((F.floor(key / 100) * 2 + F.col("ph") + 1).cast("bigint")).alias("start_lsn"),
+            lsn_hex((key * 2 + F.col("ph")).cast("bigint")).alias("seqval"),
+            "operation", KEY, "o_custkey", "o_orderstatus", F.col("price").alias("o_totalprice"),
+            "o_orderdate", "o_orderpriority",
+        )
+
+    @cached_property
+    def from_lsn(self) -> Column:
+        """Position in the middle of the feed."""
+        return self.orders.agg(lsn_hex(F.floor(F.max(KEY) / 100).cast("bigint"))).scalar()
+
+
+def replication(spark: SparkSession, sf_dir: str) -> Replication:
+    return Replication(table(spark, sf_dir, "orders"))
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:

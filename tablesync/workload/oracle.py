@@ -71,16 +71,17 @@ ORDER_HASH = "md5(" + " || ".join([
 ]) + ")"
 
 
-def _tagged(name: str, text: str) -> str:
-    return f"coalesce('{name}=' || length({text}) || ':' || {text} || '|', '{name}|')"
+def _tagged(name: str, text: str, length: bool = False) -> str:
+    head = f"length({text}) || ':' || " if length else ""
+    return f"coalesce('{name}=' || {head}{text} || '|', '{name}|')"
 
 
 ORDER_TAGGED = "md5(" + " || ".join([
     _tagged("o_custkey", "cast(o_custkey as varchar)"),
     _tagged("o_orderdate", "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f')"),
     _tagged("o_orderkey", "cast(o_orderkey as varchar)"),
-    _tagged("o_orderpriority", "o_orderpriority"),
-    _tagged("o_orderstatus", "o_orderstatus"),
+    _tagged("o_orderpriority", "o_orderpriority", True),
+    _tagged("o_orderstatus", "o_orderstatus", True),
     _tagged("o_totalprice", "cast(cast(o_totalprice as decimal(38, 6)) as varchar)"),
 ]) + ")"
 
