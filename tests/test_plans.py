@@ -1,0 +1,114 @@
+"""The plans that matter at scale: what is pushed, what is shuffled, what is broadcast."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from __spark_entry__ import SMOKE_DIR, queries
+from tablesync.model import FeedNames
+from tablesync.operators import changes as ch
+from tablesync.operators import keyed as kd
+from tablesync.operators import verify as vf
+from tablesync.sinks.snapshot import SnapshotTarget
+
+NAMES = FeedNames("lsn", "seqval", "op")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("plans") / "t")
+    spark.range(0, 200_000, 1, 1).select(
+        "id", F.lower(F.lpad(F.hex(F.col("id")), 20, "0")).alias("lsn"), F.lit("0").alias("seqval"),
+        F.lit(4).alias("op"), F.sha2(F.col("id").cast("string"), 256).alias("v"),
+    ).sortWithinPartitions("id").write.option("parquet.block.size", 1 << 20).parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_no_nested_loops_or_cartesian_products(spark):
+    for name, q in queries().items():
+        if name not in ("run_logs", "run_state", "full_sync", "cdc_sync", "stream_sync", "stream_sync_ops"):
+            text = plan(q(spark, SMOKE_DIR))
+            assert "NestedLoop" not in text and "Cartesian" not in text, name
+
+
+def test_position_filter_reaches_the_scan_and_columns_are_pruned(stored):
+    text = plan(kd.changed_keys(ch.lsn_window(stored, "0" * 20, "f" * 20, NAMES), "id"))
+    assert "GreaterThan(lsn,00000000000000000000)" in text and "LessThanOrEqual(lsn,ffffffffffffffffffff)" in text
+    assert "v:string" not in re.search(r"ReadSchema: (\S+)", text).group(1)
+
+
+def test_binary_position_filter_reaches_the_scan(spark, stored, tmp_path):
+    path = str(tmp_path / "b")
+    stored.limit(10).withColumn("lsn", F.unhex("lsn")).write.parquet(path)
+    text = plan(ch.lsn_window(spark.read.parquet(path), "00" * 10, names=NAMES))
+    assert "PushedFilters: [IsNotNull(lsn), GreaterThan(lsn" in text
+
+
+def scanned_rows(df, least):
+    """Rows the file scans of a finished query gave out."""
+    df.collect()
+    executed = df._jdf.queryExecution().executedPlan().executedPlan()
+    found, todo = [], [executed]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan parquet") and "v:string" in node.toString():
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+    assert len(found) >= least
+    return sum(found)
+
+
+def test_tail_skips_row_groups(stored):
+    tail = vf.tail_by_key(stored, "id", 10)
+    assert "TakeOrderedAndProject" in plan(tail)
+    assert scanned_rows(tail, 1) < 100_000
+
+
+def test_tail_comparison_skips_row_groups_of_the_source(spark, stored):
+    rows = vf.verify_tail_rows(stored, stored, "id", 10)
+    assert scanned_rows(rows, 1) < 200_000
+    assert "BroadcastHashJoin" in plan(rows)
+
+
+def test_large_key_sets_are_not_broadcast(spark, stored):
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        text = plan(kd.replace_by_keys(stored, stored, stored.select("id"), "id"))
+        assert "BroadcastHashJoin" not in text and text.count("SortMergeJoin") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_full_check_aggregates_before_its_shuffles(stored):
+    text = plan(vf.verify_full(stored, stored, "id"))
+    assert "FullOuter" not in text and "SortAggregate" not in text
+    assert "partial_sum" in text and "md5" not in text
+
+
+def test_latest_change_combines_before_the_shuffle(stored):
+    text = plan(kd.latest_changes(stored, "id", NAMES))
+    assert "partial_max_by" in text and "Window" not in text
+
+
+def test_pending_read_has_no_shuffle(spark, stored, folder):
+    target = SnapshotTarget(spark, folder(), "id", 4)
+    target.overwrite(stored)
+    target.replace_by_keys(stored, stored.where("id < 5").select("id"))
+    text = plan(target.read())
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+
+
+def test_buckets_follow_the_shuffle_of_a_join(spark, folder):
+    """A shuffle by key into a multiple of the buckets puts one bucket into each task."""
+    target = SnapshotTarget(spark, folder(), "id", 4)
+    df = spark.range(1000).repartition(8, "id")
+    tasks = df.select(F.spark_partition_id().alias("p"), target._bucket(df, 4).alias("b")).distinct().collect()
+    assert len(tasks) == len({r["p"] for r in tasks}) == 8
