@@ -50,10 +50,14 @@ def key_bytes(df: DataFrame, key: Key) -> Column:
 
 def measure_keys(keys: DataFrame, key: Key) -> KeyStats:
     """Count and size of a key set (an action; the set should be a written table, not a long plan)."""
-    row = keys.agg(F.count(F.lit(1)).alias("n"), key_bytes(keys, key).alias("b")).head()
+    row = keys.agg(*key_stats(keys, key)).head()
     return KeyStats(row["n"], row["b"])
 
 
+def key_stats(df: DataFrame, key: Key) -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), key_bytes(df, key).alias("b")]
+
+
 def not_null_key(df: DataFrame, key: Key) -> Column:
     cond = F.lit(True)
     for k in resolve_key(df, key):
@@ -91,7 +95,16 @@ def _key_join(table: DataFrame, keys: DataFrame, key: Key, how: str, broadcast:
 def read_by_keys(
     table: DataFrame, keys: DataFrame, key: Key, broadcast: bool = False, merge: bool = False
 ) -> DataFrame:
-    """Current rows whose key is in the set; keys absent from the table yield nothing."""
+    """Current rows whose key is in the set; keys absent from the table yield nothing.
+
+    A broadcast set is a measured, written table, so its smallest and largest key are cheap to have: they become a
+    filter of the scan, which skips the row groups outside of that range.
+    """
+    if broadcast:
+        lead = F.col(quoted(resolve_key(table, key)[0]))
+        bound = typed_keys(keys, table, key)
+        low, high = (bound.agg(f(lead)).scalar() for f in (F.min, F.max))
+        table = table.where((lead >= low) & (lead <= high))
     return _key_join(table, keys, key, "left_semi", broadcast, merge)
 
 

@@ -38,23 +38,27 @@ from tablesync.model import (
 )
 from tablesync.operators.changes import bounded_position, lsn_bounds, lsn_text, lsn_window
 from tablesync.operators.control import MESSAGE_HEAD, enabled_mappings, verifiable_mappings
-from tablesync.operators.keyed import changed_keys
-from tablesync.operators.verify import mismatch_sample, tail_summary, verify_tail_rows
+from tablesync.operators.verify import SAMPLE_KEYS, mismatch_sample, tail_summary, verify_full, verify_tail_rows
 from tablesync.sinks.control_store import ControlStore, utc_now
-from tablesync.sinks.files import stage
+from tablesync.sinks.files import stage, stage_keys
 from tablesync.sinks.snapshot import SnapshotTarget
 from tablesync.sources.folders import scratch
+from tablesync.sources.tables import read_remote_by_keys
 
 log = logging.getLogger("tablesync")
 
 
 @dataclass(frozen=True)
 class Endpoints:
-    """Where the tables of a mapping are; the functions are called once per pass and return the current data."""
+    """Where the tables of a mapping are; the functions are called once per pass and return the current data.
+
+    ``remote`` marks a source behind JDBC: small key sets are sent to it as a filter.
+    """
 
     source: Callable[[], DataFrame | None]
     feed: Callable[[], DataFrame | None]
     target: SnapshotTarget
+    remote: bool = False
 
 
 @dataclass(frozen=True)
@@ -182,10 +186,14 @@ class SyncEngine:
             if not has_column(feed, k):
                 raise GuardFailed(f"Key column {k} is not in the change feed")
         target, source = ends.target, self._source(mapping, ends, say)
+        if source is None:
+            raise GuardFailed("Source table not found")
         with scratch(self.spark, "keys") as folder:
             # Written once: the key set is read several times below and must not change in between.
-            keys = stage(changed_keys(window, mapping.key), folder)
-            staged = target.stage_replace(source, keys)
+            keys, stats = stage_keys(window, mapping.key, folder)
+            if ends.remote:
+                source = read_remote_by_keys(source, keys, mapping.key)
+            staged = target.stage_replace(source, keys, stats=stats)
         arrived = target.staged_rows(staged) - staged.kept
         if staged.fresh > 0 and arrived <= 0:
             raise GuardFailed(f"{staged.fresh} rows exported, none imported")
@@ -224,10 +232,37 @@ class SyncEngine:
         counts = {"records": found["compared"], "compared": found["compared"]}
         if found["match"]:
             return self._done(mapping, VERIFICATION, f"Last {n} records match", **counts)
-        shown = ", ".join("|".join(str(r[k]) for k in key_list(mapping.key)) for r in sample)
-        text = f"{found['mismatches']} mismatches, {found['compared']} compared in the last {n} records; keys: {shown}"
+        text = (
+            f"{found['mismatches']} mismatches, {found['compared']} compared in the last {n} records; "
+            f"keys: {self._shown(mapping, sample)}"
+        )
         return self._done(mapping, VERIFICATION, text, status=FAILED, mismatches=found["mismatches"], **counts)
 
+    def verify_whole(self, mapping: Mapping) -> RunResult:
+        """Compare the whole target with the source; finds rows missing on either side, too."""
+        return self._guarded(mapping, VERIFICATION, self._verify_whole)
+
+    def _verify_whole(self, mapping: Mapping, say) -> RunResult:
+        ends = self.locate(mapping)
+        src, dst = self._source(mapping, ends, say), ends.target.read()
+        if src is None:
+            raise GuardFailed("Source table not found")
+        if not verify_columns(src, dst, mapping.key):
+            return self._done(mapping, VERIFICATION, "No columns to verify", status=INFO)
+        with scratch(self.spark, "differences") as folder:
+            found = stage(verify_full(src, dst, mapping.key), folder)
+            counts = {r["status"]: r["count"] for r in found.groupBy("status").count().collect()}
+            sample = found.orderBy(*found.columns).limit(SAMPLE_KEYS).collect()
+        if not counts:
+            return self._done(mapping, VERIFICATION, "All records match", mismatches=0)
+        parts = ", ".join(f"{n} {status}" for status, n in sorted(counts.items()))
+        text = f"Tables differ: {parts}; keys: {self._shown(mapping, sample)}"
+        return self._done(mapping, VERIFICATION, text, status=FAILED, mismatches=sum(counts.values()))
+
+    @staticmethod
+    def _shown(mapping: Mapping, sample) -> str:
+        return ", ".join("|".join(str(r[k]) for k in key_list(mapping.key)) for r in sample)
+
     # ---- over mappings -------------------------------------------------------------------------------------------
 
     def sync_mapping(self, mapping: Mapping) -> list[RunResult]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablesync.functions.columns import quoted, resolve_key
 from tablesync.functions.text import export_text
 from tablesync.model import Key
+from tablesync.operators.keyed import KeyStats, changed_keys, key_stats
 
 
 def stage(df: DataFrame, path: str, spark: SparkSession | None = None) -> DataFrame:
@@ -19,6 +20,14 @@ def stage(df: DataFrame, path: str, spark: SparkSession | None = None) -> DataFr
     return (spark or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
+def stage_keys(changes: DataFrame, key: Key, path: str, spark: SparkSession | None = None) -> tuple[DataFrame, KeyStats]:
+    """Write the distinct keys of a change set; count and size are taken in the same job, in its last stage."""
+    keys, seen = changed_keys(changes, key), Observation()
+    staged = stage(keys.observe(seen, *key_stats(keys, key)), path, spark)
+    found = seen.get
+    return staged, KeyStats(found.get("n") or 0, found.get("b") or 0)
+
+
 def cluster_by_key(df: DataFrame, key: Key) -> DataFrame:
     """Rows range-partitioned and sorted by key, for an extract that is read in key order."""
     keys = [quoted(k) for k in resolve_key(df, key)]

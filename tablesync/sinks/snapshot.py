@@ -60,7 +60,8 @@ class SnapshotTarget:
     ``buckets`` is the unit of rewriting, not of parallelism: a bucket may hold any number of files, and a hot bucket is
     split over many write tasks. Choose it so that a bucket has some hundred MB to some GB. A pass folds the pending part
     into the base when its keys outgrow ``broadcast_bytes`` or its rows ``pending_rows``. ``count_deleted`` counts the rows
-    a pass replaces, which takes a scan of the key column.
+    a pass replaces, which takes a scan of the key column. Every ``keep_versions`` passes the folders that only older
+    versions use are removed.
     """
 
     def __init__(
@@ -73,12 +74,13 @@ class SnapshotTarget:
         pending_rows: int = 10_000_000,
         compact_every: int = 8,
         count_deleted: bool = True,
+        keep_versions: int = 20,
     ):
         self.spark, self.root = spark, root.rstrip("/")
         self.key = key_list(key)
         self.buckets, self.broadcast_bytes, self.compact_every = buckets, broadcast_bytes, compact_every
         self.pending_rows = pending_rows
-        self.count_deleted = count_deleted
+        self.count_deleted, self.keep_versions = count_deleted, keep_versions
         self._versions = VersionedDocument(Folder(spark, f"{self.root}/manifest"))
 
     # ---- reading -------------------------------------------------------------------------------------------------
@@ -200,11 +202,15 @@ class SnapshotTarget:
         return Staged(number, f"{self.root}/data/{folder}", document, 0, seen["fresh"])
 
     def stage_replace(
-        self, source: DataFrame, keys: DataFrame, properties: dict[str, Any] | None = None
+        self,
+        source: DataFrame,
+        keys: DataFrame,
+        properties: dict[str, Any] | None = None,
+        stats: KeyStats | None = None,
     ) -> Staged:
         """Delete the keys and add their current source rows, in a new unpublished version.
 
-        ``keys`` must be distinct and cheap to read again (a written table).
+        ``keys`` must be distinct and cheap to read again (a written table); ``stats`` saves measuring them.
         """
         def fresh(schema: T.StructType, stats: KeyStats) -> DataFrame:
             small = stats.fits(self.broadcast_bytes)
@@ -214,7 +220,7 @@ class SnapshotTarget:
             source.schema[a].dataType == f.dataType
             for a, f in zip(resolve_key(source, self.key), self._key_fields(), strict=True)
         )
-        return self._stage(keys, fresh, same_type, properties)
+        return self._stage(keys, fresh, same_type, properties, stats)
 
     def stage_ops(
         self,
@@ -223,19 +229,21 @@ class SnapshotTarget:
         properties: dict[str, Any] | None = None,
     ) -> Staged:
         """Apply one change per key (see ``latest_changes``) in a new unpublished version."""
-        return self._stage(latest, lambda schema, _: put_rows(latest, schema, names), False, properties)
+        return self._stage(latest, lambda schema, _: put_rows(latest, schema, names), False, properties, None)
 
     def _key_fields(self) -> list[T.StructField]:
         schema = self.schema()
         return [schema[k] for k in self._key_names(schema)]
 
-    def _stage(self, keys: DataFrame, fresh_rows, by_key: bool, properties: dict[str, Any] | None) -> Staged:
+    def _stage(
+        self, keys: DataFrame, fresh_rows, by_key: bool, properties: dict[str, Any] | None, stats: KeyStats | None
+    ) -> Staged:
         """``by_key`` tells that a shuffle join leaves the fresh rows partitioned by the target key."""
         number, document = self._next(), self.manifest()[1]
         new = {**document, "properties": {**document["properties"], **(properties or {})}}
         old_keys, old_rows = self._pending(document)
         keys = typed_keys(keys, old_keys, self.key)
-        stats = measure_keys(keys, self.key)
+        stats = stats or measure_keys(keys, self.key)
         if stats.keys == 0:
             return Staged(number, None, new, 0, 0, 0, 0)
         small = stats.fits(self.broadcast_bytes)
@@ -307,6 +315,8 @@ class SnapshotTarget:
 
     def publish(self, staged: Staged) -> int:
         self._versions.publish(staged.number, staged.document)
+        if staged.number % self.keep_versions == self.keep_versions - 1:
+            self.vacuum(self.keep_versions)
         return staged.number
 
     # ---- one-step forms ------------------------------------------------------------------------------------------
@@ -318,8 +328,14 @@ class SnapshotTarget:
     def overwrite(self, df: DataFrame, properties: dict[str, Any] | None = None) -> Staged:
         return self._published(self.stage_overwrite(df, properties))
 
-    def replace_by_keys(self, source: DataFrame, keys: DataFrame, properties: dict[str, Any] | None = None) -> Staged:
-        return self._published(self.stage_replace(source, keys, properties))
+    def replace_by_keys(
+        self,
+        source: DataFrame,
+        keys: DataFrame,
+        properties: dict[str, Any] | None = None,
+        stats: KeyStats | None = None,
+    ) -> Staged:
+        return self._published(self.stage_replace(source, keys, properties, stats))
 
     def delete_by_keys(self, keys: DataFrame, properties: dict[str, Any] | None = None) -> Staged:
         empty = self.spark.createDataFrame([], self.schema())

@@ -19,14 +19,20 @@ class AlreadyPublished(RuntimeError):
     """Another writer has published this version."""
 
 
+# Temporary folders of local sessions that name no shared one, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="tablesync-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="tablesync-")
+        shared = _LOCAL_FOLDERS[app]
     return f"{shared.rstrip('/')}/tablesync"
 
 

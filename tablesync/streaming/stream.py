@@ -16,9 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tablesync.functions.columns import quoted, resolve_key
 from tablesync.model import CDC, DEFAULT_FEED, SUCCESS, FeedNames, Key, key_list
-from tablesync.operators.keyed import changed_keys, latest_changes
+from tablesync.operators.keyed import latest_changes
 from tablesync.sinks.control_store import ControlStore, utc_now
-from tablesync.sinks.files import stage
+from tablesync.sinks.files import stage, stage_keys
 from tablesync.sinks.snapshot import SnapshotTarget, Staged
 from tablesync.sources.folders import scratch
 
@@ -26,8 +26,8 @@ from tablesync.sources.folders import scratch
 def replace_batch(target: SnapshotTarget, source: DataFrame, batch: DataFrame, key: Key, properties: dict) -> Staged:
     """One micro-batch in replace mode. The key set is written first: the batch is read once."""
     with scratch(target.spark, "batch-keys") as folder:
-        keys = stage(changed_keys(batch, key), folder, target.spark)
-        return target.replace_by_keys(source, keys, properties)
+        keys, stats = stage_keys(batch, key, folder, target.spark)
+        return target.replace_by_keys(source, keys, properties, stats)
 
 
 def newer_changes(latest: DataFrame, positions: DataFrame, key: Key, names: FeedNames = DEFAULT_FEED) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tablesync.functions.columns import mark_generated
 from tablesync.model import ERROR, FAILED, INFO, SUCCESS, WARNING, FeedNames, Mapping, TableSpec
+from tablesync.plans import jobs
 from tablesync.plans.jobs import Endpoints, Options, SyncEngine, load_mappings
 from tablesync.sinks.control_store import ControlStore
 from tablesync.sinks.files import cluster_by_key, stage, write_tsv
@@ -257,6 +258,31 @@ def test_verification(world):
     assert world.engine.verify(world.mapping).status == INFO
 
 
+def test_whole_table_verification(world):
+    world.engine.full_sync(world.mapping)
+    assert world.engine.verify_whole(world.mapping).status == SUCCESS
+    world.now = {2: "other", 3: "c"}
+    result = world.engine.verify_whole(world.mapping)
+    assert (result.status, result.mismatches) == (FAILED, 3)
+    assert "1 different, 1 missing_in_dst, 1 missing_in_src; keys: 1, 2, 3" in result.message
+
+
+def test_remote_source_gets_the_keys_as_a_filter(world, monkeypatch):
+    seen = []
+
+    def locate(m):
+        return Endpoints(world.source, world.feed, world.target, remote=True)
+
+    original = jobs.read_remote_by_keys
+    monkeypatch.setattr(jobs, "read_remote_by_keys", lambda *a: seen.append(1) or original(*a))
+    world.engine.locate = locate
+    world.engine.full_sync(world.mapping)
+    world.change(1, 2, "bb")
+    world.change(2, 1, None)
+    assert world.engine.cdc_sync(world.mapping).status == SUCCESS
+    assert seen and world.in_step()
+
+
 def test_failures_do_not_touch_other_mappings(spark, folder):
     worlds = {i: World(spark, folder, mapping_id=i) for i in (1, 2, 3)}
     worlds[2].source = lambda: (_ for _ in ()).throw(RuntimeError("down"))

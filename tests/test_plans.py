@@ -78,6 +78,13 @@ def test_tail_comparison_skips_row_groups_of_the_source(spark, stored):
     assert "BroadcastHashJoin" in plan(rows)
 
 
+def test_small_key_sets_skip_row_groups_of_the_table(stored):
+    keys = stored.where("id between 1000 and 1010").select("id")
+    found = kd.read_by_keys(stored, keys, "id", broadcast=True)
+    assert found.count() == 11
+    assert scanned_rows(found, 1) < 100_000
+
+
 def test_large_key_sets_are_not_broadcast(spark, stored):
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

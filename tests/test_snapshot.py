@@ -145,6 +145,16 @@ def test_versions_append_and_vacuum(spark, folder, start):
     assert target.vacuum(keep=1) == []
 
 
+def test_old_versions_are_removed_on_the_way(spark, folder, start):
+    target = target_at(spark, folder, keep_versions=3)
+    target.overwrite(start)
+    for n in range(6):
+        target.replace_by_keys(frame(spark, {1: f"n{n}"}), keys(spark, 1))
+    assert len(target._versions.numbers()) <= 4
+    assert len(Folder(spark, f"{target.root}/pending").names()) <= 4
+    assert rows(target.read().where("id = 1")) == [(1, "n5")] and target.read().count() == 20
+
+
 def test_null_keys_survive_every_pass(spark, folder):
     start = spark.createDataFrame([(None, "n"), (1, "a")], "id int, v string")
     for way in (pending, fold_broadcast, fold_shuffle):
