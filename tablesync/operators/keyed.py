@@ -7,7 +7,7 @@ measured the key set, see :func:`measure_keys`; ``merge=True`` asks for a sort-m
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +28,17 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD = 48
 
 
+# Key types whose smallest and largest value go through the driver unchanged.
+_EXACT = (T.IntegralType, T.StringType, T.DecimalType, T.DateType, T.BinaryType)
+
+
 class KeyStats(NamedTuple):
+    """Measure of a key set: number, size in a broadcast table, smallest and largest leading key (None if unknown)."""
+
     keys: int
     bytes: int
+    low: Any = None
+    high: Any = None
 
     def fits(self, limit: int = BROADCAST_BYTES) -> bool:
         return self.bytes <= limit
@@ -49,13 +57,21 @@ def key_bytes(df: DataFrame, key: Key) -> Column:
 
 
 def measure_keys(keys: DataFrame, key: Key) -> KeyStats:
-    """Count and size of a key set (an action; the set should be a written table, not a long plan)."""
-    row = keys.agg(*key_stats(keys, key)).head()
-    return KeyStats(row["n"], row["b"])
+    """Measure a key set (an action; the set should be a written table, not a long plan)."""
+    return stats_of(keys.agg(*key_stats(keys, key)).head().asDict())
 
 
 def key_stats(df: DataFrame, key: Key) -> list[Column]:
-    return [F.count(F.lit(1)).alias("n"), key_bytes(df, key).alias("b")]
+    lead = resolve_key(df, key)[0]
+    known = isinstance(df.schema[lead].dataType, _EXACT)
+    c = F.col(quoted(lead)) if known else F.lit(None).cast("int")
+    return [
+        F.count(F.lit(1)).alias("n"), key_bytes(df, key).alias("b"), F.min(c).alias("low"), F.max(c).alias("high"),
+    ]
+
+
+def stats_of(found: dict[str, Any]) -> KeyStats:
+    return KeyStats(found.get("n") or 0, found.get("b") or 0, found.get("low"), found.get("high"))
 
 
 def not_null_key(df: DataFrame, key: Key) -> Column:
@@ -93,19 +109,28 @@ def _key_join(table: DataFrame, keys: DataFrame, key: Key, how: str, broadcast:
 
 
 def read_by_keys(
-    table: DataFrame, keys: DataFrame, key: Key, broadcast: bool = False, merge: bool = False
+    table: DataFrame,
+    keys: DataFrame,
+    key: Key,
+    broadcast: bool = False,
+    merge: bool = False,
+    stats: KeyStats | None = None,
 ) -> DataFrame:
     """Current rows whose key is in the set; keys absent from the table yield nothing.
 
-    A broadcast set is a measured, written table, so its smallest and largest key are cheap to have: they become a
-    filter of the scan, which skips the row groups outside of that range.
+    With the measure of the set, its smallest and largest key become a filter of the scan, which skips the row groups
+    outside of that range (and is pushed to a remote database).
     """
-    if broadcast:
-        lead = F.col(quoted(resolve_key(table, key)[0]))
-        bound = typed_keys(keys, table, key)
-        low, high = (bound.agg(f(lead)).scalar() for f in (F.min, F.max))
-        table = table.where((lead >= low) & (lead <= high))
-    return _key_join(table, keys, key, "left_semi", broadcast, merge)
+    return _key_join(_within(table, keys, key, stats), keys, key, "left_semi", broadcast, merge)
+
+
+def _within(table: DataFrame, keys: DataFrame, key: Key, stats: KeyStats | None) -> DataFrame:
+    have, want = resolve_key(keys, key)[0], resolve_key(table, key)[0]
+    dtype = table.schema[want].dataType
+    if stats is None or stats.low is None or keys.schema[have].dataType != dtype:
+        return table
+    low, high = (F.lit(v).cast(dtype) for v in (stats.low, stats.high))
+    return table.where(F.col(quoted(want)).between(low, high))
 
 
 def delete_by_keys(

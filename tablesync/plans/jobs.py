@@ -41,6 +41,7 @@ from tablesync.operators.control import MESSAGE_HEAD, enabled_mappings, verifiab
 from tablesync.operators.verify import SAMPLE_KEYS, mismatch_sample, tail_summary, verify_full, verify_tail_rows
 from tablesync.sinks.control_store import ControlStore, utc_now
 from tablesync.sinks.files import stage, stage_keys
+from tablesync.sinks.jdbc import JdbcTarget
 from tablesync.sinks.snapshot import SnapshotTarget
 from tablesync.sources.folders import scratch
 from tablesync.sources.tables import read_remote_by_keys
@@ -57,7 +58,7 @@ class Endpoints:
 
     source: Callable[[], DataFrame | None]
     feed: Callable[[], DataFrame | None]
-    target: SnapshotTarget
+    target: SnapshotTarget | JdbcTarget
     remote: bool = False
 
 

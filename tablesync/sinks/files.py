@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablesync.functions.columns import quoted, resolve_key
 from tablesync.functions.text import export_text
 from tablesync.model import Key
-from tablesync.operators.keyed import KeyStats, changed_keys, key_stats
+from tablesync.operators.keyed import KeyStats, changed_keys, key_stats, stats_of
 
 
 def stage(df: DataFrame, path: str, spark: SparkSession | None = None) -> DataFrame:
@@ -24,8 +24,7 @@ def stage_keys(changes: DataFrame, key: Key, path: str, spark: SparkSession | No
     """Write the distinct keys of a change set; count and size are taken in the same job, in its last stage."""
     keys, seen = changed_keys(changes, key), Observation()
     staged = stage(keys.observe(seen, *key_stats(keys, key)), path, spark)
-    found = seen.get
-    return staged, KeyStats(found.get("n") or 0, found.get("b") or 0)
+    return staged, stats_of(seen.get)
 
 
 def cluster_by_key(df: DataFrame, key: Key) -> DataFrame:

@@ -214,7 +214,7 @@ class SnapshotTarget:
         """
         def fresh(schema: T.StructType, stats: KeyStats) -> DataFrame:
             small = stats.fits(self.broadcast_bytes)
-            return cast_like(read_by_keys(source, keys, self.key, small, not small), schema)
+            return cast_like(read_by_keys(source, keys, self.key, small, not small, stats), schema)
 
         same_type = all(
             source.schema[a].dataType == f.dataType
@@ -250,7 +250,7 @@ class SnapshotTarget:
         deleted = None
         if self.count_deleted:
             have = self.read().select(*[quoted(f.name) for f in self._key_fields()])
-            deleted = read_by_keys(have, keys, self.key, small, not small).count()
+            deleted = read_by_keys(have, keys, self.key, small, not small, stats).count()
         fresh = fresh_rows(self.schema(), stats)
         kept = delete_by_keys(old_rows, keys, self.key, small, not small)
         pending = document["pending"] or {"keys": 0, "bytes": 0, "rows": 0}

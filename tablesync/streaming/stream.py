@@ -1,6 +1,6 @@
 """Continuous change sync with Structured Streaming.
 
-The change feed is a stream, the target a :class:`SnapshotTarget`. ``replace`` mode only takes the changed keys from the
+The change feed is a stream, the target a :class:`SnapshotTarget` (or, in replace mode, a :class:`JdbcTarget`). ``replace`` mode only takes the changed keys from the
 stream and re-reads the current source rows, so neither order nor repetition of changes matters. ``ops`` mode takes the rows
 from the changes themselves and keeps the last applied position of every key (deletes included) in a second target, so
 changes that arrive late are dropped.
@@ -19,11 +19,14 @@ from tablesync.model import CDC, DEFAULT_FEED, SUCCESS, FeedNames, Key, key_list
 from tablesync.operators.keyed import latest_changes
 from tablesync.sinks.control_store import ControlStore, utc_now
 from tablesync.sinks.files import stage, stage_keys
+from tablesync.sinks.jdbc import JdbcTarget
 from tablesync.sinks.snapshot import SnapshotTarget, Staged
 from tablesync.sources.folders import scratch
 
 
-def replace_batch(target: SnapshotTarget, source: DataFrame, batch: DataFrame, key: Key, properties: dict) -> Staged:
+def replace_batch(
+    target: SnapshotTarget | JdbcTarget, source: DataFrame, batch: DataFrame, key: Key, properties: dict
+) -> Staged:
     """One micro-batch in replace mode. The key set is written first: the batch is read once."""
     with scratch(target.spark, "batch-keys") as folder:
         keys, stats = stage_keys(batch, key, folder, target.spark)
@@ -74,7 +77,7 @@ def ops_batch(
 def stream_sync(
     feed_stream: DataFrame,
     source_reader: Callable[[], DataFrame],
-    target: SnapshotTarget,
+    target: SnapshotTarget | JdbcTarget,
     checkpoint: str,
     mode: str = "replace",
     trigger: str | None = "10 seconds",
@@ -91,7 +94,10 @@ def stream_sync(
     """
     if mode not in ("replace", "ops"):
         raise ValueError(f"unknown mode {mode!r}")
-    positions = SnapshotTarget(target.spark, f"{target.root}/positions", target.key, target.buckets, target.broadcast_bytes)
+    if mode == "ops":
+        positions = SnapshotTarget(
+            target.spark, f"{target.root}/positions", target.key, target.buckets, target.broadcast_bytes
+        )
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         done = target.properties() if target.exists() else {}

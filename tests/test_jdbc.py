@@ -1,8 +1,15 @@
-"""JDBC without a database: options and statements only."""
+"""JDBC without a database: options and statements, and the target over tables kept in memory."""
 
-from tablesync.model import TableSpec
-from tablesync.operators.keyed import read_by_keys
-from tablesync.sinks import jdbc
+import re
+
+import pytest
+
+from conftest import rows
+from tablesync.model import SUCCESS, FeedNames, Mapping, TableSpec
+from tablesync.operators.keyed import delete_by_keys, read_by_keys
+from tablesync.plans.jobs import Endpoints, Options, SyncEngine
+from tablesync.sinks import jdbc as sink
+from tablesync.sinks.control_store import ControlStore
 from tablesync.sources import tables as tb
 
 SPEC = TableSpec("jdbc", "dbo.users", {"url": "jdbc:x", "user": "u", "fetchsize": "500"})
@@ -19,13 +26,13 @@ def test_reader_options():
 
 def test_writer_options_leave_out_the_read_partitioning():
     spec = tb.partitioned_jdbc(SPEC, "UserID", 0, 100, 8)
-    assert jdbc.writer_options(spec, "t") == {
+    assert sink.writer_options(spec, "t") == {
         "url": "jdbc:x", "user": "u", "fetchsize": "500", "numPartitions": "8", "dbtable": "t", "batchsize": "1000",
     }
 
 
 def test_replace_statements():
-    delete, insert = jdbc.replace_statements("t", "t_keys", "t_rows", ["a", "b"], ["a", "b", "v"])
+    delete, insert = sink.replace_statements("t", "t_keys", "t_rows", ["a", "b"], ["a", "b", "v"])
     assert delete == "DELETE FROM t WHERE EXISTS (SELECT 1 FROM t_keys k WHERE k.a = t.a AND k.b = t.b)"
     assert insert == "INSERT INTO t (a, b, v) SELECT a, b, v FROM t_rows"
 
@@ -40,3 +47,66 @@ def test_small_key_sets_become_a_filter(spark):
     assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(joined.collect()) == sorted(read_by_keys(df, few, "UserID").collect())
     assert tb.read_remote_by_keys(df, few.limit(0), "UserID").count() == 0
+
+
+class MemoryTarget(sink.JdbcTarget):
+    """The database replaced by DataFrames; runs the two kinds of statements the target issues."""
+
+    def __init__(self, spark, table, key):
+        super().__init__(spark, TableSpec("jdbc", "t", {}), key)
+        self.tables, self.log = {"t": table}, []
+
+    def _load(self, table):
+        return self.tables[table]
+
+    def _save(self, df, table, mode):
+        df = self.spark.createDataFrame(df.collect(), df.schema)
+        self.tables[table] = df if mode == "overwrite" else self.tables[table].unionByName(df)
+        return df.count()
+
+    def _execute(self, statements):
+        for text in statements:
+            self.log.append(text.split(" ")[0])
+            if text.startswith("INSERT"):
+                self.tables["t"] = self.tables["t"].unionByName(self.tables[text.rsplit(" ", 1)[1]])
+            elif "WHERE" not in text:
+                self.tables["t"] = self.tables["t"].limit(0)
+            else:
+                keys = self.tables[re.search(r"FROM (\S+) k", text).group(1)]
+                self.tables["t"] = delete_by_keys(self.tables["t"], keys, self.key)
+
+
+@pytest.fixture
+def memory(spark):
+    return MemoryTarget(spark, spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, v string"), "id")
+
+
+def test_target_replaces_deletes_appends_and_overwrites(spark, memory):
+    source = spark.createDataFrame([("bb", 2), ("dd", 4), ("x", 9)], "V string, ID bigint")
+    staged = memory.stage_replace(source, spark.createDataFrame([(1,), (2,), (4,)], "id int"))
+    assert rows(memory.read()) == [(1, "a"), (2, "b"), (3, "c")]
+    assert (staged.keys, staged.deleted, staged.fresh, memory.staged_rows(staged)) == (3, 2, 2, 2)
+    memory.publish(staged)
+    assert rows(memory.read()) == [(2, "bb"), (3, "c"), (4, "dd")]
+    memory.delete_by_keys(spark.createDataFrame([(3,)], "id int"))
+    memory.append(spark.createDataFrame([(7, "s")], "id int, v string"))
+    assert rows(memory.read()) == [(2, "bb"), (4, "dd"), (7, "s")]
+    memory.overwrite(spark.createDataFrame([(5, "e")], "id int, v string"))
+    assert rows(memory.read()) == [(5, "e")]
+    memory.truncate_and_load(spark.createDataFrame([(6, "f")], "id int, v string"))
+    assert rows(memory.read()) == [(6, "f")]
+
+
+def test_jobs_run_on_a_jdbc_target(spark, memory, folder):
+    names = FeedNames("lsn", "seqval", "op")
+    now = {1: "a", 8: "h"}
+    feed = spark.createDataFrame([(f"{1:020x}", "1", 1, 2)], "lsn string, seqval string, op int, id int")
+    ends = Endpoints(lambda: spark.createDataFrame(list(now.items()), "id int, v string"), lambda: feed, memory, True)
+    engine = SyncEngine(spark, ControlStore(spark, folder()), lambda m: ends, Options(feed_names=names))
+    mapping = Mapping(1, 1, "f", "s", "dbo", "t", "d", "dbo", "t", ("id",), True, True)
+    assert engine.cdc_sync(mapping).status == SUCCESS
+    assert rows(memory.read()) == [(1, "a"), (3, "c")]
+    assert engine.full_sync(mapping).status == SUCCESS
+    assert rows(memory.read()) == [(1, "a"), (8, "h")]
+    assert engine.verify(mapping).status == SUCCESS
+    assert memory.log == ["DELETE", "INSERT"] * 2

@@ -80,7 +80,16 @@ def test_key_update_is_a_delete_and_an_insert(spark):
 def test_measure_keys(spark):
     stats = kd.measure_keys(spark.range(10), "id")
     assert stats.keys == 10 and stats.fits(1000) and not stats.fits(100)
-    assert kd.measure_keys(spark.range(0), "id") == (0, 0)
+    assert (stats.low, stats.high) == (0, 9)
+    assert kd.measure_keys(spark.range(0), "id") == (0, 0, None, None)
+
+
+@pytest.mark.parametrize("sql", ["5", "'b'", "cast(1.5 as decimal(9,2))", "date'2024-01-02'", "X'00ff'", "1.5d",
+                                 "timestamp'2024-10-27 02:30:00'", "timestamp_ntz'2024-03-31 02:30:00'", "true"])
+def test_key_range_never_loses_a_key(spark, sql):
+    df = spark.sql(f"select {sql} as k, 1 as v")
+    keys = df.select("k")
+    assert kd.read_by_keys(df, keys, "k", True, stats=kd.measure_keys(keys, "k")).count() == 1
 
 
 def test_lsn_window_on_text_and_binary(spark):

@@ -10,6 +10,7 @@ from tablesync.model import FeedNames
 from tablesync.operators import changes as ch
 from tablesync.operators import keyed as kd
 from tablesync.operators import verify as vf
+from tablesync.sinks.files import stage_keys
 from tablesync.sinks.snapshot import SnapshotTarget
 
 NAMES = FeedNames("lsn", "seqval", "op")
@@ -78,9 +79,10 @@ def test_tail_comparison_skips_row_groups_of_the_source(spark, stored):
     assert "BroadcastHashJoin" in plan(rows)
 
 
-def test_small_key_sets_skip_row_groups_of_the_table(stored):
-    keys = stored.where("id between 1000 and 1010").select("id")
-    found = kd.read_by_keys(stored, keys, "id", broadcast=True)
+def test_small_key_sets_skip_row_groups_of_the_table(stored, folder):
+    keys, stats = stage_keys(stored.where("id between 1000 and 1010"), "id", folder())
+    assert stats == (11, 11 * 64, 1000, 1010)
+    found = kd.read_by_keys(stored, keys, "id", broadcast=True, stats=stats)
     assert found.count() == 11
     assert scanned_rows(found, 1) < 100_000
 
