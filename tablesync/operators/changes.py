@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesync.functions.columns import quoted, resolve_key
+from tablesync.functions.columns import quoted, resolve_key, select_as
 from tablesync.functions.text import to_hex
 from tablesync.model import DEFAULT_FEED, FeedNames, Key
 from tablesync.operators.keyed import not_null_key, read_by_keys
@@ -26,7 +26,7 @@ def lsn_text(feed: DataFrame, names: FeedNames = DEFAULT_FEED) -> Column:
 
 def _as_stored(feed: DataFrame, position: Position, names: FeedNames) -> Column:
     """A hex position in the type of the feed column: the comparison stays a plain one that reaches the scan."""
-    c = F.lit(position.lower()) if isinstance(position, str) else position
+    c = F.lit(position.lower().removeprefix("0x")) if isinstance(position, str) else position
     return F.unhex(c) if _is_binary(feed, names) else c
 
 
@@ -89,12 +89,20 @@ def change_summary(changes: DataFrame, key: Key, names: FeedNames = DEFAULT_FEED
 
 
 def apply_counts(target: DataFrame, source: DataFrame, keys: DataFrame, key: Key) -> DataFrame:
-    """One row: keys in the set, target rows they delete, source rows they import."""
-    deleted = read_by_keys(target, keys, key).agg(F.count(F.lit(1)).alias("n"))
-    imported = read_by_keys(source, keys, key).agg(F.count(F.lit(1)).alias("n"))
-    return keys.agg(F.count(F.lit(1)).alias("keys")).select(
-        "keys", deleted.scalar().alias("deleted"), imported.scalar().alias("imported")
+    """One row: keys in the set, target rows they delete, source rows they import.
+
+    Both tables go through one join, as their key columns only.
+    """
+    names = resolve_key(target, key)
+    sides = [
+        select_as(df, names).withColumn("is_target", F.lit(is_target)) for df, is_target in ((target, True), (source, False))
+    ]
+    hits = read_by_keys(sides[0].unionByName(sides[1]), keys, names)
+    counts = hits.agg(
+        F.count_if(F.col("is_target")).alias("deleted"), F.count_if(~F.col("is_target")).alias("imported")
     )
+    total = keys.agg(F.count(F.lit(1))).scalar()
+    return counts.select(total.alias("keys"), "deleted", "imported")
 
 
 def bootstrap_window(

@@ -23,7 +23,7 @@ class ControlStore:
     """State is one small document per mapping (a mapping is run by one job at a time); logs are append-only Parquet.
 
     Each run writes its log rows into a folder of its own name, so parallel runs do not meet and a repeated run replaces
-    its rows instead of adding them twice.
+    its rows instead of adding them twice. :meth:`merge_logs` joins the small files now and then.
     """
 
     def __init__(self, spark: SparkSession, root: str, keep: int = 5):
@@ -82,7 +82,41 @@ class ControlStore:
         df = self.spark.createDataFrame(values, LOG_SCHEMA).coalesce(1)
         df.write.mode("overwrite").parquet(f"{self.root}/logs/run={run or uuid.uuid4().hex}")
 
-    def logs(self) -> DataFrame:
-        if not Folder(self.spark, f"{self.root}/logs").names():
+    def _merged(self) -> VersionedDocument:
+        return VersionedDocument(Folder(self.spark, f"{self.root}/logs_merged"))
+
+    def _log_folders(self) -> tuple[list[str], list[str], list[str]]:
+        """Folder of the merged logs (if any), the runs that are not part of it, and leftovers of runs that are."""
+        found = self._merged().current()
+        merged, covered = ([found[1]["folder"]], set(found[1]["runs"])) if found else ([], set())
+        runs = [n for n in Folder(self.spark, f"{self.root}/logs").names() if n.startswith("run=")]
+        return merged, [n for n in runs if n not in covered], [n for n in runs if n in covered]
+
+    def _read_logs(self, folders: list[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], LOG_SCHEMA)
-        return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.root}/logs")
+        return self.spark.read.schema(LOG_SCHEMA).parquet(*[f"{self.root}/logs/{name}" for name in folders])
+
+    def logs(self) -> DataFrame:
+        merged, runs, _ = self._log_folders()
+        return self._read_logs(merged + runs)
+
+    def merge_logs(self) -> int:
+        """Rewrite the small files of the finished runs into few; returns the number of runs taken in.
+
+        The merged folder counts from the moment its document is published, and the runs it covers are left out from
+        then on, whether they are deleted already or not.
+        """
+        merged, runs, leftovers = self._log_folders()
+        if not runs:
+            return 0
+        folder = f"merged-{uuid.uuid4().hex}"
+        rows = self._read_logs(merged + runs)
+        rows.hint("rebalance").write.parquet(f"{self.root}/logs/{folder}")
+        document = self._merged()
+        number = (document.numbers() or [-1])[-1] + 1
+        document.publish(number, {"folder": folder, "runs": runs + leftovers})
+        for name in merged + runs + leftovers:
+            Folder(self.spark, f"{self.root}/logs").delete(name)
+        document.drop_before(number)
+        return len(runs)

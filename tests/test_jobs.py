@@ -12,6 +12,7 @@ from tablesync.plans.jobs import Endpoints, Options, SyncEngine, load_mappings
 from tablesync.sinks.control_store import ControlStore
 from tablesync.sinks.files import cluster_by_key, stage, write_tsv
 from tablesync.sinks.snapshot import SnapshotTarget
+from tablesync.sources.folders import Folder
 from tablesync.sources.tables import read_table, resolve_feed, table_exists
 
 NAMES = FeedNames("lsn", "seqval", "op")
@@ -340,6 +341,24 @@ def test_state_versions_and_log_runs(spark, folder):
     assert store.logs().first()["created_at"].year >= 2024
 
 
+def test_merged_logs_lose_and_repeat_nothing(spark, folder, monkeypatch):
+    store = ControlStore(spark, folder())
+    entry = {"log_type": "CDC", "log_message": "m", "status": "SUCCESS"}
+    assert store.merge_logs() == 0
+    for run in ("a", "b"):
+        store.append_logs([entry, entry], run=run)
+    with monkeypatch.context() as m:
+        m.setattr(Folder, "delete", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.merge_logs()  # published, but the runs are still there
+    assert store.logs().count() == 4
+    store.append_logs([entry], run="c")
+    store.append_logs([entry, entry], run="b")  # a repeated run that is merged already
+    assert store.logs().count() == 5
+    assert store.merge_logs() == 1
+    assert store.logs().count() == 5 and store.merge_logs() == 0
+
+
 def test_load_mappings(spark):
     flows = spark.createDataFrame([(7, "f", True), (8, "g", False)], "flow_id int, flow_name string, is_enabled boolean")
     mappings = spark.createDataFrame(

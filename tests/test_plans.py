@@ -121,3 +121,29 @@ def test_buckets_follow_the_shuffle_of_a_join(spark, folder):
     df = spark.range(1000).repartition(8, "id")
     tasks = df.select(F.spark_partition_id().alias("p"), target._bucket(df, 4).alias("b")).distinct().collect()
     assert len(tasks) == len({r["p"] for r in tasks}) == 8
+
+
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("how", [kd.read_by_keys, kd.delete_by_keys])
+def test_hot_key_of_a_table_is_split_in_the_join(spark, how):
+    hot = spark.range(0, 300_000, 1, 8).select(
+        F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("v")
+    )
+    keys = spark.range(0, 300_000, 7)
+    options = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "512k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    try:
+        for name, value in options.items():
+            spark.conf.set(name, value)
+        assert "SortMergeJoin(skew=true)" in final_plan(how(hot, keys, "id", merge=True))
+    finally:
+        for name in options:
+            spark.conf.unset(name)
