@@ -88,13 +88,17 @@ def changed_keys(changes: DataFrame, key: Key) -> DataFrame:
 
 
 def typed_keys(keys: DataFrame, table: DataFrame, key: Key) -> DataFrame:
-    """Keys under the names and types of ``table``, so that the join compares plain columns of equal type."""
+    """Keys under the names and types of ``table``, so that the join compares plain columns of equal type.
+
+    A key that cannot be read as the type of the table is an error in every ANSI mode: it must not get lost as NULL.
+    """
     out = []
     for k in key_list(key):
         have, want = resolve_key(keys, k)[0], resolve_key(table, k)[0]
-        c = F.col(quoted(have))
-        if keys.schema[have].dataType != table.schema[want].dataType:
-            c = c.cast(table.schema[want].dataType)
+        c, dtype = F.col(quoted(have)), table.schema[want].dataType
+        if keys.schema[have].dataType != dtype:
+            wrong = F.raise_error(F.concat(F.lit(f"key {want} is no {dtype.simpleString()}: "), c.cast("string")))
+            c = F.coalesce(c.try_cast(dtype), wrong.cast(dtype))
         out.append(c.alias(want))
     return keys.where(not_null_key(keys, key)).select(*out)
 

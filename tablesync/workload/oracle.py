@@ -157,6 +157,7 @@ ORACLE: dict[str, str] = {
     "replace_by_keys_window": _rep(REPLACED.format(k="kh")),
     "replace_by_keys_composite": """select conv_id, turn, role, text from conversations
       where (conv_id + turn) % 5 <> 0""",
+    "replace_by_keys_lineitem": "select * from lineitem where l_orderkey % 10 <> 7",
     "apply_ops": _rep(APPLIED_SELECT, APPLIED),
     "project_full_sync": _rep("select o_orderkey, o_orderpriority, o_totalprice, o_orderdate, o_orderstatus from src"),
     "project_aligned": _rep("select o_orderkey, o_totalprice, o_orderdate from src"),
@@ -192,6 +193,14 @@ ORACLE: dict[str, str] = {
       where s.o_orderkey is null or d.o_orderkey is null or s.o_totalprice <> d.o_totalprice
         or s.o_custkey <> d.o_custkey or s.o_orderstatus <> d.o_orderstatus or s.o_orderdate <> d.o_orderdate
         or s.o_orderpriority <> d.o_orderpriority"""),
+    "verify_full_lineitem": """with s as (select * from lineitem where l_orderkey % 10 <> 7),
+      d as (select * replace (case when l_orderkey % 10 = 5 and l_linenumber = 1 then l_tax + 1 else l_tax end as l_tax)
+        from lineitem where l_orderkey % 10 <> 3 or l_linenumber <> 2),
+      sk as (select l_orderkey, list_sort(list(cast(s as varchar))) as content from s group by 1),
+      dk as (select l_orderkey, list_sort(list(cast(d as varchar))) as content from d group by 1)
+      select coalesce(sk.l_orderkey, dk.l_orderkey) as l_orderkey, case when sk.l_orderkey is null then 'missing_in_src'
+        when dk.l_orderkey is null then 'missing_in_dst' else 'different' end as status
+      from sk full join dk on sk.l_orderkey = dk.l_orderkey where sk.content is distinct from dk.content""",
     "verify_full_documents": """select doc_id, case doc_id % 10 when 7 then 'missing_in_src' when 3 then 'missing_in_dst'
       else 'different' end as status from documents
       where doc_id % 10 in (3, 7) or (doc_id % 10 = 5 and text is not null)""",
@@ -222,6 +231,7 @@ ORACLE: dict[str, str] = {
       union all select 1, 1, 'CDC', 'SUCCESS', 0
       union all select 1, 1, 'VERIFICATION', 'SUCCESS', least(10, (select count(*) from src))"""),
     "run_state": _rep("select 1 as mapping_id, max(start_lsn) as last_cdc_lsn, true as has_sync_time from chg"),
+    "target_passes": _rep("select * from src"),
     "stream_sync": _rep("select * from src"),
     "stream_sync_ops": _rep(APPLIED_SELECT, APPLIED),
     "enabled_mappings": _ctl("select mapping_id, flow_id, flow_name, source_table, dest_table, last_cdc_lsn from enabled"),

@@ -23,7 +23,7 @@ from tablesync.operators import keyed as kd
 from tablesync.operators import verify as vf
 from tablesync.plans.jobs import Endpoints, Options, SyncEngine
 from tablesync.sinks.control_store import ControlStore
-from tablesync.sinks.files import stage, tsv_encode as encode
+from tablesync.sinks.files import stage, stage_keys, tsv_encode as encode
 from tablesync.sinks.snapshot import SnapshotTarget
 from tablesync.sources.folders import fresh_folder
 from tablesync.streaming.stream import stream_sync as start_stream
@@ -133,6 +133,16 @@ def replace_by_keys_composite(spark, sf):
     return kd.replace_by_keys(dst, src, talk.where(part < 2).select(*key), key)
 
 
+@query
+def replace_by_keys_lineitem(spark, sf):
+    """The lines of changed orders; the key is not unique in the table."""
+    lines = fx.table(spark, sf, "lineitem")
+    part = F.col("l_orderkey") % 10
+    dst = lines.withColumn("l_quantity", F.when(part == 5, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    keys = kd.changed_keys(lines.where(part.isin(5, 7)), "l_orderkey")
+    return kd.replace_by_keys(dst, lines.where(part != 7), keys, "l_orderkey")
+
+
 @query
 def apply_ops(spark, sf):
     r = fx.replication(spark, sf)
@@ -231,6 +241,16 @@ def verify_full(spark, sf):
     return vf.verify_full(r.src, r.dst, KEY)
 
 
+@query
+def verify_full_lineitem(spark, sf):
+    """Rows that share a key are compared as a multiset."""
+    lines = fx.table(spark, sf, "lineitem")
+    part = F.col("l_orderkey") % 10
+    changed = F.when((part == 5) & (F.col("l_linenumber") == 1), F.col("l_tax") + 1).otherwise(F.col("l_tax"))
+    dst = lines.where((part != 3) | (F.col("l_linenumber") != 2)).withColumn("l_tax", changed)
+    return vf.verify_full(lines.where(part != 7), dst, "l_orderkey")
+
+
 @query
 def verify_full_documents(spark, sf):
     docs = fx.table(spark, sf, "documents")
@@ -318,6 +338,19 @@ def run_state(spark, sf):
     return state.select("mapping_id", "last_cdc_lsn", F.col("last_cdc_sync_at").isNotNull().alias("has_sync_time"))
 
 
+@query
+def target_passes(spark, sf):
+    """The feed in three windows, applied in the three ways a pass can take: pending rows, fold, fold by shuffle."""
+    r, target = fx.replication(spark, sf), _target(spark)
+    target.overwrite(r.dst)
+    windows = [ch.lsn_window(r.chg, None, r.from_lsn, SHORT), _later(r), r.chg]
+    for window, limits in zip(windows, ((1 << 26, 1 << 62), (1 << 26, -1), (0, 0)), strict=True):
+        target.broadcast_bytes, target.pending_rows = limits
+        keys, stats = stage_keys(window, KEY, fresh_folder(spark, "keys"))
+        target.replace_by_keys(r.src, keys, stats=stats)
+    return target.read()
+
+
 def _run_stream(spark, sf, mode):
     r, target = fx.replication(spark, sf), _target(spark)
     target.overwrite(r.dst)

@@ -51,6 +51,17 @@ def test_binary_keys_and_keys_of_another_type(spark):
     assert rows(kd.read_by_keys(wide, spark.createDataFrame([("1",)], "ID string"), "id")) == [(1, "a")]
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_key_of_the_wrong_type_is_an_error(spark, ansi):
+    df = spark.createDataFrame([(1, "a")], "id int, v string")
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        with pytest.raises(Exception, match="key id is no int: x"):
+            kd.delete_by_keys(df, spark.createDataFrame([("x",)], "id string"), "id").collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_replace_fills_columns_the_source_lacks(spark):
     target = spark.createDataFrame([(1, "old", 7), (2, "keep", 8)], "id int, v string, own int")
     source = spark.createDataFrame([("new", 1, True)], "V string, ID int, extra boolean")
