@@ -33,12 +33,16 @@ _EXACT = (T.IntegralType, T.StringType, T.DecimalType, T.DateType, T.BinaryType)
 
 
 class KeyStats(NamedTuple):
-    """Measure of a key set: number, size in a broadcast table, smallest and largest leading key (None if unknown)."""
+    """Measure of a key set: number, size in a broadcast table, smallest and largest leading key (None if unknown).
+
+    ``type`` is the type whose order the smallest and largest key follow.
+    """
 
     keys: int
     bytes: int
     low: Any = None
     high: Any = None
+    type: str | None = None
 
     def fits(self, limit: int = BROADCAST_BYTES) -> bool:
         return self.bytes <= limit
@@ -58,7 +62,7 @@ def key_bytes(df: DataFrame, key: Key) -> Column:
 
 def measure_keys(keys: DataFrame, key: Key) -> KeyStats:
     """Measure a key set (an action; the set should be a written table, not a long plan)."""
-    return stats_of(keys.agg(*key_stats(keys, key)).head().asDict())
+    return stats_of(keys, key, keys.agg(*key_stats(keys, key)).head().asDict())
 
 
 def key_stats(df: DataFrame, key: Key) -> list[Column]:
@@ -70,8 +74,9 @@ def key_stats(df: DataFrame, key: Key) -> list[Column]:
     ]
 
 
-def stats_of(found: dict[str, Any]) -> KeyStats:
-    return KeyStats(found.get("n") or 0, found.get("b") or 0, found.get("low"), found.get("high"))
+def stats_of(keys: DataFrame, key: Key, found: dict[str, Any]) -> KeyStats:
+    lead = keys.schema[resolve_key(keys, key)[0]].dataType.simpleString()
+    return KeyStats(found.get("n") or 0, found.get("b") or 0, found.get("low"), found.get("high"), lead)
 
 
 def not_null_key(df: DataFrame, key: Key) -> Column:
@@ -125,16 +130,16 @@ def read_by_keys(
     With the measure of the set, its smallest and largest key become a filter of the scan, which skips the row groups
     outside of that range (and is pushed to a remote database).
     """
-    return _key_join(_within(table, keys, key, stats), keys, key, "left_semi", broadcast, merge)
+    return _key_join(_within(table, key, stats), keys, key, "left_semi", broadcast, merge)
 
 
-def _within(table: DataFrame, keys: DataFrame, key: Key, stats: KeyStats | None) -> DataFrame:
-    have, want = resolve_key(keys, key)[0], resolve_key(table, key)[0]
-    dtype = table.schema[want].dataType
-    if stats is None or stats.low is None or keys.schema[have].dataType != dtype:
+def _within(table: DataFrame, key: Key, stats: KeyStats | None) -> DataFrame:
+    lead = resolve_key(table, key)[0]
+    dtype = table.schema[lead].dataType
+    if stats is None or stats.low is None or stats.type != dtype.simpleString():
         return table
     low, high = (F.lit(v).cast(dtype) for v in (stats.low, stats.high))
-    return table.where(F.col(quoted(want)).between(low, high))
+    return table.where(F.col(quoted(lead)).between(low, high))
 
 
 def delete_by_keys(

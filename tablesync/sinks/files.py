@@ -20,11 +20,16 @@ def stage(df: DataFrame, path: str, spark: SparkSession | None = None) -> DataFr
     return (spark or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
-def stage_keys(changes: DataFrame, key: Key, path: str, spark: SparkSession | None = None) -> tuple[DataFrame, KeyStats]:
-    """Write the distinct keys of a change set; count and size are taken in the same job, in its last stage."""
-    keys, seen = changed_keys(changes, key), Observation()
+def write_keys(keys: DataFrame, key: Key, path: str, spark: SparkSession | None = None) -> tuple[DataFrame, KeyStats]:
+    """Write a key set and measure it in the same job; the counters sit in its last stage."""
+    seen = Observation()
     staged = stage(keys.observe(seen, *key_stats(keys, key)), path, spark)
-    return staged, stats_of(seen.get)
+    return staged, stats_of(keys, key, seen.get)
+
+
+def stage_keys(changes: DataFrame, key: Key, path: str, spark: SparkSession | None = None) -> tuple[DataFrame, KeyStats]:
+    """Write and measure the distinct keys of a change set."""
+    return write_keys(changed_keys(changes, key), key, path, spark)
 
 
 def cluster_by_key(df: DataFrame, key: Key) -> DataFrame:

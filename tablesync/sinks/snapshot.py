@@ -35,6 +35,7 @@ from tablesync.operators.keyed import (
     read_by_keys,
     typed_keys,
 )
+from tablesync.sinks.files import write_keys
 from tablesync.sources.folders import Folder, VersionedDocument
 
 BUCKET_COLUMN = "tablesync_bucket"
@@ -103,14 +104,15 @@ class SnapshotTarget:
     def read(self, version: int | None = None) -> DataFrame:
         """The published table (or one of its earlier versions that is still kept).
 
-        Pending keys are broadcast; they never exceed the limit a pass has measured.
+        Pending keys are broadcast if their recorded size allows it, which it does unless the limits were changed.
         """
         document = self.manifest()[1] if version is None else self._versions.read(version)
         base = self._base(document, range(document["buckets"]))
         if not document["pending"]:
             return base
         keys, rows = self._pending(document)
-        return delete_by_keys(base, keys, self.key, broadcast=True).unionByName(rows)
+        small = self._small(document)
+        return delete_by_keys(base, keys, self.key, small, not small).unionByName(rows)
 
     def _load(self, schema: T.StructType, paths: list[str]) -> DataFrame:
         if not paths:
@@ -138,6 +140,9 @@ class SnapshotTarget:
             self._load(schema, [f"{path}/rows"] if path else []),
         )
 
+    def _small(self, document: dict[str, Any]) -> bool:
+        return document["pending"]["bytes"] <= max(self.broadcast_bytes, BROADCAST_BYTES)
+
     def _key_names(self, schema: T.StructType) -> list[str]:
         return [next(f.name for f in schema.fields if f.name.lower() == k.lower()) for k in self.key]
 
@@ -149,7 +154,8 @@ class SnapshotTarget:
 
     def _aligned(self, buckets: int) -> bool:
         """Whether a task of a shuffle by key holds rows of few buckets only, and needs no second shuffle to write."""
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        initial = self.spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+        tasks = int(initial or self.spark.conf.get("spark.sql.shuffle.partitions"))
         return tasks % buckets == 0 or (buckets % tasks == 0 and buckets // tasks <= 16)
 
     def _write_base(self, parts: list[tuple[DataFrame, bool, bool]], buckets: int) -> tuple[str, list[int], dict]:
@@ -257,25 +263,24 @@ class SnapshotTarget:
         total = KeyStats(pending["keys"] + stats.keys, pending["bytes"] + stats.bytes)
         all_keys = keys if not document["pending"] else old_keys.unionByName(keys).distinct()
         if total.fits(self.broadcast_bytes) and pending["rows"] <= self.pending_rows:
-            path, seen = self._write_pending(all_keys, kept, fresh)
-            new["pending"] = {
-                "folder": path.rsplit("/", 1)[1],
-                "keys": total.keys,
-                "bytes": total.bytes,
-                "rows": seen["kept"] + seen["fresh"],
-            }
+            path, new["pending"], seen = self._write_pending(all_keys, kept, fresh)
             return Staged(number, f"{path}/rows", new, seen["kept"], seen["fresh"], deleted, stats.keys)
+        # Pending and new keys each fit the limit where both are small, so their union stays below twice of it.
+        small = small and total.fits(2 * self.broadcast_bytes)
         path, seen = self._fold(new, all_keys, [(kept, False, True)], fresh, small, by_key)
         return Staged(number, path, new, seen["kept"], seen["fresh"], deleted, stats.keys)
 
-    def _write_pending(self, keys: DataFrame, kept: DataFrame, fresh: DataFrame) -> tuple[str, dict]:
+    def _write_pending(self, keys: DataFrame, kept: DataFrame, fresh: DataFrame) -> tuple[str, dict, dict]:
         """Few rows: ``rebalance`` gathers them from many scan tasks into files of normal size."""
-        path = f"{self.root}/pending/p{uuid.uuid4().hex}"
+        folder = f"p{uuid.uuid4().hex}"
+        path = f"{self.root}/pending/{folder}"
         rows = kept.withColumn(_FRESH, F.lit(False)).unionByName(fresh.withColumn(_FRESH, F.lit(True)))
         rows, seen = self._observed(rows.hint("rebalance"))
         rows.write.parquet(f"{path}/rows")
-        keys.hint("rebalance").write.parquet(f"{path}/keys")
-        return path, _counts(seen)
+        _, stats = write_keys(keys.hint("rebalance"), self.key, f"{path}/keys")
+        counts = _counts(seen)
+        pending = {"folder": folder, "keys": stats.keys, "bytes": stats.bytes, "rows": counts["kept"] + counts["fresh"]}
+        return path, pending, counts
 
     def _fold(
         self,
@@ -351,7 +356,7 @@ class SnapshotTarget:
         number, document = self._next(), self.manifest()[1]
         if document["pending"]:
             keys, rows = self._pending(document)
-            self._fold(document, keys, [(rows, False, True)], None, True, False)
+            self._fold(document, keys, [(rows, False, True)], None, self._small(document), False)
             self._versions.publish(number, document)
 
     def append(self, df: DataFrame, properties: dict[str, Any] | None = None) -> Staged:

@@ -92,7 +92,7 @@ def test_measure_keys(spark):
     stats = kd.measure_keys(spark.range(10), "id")
     assert stats.keys == 10 and stats.fits(1000) and not stats.fits(100)
     assert (stats.low, stats.high) == (0, 9)
-    assert kd.measure_keys(spark.range(0), "id") == (0, 0, None, None)
+    assert kd.measure_keys(spark.range(0), "id") == (0, 0, None, None, "bigint")
 
 
 @pytest.mark.parametrize("sql", ["5", "'b'", "cast(1.5 as decimal(9,2))", "date'2024-01-02'", "X'00ff'", "1.5d",

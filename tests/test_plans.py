@@ -81,7 +81,7 @@ def test_tail_comparison_skips_row_groups_of_the_source(spark, stored):
 
 def test_small_key_sets_skip_row_groups_of_the_table(stored, folder):
     keys, stats = stage_keys(stored.where("id between 1000 and 1010"), "id", folder())
-    assert stats == (11, 11 * 64, 1000, 1010)
+    assert stats == (11, 11 * 64, 1000, 1010, "bigint")
     found = kd.read_by_keys(stored, keys, "id", broadcast=True, stats=stats)
     assert found.count() == 11
     assert scanned_rows(found, 1) < 100_000

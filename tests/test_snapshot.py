@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tablesync.functions.columns import generated_names, mark_generated
 from tablesync.model import FeedNames
+from tablesync.sinks.files import stage_keys
 from tablesync.sinks.snapshot import SnapshotTarget
 from tablesync.sources.folders import AlreadyPublished, Folder
 
@@ -175,6 +176,27 @@ def test_keys_and_source_of_other_types(spark, folder, start):
         assert target.read().schema.simpleString() == "struct<id:int,v:string>"
 
 
+@pytest.mark.parametrize("feed_type,source_type", [("string", "string"), ("string", "int"), ("int", "string"), ("int", "int")])
+def test_key_ranges_follow_the_order_of_their_type(spark, folder, start, feed_type, source_type):
+    """As text '10' sorts before '9'; a range measured in one type must not be used in another."""
+    target = target_at(spark, folder)
+    target.overwrite(start)
+    changes = spark.createDataFrame([(9,), (10,), (5,)], "id int").select(F.col("id").cast(feed_type))
+    source = start.select(F.col("id").cast(source_type), F.lit("new").alias("v")).where("id <> 5")
+    key_set, stats = stage_keys(changes, "id", folder("keys"))
+    staged = target.replace_by_keys(source, key_set, stats=stats)
+    assert (staged.deleted, staged.fresh) == (3, 2)
+    assert rows(target.read().where("v = 'new'")) == [(10, "new"), (9, "new")]
+
+
+def test_keys_changed_again_are_counted_once(spark, folder, start):
+    target = target_at(spark, folder)
+    target.overwrite(start)
+    for _ in range(3):
+        target.replace_by_keys(start, keys(spark, 1, 2))
+    assert target.manifest()[1]["pending"]["keys"] == 2
+
+
 def test_composite_string_key(spark, folder):
     df = spark.createDataFrame([("a'b", 1, "x"), ("a/b", 2, "y")], "k string, n int, v string")
     target = SnapshotTarget(spark, folder(), ["k", "n"], 4)
