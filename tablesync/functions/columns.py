@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.functions.text import to_hex
-from tablesync.model import GENERATED, IDENTITY, META_PREFIX, Key, key_list
+from tablesync.model import GENERATED, IDENTITY, META_PREFIX, Key, key_list, quoted
 
 
 class ColumnInfo(NamedTuple):
@@ -19,10 +19,6 @@ class ColumnInfo(NamedTuple):
     generated: str | None
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def column_info(df: DataFrame) -> list[ColumnInfo]:
     """Columns in ordinal order with type and generated kind (identity, rowversion or None)."""
     return [

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablesync.model import quoted
+
 
 def to_hex(c: Column) -> Column:
     """Lower-case hex text of a binary column."""
@@ -80,7 +82,7 @@ def text_of(c: Column, dtype: T.DataType, float_scale: int | None = None) -> Col
 
 def key_text(df: DataFrame, key: list[str]) -> Column:
     """A key as one text value; the parts of a composite key are joined with ``|``."""
-    parts = [text_of(F.col(f"`{k}`"), df.schema[k].dataType) for k in key]
+    parts = [text_of(F.col(quoted(k)), df.schema[k].dataType) for k in key]
     return parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
 
 

@@ -127,3 +127,8 @@ def key_list(key: Key) -> list[str]:
     if not names:
         raise ValueError("a table key needs at least one column")
     return names
+
+
+def quoted(name: str) -> str:
+    """A column name as Spark parses it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"

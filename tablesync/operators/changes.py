@@ -72,15 +72,15 @@ def change_summary(changes: DataFrame, key: Key, names: FeedNames = DEFAULT_FEED
     Grouped by key first with plain counters, which combine on the map side; the second step adds up one row per key.
     """
     op = F.col(quoted(names.operation))
-    keyed = changes.groupBy(not_null_key(changes, key).alias("has_key"), *[quoted(k) for k in resolve_key(changes, key)]).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(op == code).alias(f"op{code}") for code in (1, 2, 3, 4)],
+    keyed = changes.groupBy(not_null_key(changes, key).alias("__has_key"), *[quoted(k) for k in resolve_key(changes, key)]).agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[F.count_if(op == code).alias(f"__op{code}") for code in (1, 2, 3, 4)],
     )
     counts = keyed.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("changes"),
-        F.count_if(F.col("has_key")).alias("distinct_keys"),
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("changes"),
+        F.count_if(F.col("__has_key")).alias("distinct_keys"),
         *[
-            F.coalesce(F.sum(f"op{code}"), F.lit(0)).alias(name)
+            F.coalesce(F.sum(f"__op{code}"), F.lit(0)).alias(name)
             for code, name in ((1, "deletes"), (2, "inserts"), (3, "before_images"), (4, "after_images"))
         ],
     )
@@ -95,11 +95,11 @@ def apply_counts(target: DataFrame, source: DataFrame, keys: DataFrame, key: Key
     """
     names = resolve_key(target, key)
     sides = [
-        select_as(df, names).withColumn("is_target", F.lit(is_target)) for df, is_target in ((target, True), (source, False))
+        select_as(df, names).withColumn("__is_target", F.lit(is_target)) for df, is_target in ((target, True), (source, False))
     ]
     hits = read_by_keys(sides[0].unionByName(sides[1]), keys, names)
     counts = hits.agg(
-        F.count_if(F.col("is_target")).alias("deleted"), F.count_if(~F.col("is_target")).alias("imported")
+        F.count_if(F.col("__is_target")).alias("deleted"), F.count_if(~F.col("__is_target")).alias("imported")
     )
     total = keys.agg(F.count(F.lit(1))).scalar()
     return counts.select(total.alias("keys"), "deleted", "imported")

@@ -172,9 +172,9 @@ def latest_changes(changes: DataFrame, key: Key, names: FeedNames = DEFAULT_FEED
     after = changes.where(not_null_key(changes, key) & (F.col(quoted(names.operation)) != OP_BEFORE))
     rest = [c for c in changes.columns if c not in keys]
     order = F.struct(*[F.col(quoted(c)) for c in (names.lsn, names.seqval, names.operation)])
-    last = F.max_by(F.struct(*[F.col(quoted(c)) for c in rest]), order).alias("last")
+    last = F.max_by(F.struct(*[F.col(quoted(c)) for c in rest]), order).alias("__last")
     picked = after.groupBy(*[quoted(k) for k in keys]).agg(last)
-    by_name = {c: F.col(quoted(c)) if c in keys else F.col("last").getField(c).alias(c) for c in changes.columns}
+    by_name = {c: F.col(quoted(c)) if c in keys else F.col("__last").getField(c).alias(c) for c in changes.columns}
     return picked.select(*[by_name[c] for c in changes.columns])
 
 

@@ -26,6 +26,8 @@ MISSING_IN_SRC, MISSING_IN_DST = "missing_in_src", "missing_in_dst"
 SAMPLE_KEYS = 50
 
 BUCKET = "bucket"
+# Names that do not meet those of table columns.
+_BUCKET, _SIDE, _IN_SRC = "__bucket", "__side", "__in_src"
 # Most differing buckets whose numbers are sent to every executor (4 bytes each).
 MAX_BUCKETS = 1 << 20
 
@@ -142,7 +144,7 @@ def _words(df: DataFrame, cols: list[str], as_text: set[str], checksum: str, sca
 
 
 def _named_words(words: list[Column]) -> list[Column]:
-    return [c.alias(f"w{i}") for i, c in enumerate(words)]
+    return [c.alias(f"__w{i}") for i, c in enumerate(words)]
 
 
 def verify_buckets(
@@ -166,12 +168,12 @@ def verify_buckets(
     for df, in_src in ((src, True), (dst, False)):
         bucket = bucket_of if bucket_of is not None else key_bucket(df, key, buckets, as_text)
         words = _words(df, cols, as_text, checksum, float_scale)
-        parts.append(df.select(bucket.alias(BUCKET), F.lit(in_src).alias("in_src"), *_named_words(words)))
-    sides = (("src", F.col("in_src")), ("dst", ~F.col("in_src")))
+        parts.append(df.select(bucket.alias(BUCKET), F.lit(in_src).alias(_IN_SRC), *_named_words(words)))
+    sides = (("src", F.col(_IN_SRC)), ("dst", ~F.col(_IN_SRC)))
     grouped = parts[0].unionByName(parts[1]).groupBy(BUCKET).agg(
         *[F.count_if(side).alias(f"{name}_rows") for name, side in sides],
         *[
-            F.coalesce(F.sum(F.when(side, F.col(f"w{w}"))), F.lit(0)).alias(f"{name}_sum{w}")
+            F.coalesce(F.sum(F.when(side, F.col(f"__w{w}"))), F.lit(0)).alias(f"{name}_sum{w}")
             for name, side in sides
             for w in range(WORDS)
         ],
@@ -203,31 +205,30 @@ def verify_full(
     """
     if not 0 < buckets <= MAX_BUCKETS:
         raise ValueError(f"buckets must be 1 to {MAX_BUCKETS}")
-    diff = F.broadcast(differing_buckets(
-        verify_buckets(src, dst, key, buckets, float_scale, checksum=checksum)
-    ))
+    found = verify_buckets(src, dst, key, buckets, float_scale, checksum=checksum)
+    diff = F.broadcast(differing_buckets(found).withColumnRenamed(BUCKET, _BUCKET))
     src, dst, cols = _sides(src, dst, key)
     as_text, keys = text_columns(src, dst, cols), resolve_key(dst, key)
     parts = []
     for df, sign in ((src, 1), (dst, -1)):
         bucket = key_bucket(df, keys, buckets, as_text)
-        suspects = df.withColumn(BUCKET, bucket).join(diff, BUCKET, "left_semi").drop(BUCKET)
+        suspects = df.withColumn(_BUCKET, bucket).join(diff, _BUCKET, "left_semi").drop(_BUCKET)
         words = [c * sign for c in _words(suspects, cols, as_text, checksum, float_scale)]
         parts.append(suspects.select(
             *[F.col(quoted(k)).cast(dst.schema[k].dataType).alias(k) for k in keys],
-            F.lit(sign).alias("side"),
+            F.lit(sign).alias(_SIDE),
             *_named_words(words),
         ))
     per_key = parts[0].unionByName(parts[1]).groupBy(*[quoted(k) for k in keys]).agg(
-        F.count_if(F.col("side") == 1).alias("n_src"),
-        F.count_if(F.col("side") == -1).alias("n_dst"),
-        *[F.sum(f"w{w}").alias(f"w{w}") for w in range(WORDS)],
+        F.count_if(F.col(_SIDE) == 1).alias("__src"),
+        F.count_if(F.col(_SIDE) == -1).alias("__dst"),
+        *[F.sum(f"__w{w}").alias(f"__w{w}") for w in range(WORDS)],
     )
-    equal = F.col("n_src") == F.col("n_dst")
+    equal = F.col("__src") == F.col("__dst")
     for w in range(WORDS):
-        equal = equal & (F.col(f"w{w}") == 0)
+        equal = equal & (F.col(f"__w{w}") == 0)
     status = (
-        F.when(F.col("n_src") == 0, MISSING_IN_SRC).when(F.col("n_dst") == 0, MISSING_IN_DST).otherwise(DIFFERENT)
+        F.when(F.col("__src") == 0, MISSING_IN_SRC).when(F.col("__dst") == 0, MISSING_IN_DST).otherwise(DIFFERENT)
     )
     return per_key.where(~equal).select(*[quoted(k) for k in keys], status.alias("status"))
 

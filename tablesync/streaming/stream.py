@@ -36,8 +36,8 @@ def replace_batch(
 def newer_changes(latest: DataFrame, positions: DataFrame, key: Key, names: FeedNames = DEFAULT_FEED) -> DataFrame:
     """Changes that come after the last applied position of their key, or whose key has none yet."""
     keys = resolve_key(latest, key)
-    seen = positions.select(*[quoted(k) for k in keys], F.struct("lsn", "seqval").alias("__seen"))
-    now = F.struct(F.col(quoted(names.lsn)).alias("lsn"), F.col(quoted(names.seqval)).alias("seqval"))
+    seen = positions.select(*[quoted(k) for k in keys], F.struct("__lsn", "__seqval").alias("__seen"))
+    now = F.struct(F.col(quoted(names.lsn)).alias("__lsn"), F.col(quoted(names.seqval)).alias("__seqval"))
     joined = latest.join(seen, keys, "left").where(F.col("__seen").isNull() | (now > F.col("__seen")))
     return joined.select(*[quoted(c) for c in latest.columns])
 
@@ -64,8 +64,8 @@ def ops_batch(
         staged = target.apply_ops(latest, names, properties)
         applied = latest.select(
             *[quoted(k) for k in keys],
-            F.col(quoted(names.lsn)).alias("lsn"),
-            F.col(quoted(names.seqval)).alias("seqval"),
+            F.col(quoted(names.lsn)).alias("__lsn"),
+            F.col(quoted(names.seqval)).alias("__seqval"),
         )
         if positions.exists():
             positions.replace_by_keys(applied, applied.select(*[quoted(k) for k in keys]))

@@ -95,7 +95,7 @@ def test_a_batch_that_failed_is_repeated(spark, folder, mode, broken, monkeypatc
 
 def test_newer_changes(spark):
     latest = spark.createDataFrame([("2", "1", 4, 1, "a"), ("1", "9", 4, 2, "b"), ("1", "1", 4, 3, "c")], FEED)
-    positions = spark.createDataFrame([(1, "1", "9"), (2, "1", "9")], "id int, lsn string, seqval string")
+    positions = spark.createDataFrame([(1, "1", "9"), (2, "1", "9")], "id int, __lsn string, __seqval string")
     assert sorted(r["id"] for r in sm.newer_changes(latest, positions, "id", NAMES).collect()) == [1, 3]
 
 

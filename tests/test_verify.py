@@ -2,8 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tablesync.functions.columns import mark_generated
+from tablesync.functions.columns import mark_generated, quoted
+from tablesync.model import FeedNames
+from tablesync.operators import changes as ch
+from tablesync.operators import keyed as kd
 from tablesync.operators import verify as vf
+from tablesync.sinks.snapshot import SnapshotTarget
 
 
 def statuses(df, key="id"):
@@ -118,3 +122,26 @@ def test_reconcile(sides, spark):
     assert vf.reconcile_counts(src, src).first() == (5, 5, True)
     assert vf.reconcile_counts(src, src.limit(2)).first() == (5, 2, False)
     assert vf.reconcile_counts(src.limit(0), src).first() == (0, 5, True)
+
+
+def test_any_column_name(spark, folder):
+    """Names with dots, quotes and blanks, and names the operators use themselves."""
+    names = ["a.b", "c`d", "sp ace", "bucket", "side", "n", "w0", "row_hash", "last", "in_src"]
+    src = spark.createDataFrame([tuple(range(i, i + 10)) for i in range(5)], names)
+    dst = src.select(*[
+        (F.col(quoted(c)) + F.when(F.col("side") == 6, 1).otherwise(0)).alias(c) if c == "bucket" else F.col(quoted(c))
+        for c in names
+    ])
+    for key in ("a.b", "side", "n", ["c`d", "sp ace"]):
+        found = vf.verify_full(src, dst, key).collect()
+        assert [r["status"] for r in found] == ["different"]
+        summary = vf.verify_tail(src, dst, key)[0].first()
+        assert (summary["compared"], summary["mismatches"]) == (5, 1)
+        target = SnapshotTarget(spark, folder(), key, 2)
+        target.overwrite(dst)
+        target.replace_by_keys(src, vf.verify_full(src, dst, key).drop("status"))
+        assert vf.verify_full(src, target.read(), key).count() == 0
+        changes = dst.withColumns({"lsn": F.lit("1"), "seqval": F.lit("1"), "op": F.lit(4)})
+        names_of = FeedNames("lsn", "seqval", "op")
+        assert vf.verify_full(kd.apply_ops(src, changes, key, names_of), dst, key).count() == 0
+        assert ch.change_summary(changes, key, names_of).first()["distinct_keys"] == 5
