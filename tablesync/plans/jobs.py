@@ -10,6 +10,7 @@ from __future__ import annotations
 import logging
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -117,7 +118,7 @@ class SyncEngine:
     def _full_sync(self, mapping: Mapping, say) -> RunResult:
         ends, names = self.locate(mapping), self.options.feed_names
         say(INFO, "Full sync started")
-        frozen = None
+        served, frozen = self._request(mapping), None
         if mapping.cdc_enabled:
             feed = ends.feed()
             if feed is None:
@@ -138,9 +139,9 @@ class SyncEngine:
         if staged.fresh > 0 and arrived != staged.fresh:
             say(WARNING, f"Row count mismatch, exported {staged.fresh}, imported {arrived}")
         target.publish(staged)
-        now = utc_now()
+        now, still = utc_now(), None if self._request(mapping) != served else False
         self.store.update(
-            mapping.mapping_id, is_full_sync=False, last_cdc_lsn=frozen, last_full_sync_at=now, last_connected_at=now
+            mapping.mapping_id, is_full_sync=still, last_cdc_lsn=frozen, last_full_sync_at=now, last_connected_at=now
         )
         return self._done(mapping, FULL_SYNC, f"Full sync completed, {arrived} records transferred", records=arrived)
 
@@ -289,7 +290,11 @@ class SyncEngine:
         return bool(self.store.state(mapping.mapping_id).get("is_full_sync", mapping.is_full_sync))
 
     def request_full_sync(self, mapping_id: int) -> None:
-        self.store.update(mapping_id, is_full_sync=True)
+        """Ask for a full sync; one asked for while another is running is not lost."""
+        self.store.update(mapping_id, is_full_sync=True, request=uuid.uuid4().hex)
+
+    def _request(self, mapping: Mapping) -> str | None:
+        return self.store.state(mapping.mapping_id).get("request")
 
     def sync_all(self, mappings: Iterable[Mapping]) -> list[RunResult]:
         """Every mapping on its own; the failure of one does not touch the others."""

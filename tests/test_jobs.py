@@ -150,6 +150,16 @@ def test_failed_full_sync_changes_nothing_and_is_retried(world):
     assert world.in_step() and not world.engine.full_sync_requested(world.mapping)
 
 
+def test_a_request_during_a_full_sync_is_not_lost(world):
+    world.engine.request_full_sync(1)
+    world.on_source = lambda: world.engine.request_full_sync(1)
+    assert world.engine.full_sync(world.mapping).status == SUCCESS
+    assert world.engine.full_sync_requested(world.mapping)
+    world.on_source = None
+    assert world.engine.full_sync(world.mapping).status == SUCCESS
+    assert not world.engine.full_sync_requested(world.mapping)
+
+
 def test_unreachable_source_is_a_connection_error(world):
     def gone():
         raise OSError("no route")
