@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ LIMIT = 20
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 256
 #: Distinct pieces of text whose ids a Python worker remembers.
-MEMORY = 300_000
+MEMORY = 800_000
 
 # How byte-level BPE splits a text before merging, for texts of the characters in PLAIN only.
 PIECE = re.compile(
@@ -59,23 +61,19 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        kind = {2: "H", 4: "I"}[self.dtype.itemsize]
+        return [struct.pack(f"<{len(ids)}{kind}", *ids) for ids in (e.ids for e in found)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not PLAIN.fullmatch(t) or any(a in t for a in self.added)]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        if len(self.known) > MEMORY:
-            self.known = {}
-        for i, text in enumerate(texts):
-            if out[i] is None:
-                parts = PIECE.findall(text)
-                new = list(set(parts).difference(self.known))
-                if new:
-                    self.known.update(zip(new, self._encode(new), strict=True))
-                out[i] = b"".join(map(self.known.__getitem__, parts))
-        return out
+        whole = [not PLAIN.fullmatch(t) or any(a in t for a in self.added) for t in texts]
+        parts = [[t] if w else PIECE.findall(t) for t, w in zip(texts, whole, strict=True)]
+        ids_of_whole = iter(self._encode([t for t, w in zip(texts, whole, strict=True) if w]))
+        if len(self.known) > MEMORY:  # words met early are the frequent ones
+            self.known = dict(islice(self.known.items(), MEMORY // 2))
+        new = list(set().union(*(p for p, w in zip(parts, whole, strict=True) if not w)).difference(self.known))
+        self.known.update(zip(new, self._encode(new), strict=True))
+        return [next(ids_of_whole) if w else b"".join(map(self.known.__getitem__, p)) for p, w in zip(parts, whole, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
