@@ -31,8 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named, (key, text, n_chars) = shielded(docs, "doc_id", "text", "n_chars")
-    kept = line_dedup.dedup_lines(named, key, text).drop("n_lines", "n_dropped")
-    return kept.withColumn(n_chars, F.length(text).cast(named.schema[n_chars].dataType)).toDF(*docs.columns)
+    kept = line_dedup.dedup_lines(named, key, text)
+    return kept.withColumn(n_chars, F.length(text).cast(named.schema[n_chars].dataType)).select(named.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named, (key, source) = shielded(docs, "doc_id", "source")
-    return mixing.in_order(mixing.mix(named, doc_id=key, source=source)).drop("block", "slot", "pos").toDF(*docs.columns)
+    return mixing.in_order(mixing.mix(named, doc_id=key, source=source)).select(named.columns).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,6 +86,13 @@ def by_batch(function):
 
 
 def shielded(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
-    """The rows under column names that clash with nothing, and the new names of some columns; ``toDF`` restores the old ones."""
+    """The rows under column names that clash with nothing, and the new names of some columns."""
     fresh = {c.lower(): f"c{i}" for i, c in enumerate(docs.columns)}
     return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), [fresh[n.lower()] for n in names]
+
+
+def restored(rows: DataFrame, columns: list[str], new: dict[str, Column]) -> DataFrame:
+    """Shielded rows under their old column names, with new columns; a new one replaces an old one of its name."""
+    gone = {n.lower() for n in new}
+    old = [F.col(f"c{i}").alias(c) for i, c in enumerate(columns) if c.lower() not in gone]
+    return rows.select(*old, *(c.alias(n) for n, c in new.items()))

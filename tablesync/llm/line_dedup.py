@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import SPACE, by_batch, utf8, written
+from tablesync.llm.common import SPACE, by_batch, restored, shielded, utf8, written
 from tablesync.sources.folders import Folder, fresh_folder
 
 STRIP = SPACE.encode()
@@ -115,12 +115,17 @@ class LineRuns:
                 self._drop(run)
 
     def _folded(self, runs: list[Run]) -> DataFrame:
+        """One row for each line of some runs. A merge of sorted buckets: full outer joins, for which no run is shuffled."""
         rows = self.spark.table(runs[0].name)
         for run in runs[1:]:
-            rows = rows.unionByName(self.spark.table(run.name))
-        return rows.groupBy(*HASH).agg(
-            F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.min("seen").alias("seen")
-        )
+            other = self.spark.table(run.name).select(*HASH, *(F.col(c).alias(f"{c}_2") for c in ("n_docs", "max_doc", "seen")))
+            rows = rows.join(other.hint("merge"), HASH, "full").select(
+                *HASH,
+                (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_docs_2", F.lit(0))).alias("n_docs"),
+                F.greatest("max_doc", "max_doc_2").alias("max_doc"),
+                (F.coalesce("seen", F.lit(True)) & F.coalesce("seen_2", F.lit(True))).alias("seen"),
+            )
+        return rows
 
     def common(self, min_docs: int) -> DataFrame:
         """h1, h2, max_doc of the lines that at least ``min_docs`` documents hold."""
@@ -156,14 +161,11 @@ def dedup_lines(
     All other columns pass through. ``batches`` is how many deliveries the documents are taken in; it does not change the result.
     """
     spark = docs.sparkSession
+    named, (key, body) = shielded(docs, doc_id, text)
     path = fresh_folder(spark, "lines")
-    doc_lines(docs, doc_id, text, min_chars, batches).write.partitionBy("batch").parquet(path)
-    if not Folder(spark, path).has_data():  # no line is long enough
-        lines = None
-    else:
+    doc_lines(named, key, body, min_chars, batches).write.partitionBy("batch").parquet(path)
+    if Folder(spark, path).has_data():
         lines = spark.read.parquet(path)
-    drops = None
-    if lines is not None:
         runs = LineRuns(spark, fanout)
         for batch in range(batches):
             runs.add(lines.where(F.col("batch") == batch))
@@ -172,11 +174,11 @@ def dedup_lines(
         # A line of a third of all documents: only the side of the documents is large, and AQE splits it.
         drops = lines.join(common, HASH).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
         packed = F.unhex(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in HASH)))
-        drops = drops.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(packed).alias("__drops"))
-        joined = docs.join(drops.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__id")), "left").drop("__id")
-    else:
-        joined = docs.withColumn("__drops", F.lit(None).cast("array<binary>"))
+        drops = drops.groupBy("doc_id").agg(F.collect_list(packed).alias("drops"))
+        joined = named.join(drops.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("doc_id")), "left")
+    else:  # no line is long enough
+        joined = named.withColumn("drops", F.lit(None).cast("array<binary>"))
     kept = F.pandas_udf(_kept, "text string, n_lines long, n_dropped long")
-    result = joined.withColumn("__kept", kept(utf8(F.col(text)), F.col("__drops"), F.lit(min_chars)))
-    result = result.withColumns({text: F.col("__kept.text"), "n_lines": F.col("__kept.n_lines"), "n_dropped": F.col("__kept.n_dropped")})
-    return result.drop("__kept", "__drops")
+    result = joined.withColumn("kept", kept(utf8(F.col(body)), F.col("drops"), F.lit(min_chars)))
+    new = {c: F.col(f"kept.{c}") for c in ("text", "n_lines", "n_dropped")}
+    return restored(result, docs.columns, {text if c == "text" else c: v for c, v in new.items()})

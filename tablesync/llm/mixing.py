@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import written
+from tablesync.llm.common import restored, shielded, written
 
 #: Slots of a period that weights are rounded to. At least one slot a source, so the period grows with many sources.
 PERIOD = 1000
@@ -90,9 +90,10 @@ def mix(
     (source, weight); by default a source weighs the whole part of the square root of its number of documents. Columns of
     these three names are replaced.
     """
-    rows = docs.withColumns({
-        "__key": source_key(F.col(source)), "__id": F.col(doc_id),
-        "__order": F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")),
+    named, (key, origin) = shielded(docs, doc_id, source)
+    rows = named.withColumns({
+        "__key": source_key(F.col(origin)), "__id": F.col(key),
+        "__order": F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")),
     })
     counts = written(rows.groupBy(F.col("__key").alias("key")).agg(F.count(F.lit(1)).alias("n")), "mix-sources")
     if weights is None:
@@ -106,15 +107,11 @@ def mix(
         weights = counts.select("key").join(given, "key", "left").select("key", unit.alias("weight"))
     plan = written(schedule(shares(weights, period)), "mix-schedule")
     n_sources, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    plan = plan.select(F.col("key").alias("__key"), "share", F.col("slots").alias("__slots"), F.col("period").alias("__period"))
-    plan = plan.withColumnRenamed("share", "__share")
+    plan = plan.withColumnRenamed("key", "__key")
     rows = numbered(rows, total, bucket_rows).join(F.broadcast(plan) if n_sources <= BROADCAST_SOURCES else plan, "__key")
-    block = F.expr(f"__index div {block_rows}")
-    return rows.withColumns({
-        "block": block,
-        "slot": F.expr(f"(__index div {block_rows}) div __share * __period + __slots[cast((__index div {block_rows}) % __share as int)]"),
-        "pos": F.col("__index") % block_rows,
-    }).drop("__key", "__id", "__order", "__index", "__share", "__slots", "__period")
+    rows = rows.withColumn("block", F.expr(f"__index div {block_rows}"))
+    slot = F.expr("block div share * period + slots[cast(block % share as int)]")
+    return restored(rows, docs.columns, {"block": F.col("block"), "slot": slot, "pos": F.col("__index") % block_rows})
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

@@ -32,6 +32,8 @@ ROWS = 4
 #: Nodes and shingles of a block of an open bucket.
 BLOCK_NODES = 1024
 BLOCK_ITEMS = 1 << 20
+#: Ids that a join may broadcast.
+BROADCAST_IDS = 1_000_000
 #: Shingles permuted at a time: bounds the memory of very long texts.
 CHUNK = 4096
 _FACTORS = odd_numbers(PERMUTATIONS, 11)[:, None]
@@ -87,7 +89,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         columns = [[digest_of(x) for x in found], [x.astype("<u8").tobytes() for x in found]]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["node", "items"])
 
-    rows = docs.join(ids, "doc_id", "left_semi").select(utf8(F.col("text")).alias("text"))
+    # Ids of a checked number travel to the texts; beyond it, the texts are shuffled to the ids.
+    small = ids.count() <= BROADCAST_IDS
+    rows = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").select(utf8(F.col("text")).alias("text"))
     return rows.mapInArrow(by_batch(run), "node binary, items binary")
 
 
@@ -203,6 +207,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     least = entries.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     shared = written(entries.join(least.select("band", "least"), "band").distinct(), "shared-bands")
     wanted = shared.select("node").distinct().join(nodes, "node").select(F.col("first_id").alias("doc_id")).distinct()
+    wanted = written(wanted, "wanted-ids")
     sets = written(full_sets(docs, wanted, k).dropDuplicates(["node"]), "full-sets")
     stars = shared.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = written(confirmed(stars, sets, percent), "links")

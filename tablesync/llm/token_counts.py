@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablesync.llm.common import restored, shielded
+
 BLANK = "▁"
 WORD = re.compile(f"{BLANK}[^{BLANK}]*")
 #: Scores are whole multiples of 1 / UNIT.
@@ -117,5 +119,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
             found = [count.text(t) for t in batch]
             yield pd.DataFrame({"n": [n for n, _ in found], "score": [-c / UNIT for _, c in found]})
 
-    rows = docs.withColumn("__tokens", counted(F.coalesce(text, F.lit(""))))
-    return rows.withColumns({"n_tokens": F.col("__tokens.n"), "token_score": F.col("__tokens.score")}).drop("__tokens")
+    named, (body,) = shielded(docs, text)
+    rows = named.withColumn("found", counted(F.coalesce(body, F.lit(""))))
+    return restored(rows, docs.columns, {"n_tokens": F.col("found.n"), "token_score": F.col("found.score")})

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import ngram_hashes, shielded, word_hashes, written
+from tablesync.llm.common import ngram_hashes, restored, shielded, word_hashes, written
 
 #: Bits of a feature bucket.
 BITS = 22
@@ -147,8 +147,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in texts:
             yield pd.Series(spread.value.scores(batch.tolist()))
 
-    rows = docs.withColumn("score", scores(F.coalesce(text, F.lit(""))))
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    named, (body,) = shielded(docs, text)
+    rows = named.withColumn("score", scores(F.coalesce(body, F.lit(""))))
+    return restored(rows, docs.columns, {"score": F.col("score"), "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
