@@ -55,16 +55,18 @@ def md5_words(hash_col: Column) -> list[Column]:
     return [F.conv(F.substring(hash_col, 5 * w + 1, 5), 16, 10).cast("bigint") for w in range(WORDS)]
 
 
-def value_words(df: DataFrame, columns: list[str], as_text: set[str]) -> list[Column]:
+def value_words(df: DataFrame, columns: list[str], as_text: set[str], float_scale: int | None = None) -> list[Column]:
     """63 bits of a 64-bit hash over the typed values, as words.
 
     Several times cheaper than hashing text. NULL flags are part of the hash, since the hash function itself skips NULL.
-    Columns in ``as_text`` are hashed by their canonical text.
+    Columns in ``as_text`` are hashed by their canonical text, and with a ``float_scale`` so are floating-point columns.
     """
     values, flags = [], []
     for name in columns:
         c = F.col(quoted(name))
-        values.append(text_of(c, df.schema[name].dataType) if name in as_text else c)
+        dtype = df.schema[name].dataType
+        scaled = float_scale is not None and isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType)
+        values.append(text_of(c, dtype, float_scale) if name in as_text or scaled else c)
         flags.append(c.isNull())
     h = F.xxhash64(*values, *flags)
     return [F.shiftrightunsigned(h, 21 * w).bitwiseAND(F.lit((1 << 21) - 1)) for w in range(WORDS)]

@@ -19,15 +19,19 @@ def _is_binary(feed: DataFrame, names: FeedNames) -> bool:
 
 
 def lsn_text(feed: DataFrame, names: FeedNames = DEFAULT_FEED) -> Column:
-    """Log position as lower-case hex text, whether the feed holds it as binary or as text."""
+    """Log position as hex text: lower-case from a binary column, and in the spelling of the feed from a text column."""
     c = F.col(quoted(names.lsn))
     return to_hex(c) if _is_binary(feed, names) else c
 
 
 def _as_stored(feed: DataFrame, position: Position, names: FeedNames) -> Column:
-    """A hex position in the type of the feed column: the comparison stays a plain one that reaches the scan."""
-    c = F.lit(position.lower().removeprefix("0x")) if isinstance(position, str) else position
-    return F.unhex(c) if _is_binary(feed, names) else c
+    """A hex position in the type of the feed column: the comparison stays a plain one that reaches the scan.
+
+    A position of a text feed must have the spelling of the feed (case, prefix), as those that :func:`lsn_text` returns.
+    """
+    if not _is_binary(feed, names):
+        return F.lit(position) if isinstance(position, str) else position
+    return F.unhex(F.lit(position.lower().removeprefix("0x")) if isinstance(position, str) else position)
 
 
 def lsn_window(

@@ -128,7 +128,8 @@ def read_by_keys(
     """Current rows whose key is in the set; keys absent from the table yield nothing.
 
     With the measure of the set, its smallest and largest key become a filter of the scan, which skips the row groups
-    outside of that range (and is pushed to a remote database).
+    outside of that range (and is pushed to a remote database). Texts and bytes get no such filter: the order of a
+    database's collation is not the order of bytes, and a range in the wrong order loses rows.
     """
     return _key_join(_within(table, key, stats), keys, key, "left_semi", broadcast, merge)
 
@@ -136,6 +137,8 @@ def read_by_keys(
 def _within(table: DataFrame, key: Key, stats: KeyStats | None) -> DataFrame:
     lead = resolve_key(table, key)[0]
     dtype = table.schema[lead].dataType
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        return table
     if stats is None or stats.low is None or stats.type != dtype.simpleString():
         return table
     low, high = (F.lit(v).cast(dtype) for v in (stats.low, stats.high))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesync.functions.columns import quoted, resolve_key, select_as, verify_columns
 from tablesync.functions.hashing import (
@@ -52,7 +53,26 @@ def _sides(src: DataFrame, dst: DataFrame, key: Key) -> tuple[DataFrame, DataFra
     cols = verify_columns(src, dst, key)
     if not cols:
         raise ValueError("no columns to verify: all destination columns are generated")
-    return select_as(src, cols), select_as(dst, cols), cols
+    src, dst = select_as(src, cols), select_as(dst, cols)
+    common = {c: t for c in cols if (t := common_number(src.schema[c].dataType, dst.schema[c].dataType))}
+    cast = {c: F.col(quoted(c)).cast(t) for c, t in common.items()}
+    return (src.withColumns(cast), dst.withColumns(cast), cols) if cast else (src, dst, cols)
+
+
+def common_number(a: T.DataType, b: T.DataType) -> T.DecimalType | None:
+    """Decimal type that holds all values of two different integral or decimal types; None if there is none."""
+    digits = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+
+    def parts(t: T.DataType) -> tuple[int, int] | None:
+        if isinstance(t, T.DecimalType):
+            return t.precision - t.scale, t.scale
+        return (digits[t.simpleString()], 0) if t.simpleString() in digits else None
+
+    left, right = parts(a), parts(b)
+    if a == b or not left or not right:
+        return None
+    whole, scale = max(left[0], right[0]), max(left[1], right[1])
+    return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else None
 
 
 def compare_rows(dst_hashes: DataFrame, src_hashes: DataFrame, key: Key) -> DataFrame:
@@ -140,7 +160,7 @@ def _words(df: DataFrame, cols: list[str], as_text: set[str], checksum: str, sca
         return md5_words(md5_hex(tagged_row_text(df, cols, scale)))
     if checksum != "xxhash64":
         raise ValueError(f"unknown checksum {checksum!r}")
-    return value_words(df, cols, as_text)
+    return value_words(df, cols, as_text, scale)
 
 
 def _named_words(words: list[Column]) -> list[Column]:
@@ -207,6 +227,7 @@ def verify_full(
         raise ValueError(f"buckets must be 1 to {MAX_BUCKETS}")
     found = verify_buckets(src, dst, key, buckets, float_scale, checksum=checksum)
     diff = F.broadcast(differing_buckets(found).withColumnRenamed(BUCKET, _BUCKET))
+    key_type = {k: dst.schema[k].dataType for k in resolve_key(dst, key)}
     src, dst, cols = _sides(src, dst, key)
     as_text, keys = text_columns(src, dst, cols), resolve_key(dst, key)
     parts = []
@@ -215,7 +236,7 @@ def verify_full(
         suspects = df.withColumn(_BUCKET, bucket).join(diff, _BUCKET, "left_semi").drop(_BUCKET)
         words = [c * sign for c in _words(suspects, cols, as_text, checksum, float_scale)]
         parts.append(suspects.select(
-            *[F.col(quoted(k)).cast(dst.schema[k].dataType).alias(k) for k in keys],
+            *[F.col(quoted(k)).cast(key_type[k]).alias(k) for k in keys],
             F.lit(sign).alias(_SIDE),
             *_named_words(words),
         ))

@@ -131,7 +131,9 @@ class SyncEngine:
         failed = [c for c in schema_checks(source, old, mapping.key) if not c.ok]
         if failed:
             raise GuardFailed(f"Schema validation failed: {[(c.check, c.column) for c in failed]}")
-        rows = project_full_sync(source, old, mapping.key)
+        # Only a database numbers identity columns itself; files must get the values of the source.
+        numbered = old if isinstance(target, JdbcTarget) else None
+        rows = project_full_sync(source, numbered, mapping.key)
         if old is not None:
             rows = cast_like(rows, old.schema)
         staged = target.stage_overwrite(rows)
@@ -252,7 +254,7 @@ class SyncEngine:
         if not verify_columns(src, dst, mapping.key):
             return self._done(mapping, VERIFICATION, "No columns to verify", status=INFO)
         with scratch(self.spark, "differences") as folder:
-            found = stage(verify_full(src, dst, mapping.key), folder)
+            found = stage(verify_full(src, dst, mapping.key, float_scale=self.options.float_scale), folder)
             counts = {r["status"]: r["count"] for r in found.groupBy("status").count().collect()}
             sample = found.orderBy(*found.columns).limit(SAMPLE_KEYS).collect()
         if not counts:

@@ -51,14 +51,15 @@ def read_remote_by_keys(table: DataFrame, keys: DataFrame, key: Key, limit: int
     """Rows of a remote table whose key is in the set.
 
     A semi join is not pushed through JDBC. A single-column set of at most ``limit`` keys becomes an IN filter, which
-    is; every other set is joined after a (partitioned) scan.
+    is. It only saves reading: the typed semi join stays behind it and alone decides, so the rows depend neither on the
+    number of keys nor on the collation of the database.
     """
     names = resolve_key(table, key)
     if len(names) == 1:
         few = changed_keys(keys, key).limit(limit + 1).collect()
         if len(few) <= limit:
             values = [row[0] for row in few]
-            return table.where(F.col(quoted(names[0])).isin(values)) if values else table.where(F.lit(False))
+            table = table.where(F.col(quoted(names[0])).isin(values)) if values else table.where(F.lit(False))
     return read_by_keys(table, keys, key)
 
 

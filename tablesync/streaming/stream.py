@@ -21,7 +21,7 @@ from tablesync.sinks.control_store import ControlStore, utc_now
 from tablesync.sinks.files import stage, stage_keys
 from tablesync.sinks.jdbc import JdbcTarget
 from tablesync.sinks.snapshot import SnapshotTarget, Staged
-from tablesync.sources.folders import scratch
+from tablesync.sources.folders import Folder, scratch
 
 
 def replace_batch(
@@ -101,9 +101,11 @@ def stream_sync(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         done = target.properties() if target.exists() else {}
-        if done.get("stream") == checkpoint and done.get("batch", -1) >= batch_id and mode == "replace":
+        # The id in the checkpoint: a new checkpoint at the same place is another stream, whose batches count from 0.
+        stream = Folder(target.spark, checkpoint).read_json("metadata")["id"]
+        if done.get("stream") == stream and done.get("batch", -1) >= batch_id and mode == "replace":
             return
-        properties = {"stream": checkpoint, "batch": batch_id}
+        properties = {"stream": stream, "batch": batch_id}
         if mode == "replace":
             staged = replace_batch(target, source_reader(), batch, target.key, properties)
         else:

@@ -138,9 +138,12 @@ def _bucket_side(table: str, prefix: str) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "scan_full": _rep("select * from src"),
+    "scan_full": "select * from orders",
     "scan_by_keys": _rep("select * from src where o_orderkey in (select o_orderkey from kh)"),
     "changes_since": _rep("select * from later"),
+    "changes_since_upper_hex": _rep("select * replace (upper(start_lsn) as start_lsn) from later"),
+    "changes_since_binary": _rep("select * from later"),
+    "full_sync_identity": _rep("select * from src"),
     "tail_by_key": _rep("select * from dst order by o_orderkey desc limit 10"),
     "changed_keys": _rep("select o_orderkey from kh"),
     "lsn_bounds": _rep("select min(start_lsn) as min_lsn, max(start_lsn) as max_lsn from chg"),
@@ -159,8 +162,8 @@ ORACLE: dict[str, str] = {
       where (conv_id + turn) % 5 <> 0""",
     "replace_by_keys_lineitem": "select * from lineitem where l_orderkey % 10 <> 7",
     "apply_ops": _rep(APPLIED_SELECT, APPLIED),
-    "project_full_sync": _rep("select o_orderkey, o_orderpriority, o_totalprice, o_orderdate, o_orderstatus from src"),
-    "project_aligned": _rep("select o_orderkey, o_totalprice, o_orderdate from src"),
+    "project_full_sync": "select o_orderkey, o_orderpriority, o_totalprice, o_orderdate, o_orderstatus from orders",
+    "project_aligned": "select o_orderkey, o_totalprice, o_orderdate from orders",
     "strip_metadata": _rep("""select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
       from chg"""),
     "binary_to_hex": _rep("select * from chg"),
@@ -169,7 +172,7 @@ ORACLE: dict[str, str] = {
       {_clean('props')} as props from events""",
     "tsv_encode_documents": f"""select cast(doc_id as varchar) as doc_id, {_clean('text')} as text,
       {_clean('lang')} as lang, {_clean('source')} as source, cast(n_chars as varchar) as n_chars from documents""",
-    "row_hash": _rep(f"select o_orderkey, {ORDER_HASH} as row_hash from src"),
+    "row_hash": f"select o_orderkey, {ORDER_HASH} as row_hash from orders",
     "row_hash_documents": f"select doc_id, {DOCUMENT_HASH} as row_hash from documents",
     "combined_hash": _rep(f"""select count(*) as rows, md5(string_agg(h, '|' order by kt) || '|') as combined_hash
       from (select cast(o_orderkey as varchar) as kt, {ORDER_HASH} as h
@@ -193,6 +196,12 @@ ORACLE: dict[str, str] = {
       where s.o_orderkey is null or d.o_orderkey is null or s.o_totalprice <> d.o_totalprice
         or s.o_custkey <> d.o_custkey or s.o_orderstatus <> d.o_orderstatus or s.o_orderdate <> d.o_orderdate
         or s.o_orderpriority <> d.o_orderpriority"""),
+    **{name: _rep("""select coalesce(s.o_orderkey, d.o_orderkey) as o_orderkey,
+      case when s.o_orderkey is null then 'missing_in_src' when d.o_orderkey is null then 'missing_in_dst'
+        else 'different' end as status
+      from src s full join dst d on s.o_orderkey = d.o_orderkey
+      where s.o_orderkey is null or d.o_orderkey is null or s.o_totalprice <> d.o_totalprice""")
+      for name in ("verify_full_types", "verify_full_scaled")},
     "verify_full_lineitem": """with s as (select * from lineitem where l_orderkey % 10 <> 7),
       d as (select * replace (case when l_orderkey % 10 = 5 and l_linenumber = 1 then l_tax + 1 else l_tax end as l_tax)
         from lineitem where l_orderkey % 10 <> 3 or l_linenumber <> 2),
@@ -221,7 +230,7 @@ ORACLE: dict[str, str] = {
       dcol as (select cast(c_custkey + 1 as int) as mapping_id, name, generated from customer,
         (values ('ID', null), ('Name', null), ('balance', null), ('segment', null), ('version', null),
           ('seq', 'identity')) as v(name, generated))"""),
-    "reconcile_counts": _rep("select count(*) as exported, count(*) as imported, true as ok from src"),
+    "reconcile_counts": "select count(*) as exported, count(*) as imported, true as ok from orders",
     "staged_roundtrip": _rep("select * from src where o_orderkey in (select o_orderkey from kh)"),
     "full_sync": _rep("select * from src"),
     "cdc_sync": _rep(REPLACED.format(k="kh")),

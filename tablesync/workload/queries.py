@@ -56,7 +56,7 @@ def _target(spark: SparkSession, key=KEY) -> SnapshotTarget:
 
 @query
 def scan_full(spark, sf):
-    return fx.replication(spark, sf).src
+    return fx.replication(spark, sf).orders
 
 
 @query
@@ -71,6 +71,48 @@ def changes_since(spark, sf):
     return ch.read_changes(r.chg, r.from_lsn, names=SHORT, ordered=True)
 
 
+@query
+def changes_since_upper_hex(spark, sf):
+    """A feed that spells positions in upper case: the position keeps the spelling of the feed."""
+    r = fx.replication(spark, sf)
+    feed = r.chg.withColumn("start_lsn", F.upper("start_lsn"))
+    return ch.read_changes(feed, F.upper(r.from_lsn), names=SHORT)
+
+
+@query
+def changes_since_binary(spark, sf):
+    """A feed with binary positions, shown as hex text."""
+    r = fx.replication(spark, sf)
+    feed = r.chg.withColumns({"start_lsn": F.unhex("start_lsn"), "seqval": F.unhex("seqval")})
+    return columns_to_hex(ch.read_changes(feed, r.from_lsn, names=SHORT))
+
+
+@query
+def verify_full_types(spark, sf):
+    """Equal values in other types (wider decimals, longer integers) are no differences; changed ones are."""
+    r = fx.replication(spark, sf)
+    exact = lambda df, scale: df.select(KEY, F.col("o_totalprice").cast(f"decimal(18,{scale})").alias("o_totalprice"))
+    src = exact(r.src, 2).withColumn(KEY, F.col(KEY).cast("decimal(20,0)"))
+    return vf.verify_full(src, exact(r.dst, 4), KEY)
+
+
+@query
+def verify_full_scaled(spark, sf):
+    """Prices that differ only behind the fixed decimals are equal."""
+    r = fx.replication(spark, sf)
+    src = r.src.select(KEY, (F.col("o_totalprice").cast("double") + 1e-9).alias("o_totalprice"))
+    return vf.verify_full(src, r.dst.select(KEY, F.col("o_totalprice").cast("double").alias("o_totalprice")), KEY, float_scale=2)
+
+
+@query
+def full_sync_identity(spark, sf):
+    """Full sync over a target with an identity column: the copy gets the values of the source."""
+    r, target = fx.replication(spark, sf), _target(spark)
+    target.overwrite(mark_generated(r.dst, "o_custkey", "identity"))
+    _checked([_engine(spark, r, target).full_sync(ORDERS)])
+    return target.read()
+
+
 @query
 def tail_by_key(spark, sf):
     return vf.tail_by_key(fx.replication(spark, sf).dst, KEY, 10)
@@ -155,14 +197,14 @@ def apply_ops(spark, sf):
 @query
 def project_full_sync(spark, sf):
     r = fx.replication(spark, sf)
-    src = r.src.select("o_orderpriority", "o_custkey", "o_totalprice", KEY, "o_orderdate", "o_orderstatus")
+    src = r.orders.select("o_orderpriority", "o_custkey", "o_totalprice", KEY, "o_orderdate", "o_orderstatus")
     return full_projection(src, mark_generated(r.dst, "o_custkey", "identity"), KEY)
 
 
 @query
 def project_aligned(spark, sf):
     r = fx.replication(spark, sf)
-    src = r.src.select(
+    src = r.orders.select(
         F.col("o_orderdate").alias("O_ORDERDATE"), F.col(KEY).alias("O_OrderKey"), "o_custkey", "o_totalprice"
     )
     dst = r.dst.select("o_totalprice", KEY, "o_orderpriority", "o_orderdate")
@@ -197,7 +239,7 @@ def tsv_encode_documents(spark, sf):
 
 @query
 def row_hash(spark, sf):
-    return hash_per_row(fx.replication(spark, sf).src, KEY, float_scale=SCALE)
+    return hash_per_row(fx.replication(spark, sf).orders, KEY, float_scale=SCALE)
 
 
 @query
@@ -266,10 +308,10 @@ def validate_schema(spark, sf):
 
 @query
 def reconcile_counts(spark, sf):
-    src = fx.replication(spark, sf).src
+    orders = fx.replication(spark, sf).orders
     target = _target(spark)
-    target.overwrite(src)
-    return vf.reconcile_counts(src, target.read())
+    target.overwrite(orders)
+    return vf.reconcile_counts(orders, target.read())
 
 
 # ---- targets, jobs and streams -----------------------------------------------------------------------------------

@@ -41,7 +41,7 @@ def test_small_key_sets_become_a_filter(spark):
     df = spark.range(100).withColumnRenamed("id", "UserID")
     few = spark.createDataFrame([(1,), (2,), (2,), (None,), (500,)], "userid int")
     filtered = tb.read_remote_by_keys(df, few, "UserID")
-    assert "Join" not in filtered._jdf.queryExecution().optimizedPlan().toString()
+    assert "IN (1,2,500)" in filtered._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r[0] for r in filtered.collect()) == [1, 2]
     joined = tb.read_remote_by_keys(df, few, "UserID", limit=2)
     assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString()

@@ -167,3 +167,17 @@ def test_any_operation_sequence_ends_at_the_source(spark, start, ops, cut):
     assert rows(kd.apply_ops(kd.apply_ops(target, first, "id", NAMES), second, "id", NAMES)) == want
 
 
+
+
+def test_text_keys_get_no_range_filter(spark):
+    """A database may order texts by another collation than bytes."""
+    df = spark.createDataFrame([("a", 1), ("B", 2), ("c", 3)], "k string, v int")
+    keys = df.where("v < 3").select("k")
+    found = kd.read_by_keys(df, keys, "k", stats=kd.measure_keys(keys, "k"))
+    assert ">=" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 2
+
+
+def test_positions_keep_the_spelling_of_a_text_feed(spark):
+    for spell in (lambda n: f"{n:020X}", lambda n: f"0x{n:020x}"):
+        df = spark.createDataFrame([(spell(n), "0", 2, n, "v") for n in range(5, 40)], "lsn string, seqval string, op int, id int, v string")
+        assert ch.lsn_window(df, spell(10), None, NAMES).count() == 29

@@ -117,3 +117,12 @@ def test_unknown_mode(spark, folder):
     flow.emit((1, 1, 4, 1, "x"))
     with pytest.raises(ValueError, match="mode"):
         flow.run()
+
+
+def test_a_new_checkpoint_at_the_same_place_is_another_stream(spark, folder):
+    flow = Flow(spark, folder, "replace")
+    flow.target.overwrite(flow.source_table(), {"stream": flow.checkpoint, "batch": 5})
+    flow.source = {1: "new", 2: "b"}
+    flow.emit((1, 1, 4, 1, "new"))
+    flow.run()
+    assert flow.content() == {1: "new", 2: "b"}

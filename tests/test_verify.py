@@ -145,3 +145,13 @@ def test_any_column_name(spark, folder):
         names_of = FeedNames("lsn", "seqval", "op")
         assert vf.verify_full(kd.apply_ops(src, changes, key, names_of), dst, key).count() == 0
         assert ch.change_summary(changes, key, names_of).first()["distinct_keys"] == 5
+
+
+def test_numbers_of_other_types_are_compared_by_value(spark):
+    from tablesync.operators.verify import verify_full, verify_tail_rows
+
+    src = spark.sql("select cast(id as int) id, cast(id + 0.5 as decimal(10,2)) p, cast(id as double) / 3 d from range(20)")
+    dst = spark.sql("select id, cast(id + 0.5 as decimal(12,4)) p, cast(id as double) / 3 + 1e-9 d from range(20)")
+    assert verify_full(src, dst, "id", float_scale=6).count() == 0
+    assert verify_full(src, dst, "id").where("status = 'different'").count() == 20
+    assert verify_tail_rows(src, dst, "id", 5, float_scale=6).where("status <> 'match'").count() == 0
