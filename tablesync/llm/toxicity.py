@@ -36,13 +36,13 @@ UNTRAINED = -20.0
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the training rows; the others are the usual parameters of FTRL-proximal."""
+    """``sample_rows`` bounds the training rows; the others are the usual parameters of FTRL-proximal, chosen on fold 4."""
 
     sample_rows: int = 12_000
     epochs: int = 5
-    alpha: float = 1.0
+    alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 8.0
+    l1: float = 16.0
     l2: float = 1.0
 
 
