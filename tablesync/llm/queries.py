@@ -92,8 +92,9 @@ def op10_fingerprints(spark, sf):
     classes = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
     pairs = fingerprints.within_radius(classes, asked).join(classes, "fingerprint")
     within = pairs.groupBy(F.col("query").alias("fingerprint")).agg(F.sum("n").alias("n_found"))
-    asking = rows.where("doc_id % 100 = 0").select("doc_id", "fingerprint").join(within, "fingerprint").select("doc_id", "n_found").distinct()
-    return rows.join(asking, "doc_id", "left").select(
+    # By id and fingerprint: rows that repeat an id may have different texts, and must not multiply.
+    asking = rows.where("doc_id % 100 = 0").select("doc_id", "fingerprint").distinct().join(within, "fingerprint")
+    return rows.join(asking, ["doc_id", "fingerprint"], "left").select(
         "doc_id", "n_chars", "edited_sha256", fingerprints.hexadecimal(F.col("fingerprint")).alias("fingerprint"),
         fingerprints.hexadecimal(F.col("edited")).alias("edited_fingerprint"), "near_edited", "near_next",
         F.col("n_found").alias("n_within_radius"),

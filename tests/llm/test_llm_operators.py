@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from tablesync.llm import ann, fingerprints, line_dedup, mixing, near_dedup, packing, secrets, token_counts, token_output, toxicity
 from tablesync.llm.common import table
+from tablesync.llm.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 PAIRS = [(d, t) for d, t, *_ in ODD]
@@ -469,6 +470,15 @@ def test_fingerprints_of_few(spark):
     assert fingerprints.fingerprint_documents(empty(spark)).count() == 0
 
 
+def test_fingerprints_query_of_repeated_ids(spark, tmp_path):
+    rows = [(100, "one two three"), (100, "one two three"), (100, "four five six"), (200, "one two three"), (None, None), (7, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = REGISTRY["op10_fingerprints"](spark, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["n_within_radius"]) for r in found) == [
+        ("100", 1), ("100", 3), ("100", 3), ("200", 3), ("7", None), ("None", None),
+    ]
+
+
 @pytest.mark.parametrize("radius,blocks", [(3, 6), (0, 1), (2, 3), (5, 8)])
 def test_within_radius(spark, radius, blocks):
     rng = random.Random(radius)
