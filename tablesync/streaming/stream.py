@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tablesync.functions.columns import quoted, resolve_key
 from tablesync.model import CDC, DEFAULT_FEED, SUCCESS, FeedNames, Key, key_list
-from tablesync.operators.keyed import latest_changes
+from tablesync.operators.keyed import latest_changes, measure_keys, read_by_keys
 from tablesync.sinks.control_store import ControlStore, utc_now
 from tablesync.sinks.files import stage, stage_keys
 from tablesync.sinks.jdbc import JdbcTarget
@@ -42,6 +42,19 @@ def newer_changes(latest: DataFrame, positions: DataFrame, key: Key, names: Feed
     return joined.select(*[quoted(c) for c in latest.columns])
 
 
+def known_positions(positions: SnapshotTarget, latest: DataFrame) -> DataFrame:
+    """Last applied positions of the keys of a batch, a written table with one row per key.
+
+    The keys of a batch are few against all keys ever changed: where their measure allows it they are broadcast, so that the
+    table of positions is filtered where it lies, and so are the few rows found.
+    """
+    keys = latest.select(*[quoted(k) for k in resolve_key(latest, positions.key)])
+    stats = measure_keys(keys, positions.key)
+    small = stats.fits(positions.broadcast_bytes)
+    found = read_by_keys(positions.read(), keys, positions.key, small, not small, stats)
+    return F.broadcast(found) if small else found
+
+
 def ops_batch(
     target: SnapshotTarget,
     positions: SnapshotTarget,
@@ -57,10 +70,9 @@ def ops_batch(
     """
     keys = key_list(key)
     with scratch(target.spark, "batch-changes") as folder:
-        latest = latest_changes(batch, key, names)
+        latest = stage(latest_changes(batch, key, names), f"{folder}/latest", target.spark)
         if positions.exists():
-            latest = newer_changes(latest, positions.read(), key, names)
-        latest = stage(latest, folder, target.spark)
+            latest = stage(newer_changes(latest, known_positions(positions, latest), key, names), f"{folder}/newer", target.spark)
         staged = target.apply_ops(latest, names, properties)
         applied = latest.select(
             *[quoted(k) for k in keys],
@@ -96,7 +108,7 @@ def stream_sync(
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "ops":
         positions = SnapshotTarget(
-            target.spark, f"{target.root}/positions", target.key, target.buckets, target.broadcast_bytes
+            target.spark, f"{target.root}/positions", target.key, target.buckets, target.broadcast_bytes, count_deleted=False
         )
 
     def apply(batch: DataFrame, batch_id: int) -> None:

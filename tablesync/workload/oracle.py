@@ -231,6 +231,32 @@ ORACLE: dict[str, str] = {
         (values ('ID', null), ('Name', null), ('balance', null), ('segment', null), ('version', null),
           ('seq', 'identity')) as v(name, generated))"""),
     "reconcile_counts": "select count(*) as exported, count(*) as imported, true as ok from orders",
+    "reconcile_counts_mismatch": _rep("""select e.n as exported, i.n as imported, e.n = 0 or e.n = i.n as ok
+      from (select count(*) as n from orders) e, (select count(*) as n from dst) i"""),
+    "append": _rep("select * from dst union all select * from orders where o_orderkey not in (select o_orderkey from dst)"),
+    "cluster_by_key": "select * from lineitem",
+    "tsv_roundtrip": f"""select concat_ws(chr(9), cast(doc_id as varchar), {_clean('text')}, {_clean('lang')},
+      {_clean('source')}, coalesce(cast(n_chars as varchar), '')) as line from documents""",
+    "bounded_pass": _rep(REPLACED.format(k="k")),
+    "sync_all": _rep("""select m.mapping_id, 'FULL_SYNC' as log_type, 'INFO' as status, cast(null as bigint) as records_count
+        from (values (1), (2), (3), (4)) as m(mapping_id)
+      union all select 1, 'FULL_SYNC', 'SUCCESS', (select count(*) from src)
+      union all select 1, 'CDC', 'SUCCESS', 0
+      union all select 2, 'FULL_SYNC', 'SUCCESS', (select count(*) from customer)
+      union all select 3, 'FULL_SYNC', 'SUCCESS', (select count(*) from events)
+      union all select 4, 'CONNECTION', 'ERROR', null
+      union all select 4, 'FULL_SYNC', 'ERROR', null"""),
+    "verify_all": _rep("""select 1 as mapping_id, 'VERIFICATION' as log_type,
+        case when count(*) filter (status <> 'match') = 0 then 'SUCCESS' else 'FAILED' end as status,
+        count(*) filter (status <> 'missing_in_src') as records_count from cmp
+      union all select 2, 'VERIFICATION', 'SUCCESS', least(10, (select count(*) from customer))
+      union all select 3, 'VERIFICATION', 'SUCCESS', least(10, (select count(*) from events))""", _tail(10)),
+    "verify_whole": _rep("""select 'VERIFICATION' as log_type, 'FAILED' as status, string_agg(part, ', ' order by part_of) as differences
+      from (select part_of, count(*) || ' ' || part_of as part from (
+        select case when s.o_orderkey is null then 'missing_in_src' when d.o_orderkey is null then 'missing_in_dst'
+          else 'different' end as part_of
+        from src s full join dst d on s.o_orderkey = d.o_orderkey
+        where s.o_orderkey is null or d.o_orderkey is null or s.o_totalprice <> d.o_totalprice) group by part_of)"""),
     "staged_roundtrip": _rep("select * from src where o_orderkey in (select o_orderkey from kh)"),
     "full_sync": _rep("select * from src"),
     "cdc_sync": _rep(REPLACED.format(k="kh")),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from tablesync.operators import keyed as kd
 from tablesync.operators import verify as vf
 from tablesync.plans.jobs import Endpoints, Options, SyncEngine
 from tablesync.sinks.control_store import ControlStore
-from tablesync.sinks.files import stage, stage_keys, tsv_encode as encode
+from tablesync.sinks.files import cluster_by_key as clustered, stage, stage_keys, tsv_encode as encode, write_tsv
 from tablesync.sinks.snapshot import SnapshotTarget
 from tablesync.sources.folders import fresh_folder
 from tablesync.streaming.stream import stream_sync as start_stream
@@ -314,6 +315,13 @@ def reconcile_counts(spark, sf):
     return vf.reconcile_counts(orders, target.read())
 
 
+@query
+def reconcile_counts_mismatch(spark, sf):
+    """The stale copy holds another number of rows than the source."""
+    r = fx.replication(spark, sf)
+    return vf.reconcile_counts(r.orders, r.dst)
+
+
 # ---- targets, jobs and streams -----------------------------------------------------------------------------------
 
 
@@ -323,13 +331,36 @@ def staged_roundtrip(spark, sf):
     return stage(kd.read_by_keys(r.src, kd.changed_keys(_later(r), KEY), KEY), fresh_folder(spark, "extract"))
 
 
+@query
+def append(spark, sf):
+    """The rows that the stale copy lacks, appended to a target that holds the others."""
+    r, target = fx.replication(spark, sf), _target(spark)
+    target.overwrite(r.dst)
+    target.append(kd.delete_by_keys(r.orders, r.dst.select(KEY), KEY))
+    return target.read()
+
+
+@query
+def cluster_by_key(spark, sf):
+    """The lines as an extract in key order."""
+    return stage(clustered(fx.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]), fresh_folder(spark, "extract"))
+
+
+@query
+def tsv_roundtrip(spark, sf):
+    """Text files of all documents, read back line by line."""
+    path = fresh_folder(spark, "tsv")
+    write_tsv(fx.table(spark, sf, "documents"), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 ORDERS = Mapping(1, 1, "orders", "srcdb", "dbo", "orders", "dstdb", "dbo", "orders_copy", (KEY,), True, True)
 
 
-def _engine(spark: SparkSession, r: fx.Replication, target: SnapshotTarget) -> SyncEngine:
+def _engine(spark: SparkSession, r: fx.Replication, target: SnapshotTarget, **options) -> SyncEngine:
     store = ControlStore(spark, fresh_folder(spark, "control"))
     ends = Endpoints(lambda: r.src, lambda: r.chg, target)
-    return SyncEngine(spark, store, lambda mapping: ends, Options(feed_names=SHORT))
+    return SyncEngine(spark, store, lambda mapping: ends, Options(feed_names=SHORT, **options))
 
 
 def _checked(results) -> None:
@@ -362,6 +393,73 @@ def cdc_sync(spark, sf):
     return target.read()
 
 
+@query
+def bounded_pass(spark, sf):
+    """The whole feed in passes of a bounded number of positions, a quarter of the feed each."""
+    r, target = fx.replication(spark, sf), _target(spark)
+    target.overwrite(r.dst)
+    positions = r.chg.agg(F.count_distinct("start_lsn")).head()[0]
+    engine = _engine(spark, r, target, max_positions=max(1, -(-positions // 4)))
+    while (result := engine.cdc_sync(ORDERS)).changes:
+        _checked([result])
+    _checked([result])
+    return target.read()
+
+
+TABLES = [
+    ORDERS,
+    Mapping(2, 1, "customer", "srcdb", "dbo", "customer", "dstdb", "dbo", "customer_copy", ("c_custkey",), True, False),
+    Mapping(3, 1, "events", "srcdb", "dbo", "events", "dstdb", "dbo", "events_copy", ("event_id",), True, False),
+    Mapping(4, 1, "absent", "srcdb", "dbo", "absent", "dstdb", "dbo", "absent_copy", ("id",), True, True),
+]
+
+
+def _engine_of_tables(spark, sf) -> SyncEngine:
+    """One engine over several tables; the source of the last mapping does not exist."""
+    r = fx.replication(spark, sf)
+    sources = {1: lambda: r.src, **{m.mapping_id: partial(fx.table, spark, sf, m.flow_name) for m in TABLES[1:]}}
+    ends = {
+        m.mapping_id: Endpoints(sources[m.mapping_id], lambda: r.chg, _target(spark, m.key)) for m in TABLES
+    }
+    store = ControlStore(spark, fresh_folder(spark, "control"))
+    return SyncEngine(spark, store, lambda mapping: ends[mapping.mapping_id], Options(feed_names=SHORT))
+
+
+def _log_rows(engine: SyncEngine) -> DataFrame:
+    return engine.store.logs().select("mapping_id", "log_type", "status", "records_count")
+
+
+@query
+def sync_all(spark, sf):
+    """Log rows of all mappings; the one that fails stops no other, and its change sync waits for the full sync."""
+    engine = _engine_of_tables(spark, sf)
+    engine.sync_all(TABLES)
+    return _log_rows(engine)
+
+
+@query
+def verify_all(spark, sf):
+    """Log rows of the verification of all copies; that of orders is stale."""
+    engine = _engine_of_tables(spark, sf)
+    r = fx.replication(spark, sf)
+    for mapping in TABLES[:-1]:
+        ends = engine.locate(mapping)
+        ends.target.overwrite(r.dst if mapping is ORDERS else ends.source())
+    engine.verify_all(TABLES[:-1])
+    return _log_rows(engine)
+
+
+@query
+def verify_whole(spark, sf):
+    """What the whole-table verification of the stale copy reports."""
+    r, target = fx.replication(spark, sf), _target(spark)
+    target.overwrite(r.dst)
+    engine = _engine(spark, r, target)
+    engine.verify_whole(ORDERS)
+    found = F.regexp_extract("log_message", "Tables differ: ([^;]*)", 1)
+    return engine.store.logs().select("log_type", "status", found.alias("differences"))
+
+
 @query
 def run_logs(spark, sf):
     """Log rows of a full sync, the change sync after it and a verification."""

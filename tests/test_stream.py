@@ -99,6 +99,20 @@ def test_newer_changes(spark):
     assert sorted(r["id"] for r in sm.newer_changes(latest, positions, "id", NAMES).collect()) == [1, 3]
 
 
+def test_positions_are_filtered_where_they_lie(spark, folder):
+    """A small batch broadcasts its keys: the positions of all keys ever changed are on no side of a shuffle."""
+    positions = SnapshotTarget(spark, f"{folder}/known", "id", 4)
+    positions.overwrite(spark.range(1000).selectExpr("cast(id as int) id", "'1' __lsn", "'1' __seqval"))
+    latest = spark.createDataFrame([("2", "1", 4, 1, "a"), ("1", "1", 4, 2, "b"), ("1", "1", 4, 2000, "c")], FEED)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        newer = sm.newer_changes(latest, sm.known_positions(positions, latest), "id", NAMES)
+        assert "Exchange hashpartitioning" not in newer._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["id"] for r in newer.collect()) == [1, 2000]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_polling_runs_until_it_is_stopped(spark, folder):
     flow = Flow(spark, folder, "replace")
     flow.source[3] = "c"
