@@ -61,8 +61,8 @@ class SnapshotTarget:
     ``buckets`` is the unit of rewriting, not of parallelism: a bucket may hold any number of files, and a hot bucket is
     split over many write tasks. Choose it so that a bucket has some hundred MB to some GB. A pass folds the pending part
     into the base when its keys outgrow ``broadcast_bytes`` or its rows ``pending_rows``. ``count_deleted`` counts the rows
-    a pass replaces, which takes a scan of the key column. Every ``keep_versions`` passes the folders that only older
-    versions use are removed.
+    a pass replaces, which takes a scan of the key column of the touched buckets. Old versions stay readable until
+    ``vacuum`` is called; with ``keep_versions`` a pass calls it every so many versions, which ends readers of older ones.
     """
 
     def __init__(
@@ -75,7 +75,7 @@ class SnapshotTarget:
         pending_rows: int = 10_000_000,
         compact_every: int = 8,
         count_deleted: bool = True,
-        keep_versions: int = 20,
+        keep_versions: int | None = None,
     ):
         self.spark, self.root = spark, root.rstrip("/")
         self.key = key_list(key)
@@ -107,7 +107,11 @@ class SnapshotTarget:
         Pending keys are broadcast if their recorded size allows it, which it does unless the limits were changed.
         """
         document = self.manifest()[1] if version is None else self._versions.read(version)
-        base = self._base(document, range(document["buckets"]))
+        return self._table(document, range(document["buckets"]))
+
+    def _table(self, document: dict[str, Any], buckets: Iterable[int]) -> DataFrame:
+        """Base rows of some buckets without the pending keys, and all pending rows."""
+        base = self._base(document, buckets)
         if not document["pending"]:
             return base
         keys, rows = self._pending(document)
@@ -152,6 +156,10 @@ class SnapshotTarget:
         """The hash Spark partitions by, so that a shuffle by key can also be a shuffle by bucket."""
         return F.pmod(F.hash(*[F.col(quoted(k)) for k in resolve_key(df, self.key)]), F.lit(buckets)).cast("int")
 
+    def _touched(self, keys: DataFrame, buckets: int) -> list[int]:
+        """The buckets of some keys: at most as many numbers as there are buckets."""
+        return sorted(r[0] for r in keys.select(self._bucket(keys, buckets)).distinct().collect())
+
     def _aligned(self, buckets: int) -> bool:
         """Whether a task of a shuffle by key holds rows of few buckets only, and needs no second shuffle to write."""
         initial = self.spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
@@ -255,7 +263,8 @@ class SnapshotTarget:
         small = stats.fits(self.broadcast_bytes)
         deleted = None
         if self.count_deleted:
-            have = self.read().select(*[quoted(f.name) for f in self._key_fields()])
+            have = self._table(document, self._touched(keys, document["buckets"]))
+            have = have.select(*[quoted(f.name) for f in self._key_fields()])
             deleted = read_by_keys(have, keys, self.key, small, not small, stats).count()
         fresh = fresh_rows(self.schema(), stats)
         kept = delete_by_keys(old_rows, keys, self.key, small, not small)
@@ -297,7 +306,7 @@ class SnapshotTarget:
         shuffle join after the one of the join if buckets and shuffle partitions are aligned.
         """
         buckets = document["buckets"]
-        touched = sorted(r[0] for r in keys.select(self._bucket(keys, buckets)).distinct().collect())
+        touched = self._touched(keys, buckets)
         compact = (document["folds"] + 1) % self.compact_every == 0
         aligned = self._aligned(buckets)
         base = delete_by_keys(self._base(document, touched), keys, self.key, small, not small)
@@ -320,7 +329,7 @@ class SnapshotTarget:
 
     def publish(self, staged: Staged) -> int:
         self._versions.publish(staged.number, staged.document)
-        if staged.number % self.keep_versions == self.keep_versions - 1:
+        if self.keep_versions and staged.number % self.keep_versions == self.keep_versions - 1:
             self.vacuum(self.keep_versions)
         return staged.number
 

@@ -107,8 +107,10 @@ def stream_sync(
     if mode not in ("replace", "ops"):
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "ops":
+        # Only batches of this stream read the positions, one at a time, so a few versions are enough.
         positions = SnapshotTarget(
-            target.spark, f"{target.root}/positions", target.key, target.buckets, target.broadcast_bytes, count_deleted=False
+            target.spark, f"{target.root}/positions", target.key, target.buckets, target.broadcast_bytes,
+            count_deleted=False, keep_versions=20,
         )
 
     def apply(batch: DataFrame, batch_id: int) -> None:

@@ -156,6 +156,32 @@ def test_old_versions_are_removed_on_the_way(spark, folder, start):
     assert rows(target.read().where("id = 1")) == [(1, "n5")] and target.read().count() == 20
 
 
+def test_versions_stay_without_being_told(spark, folder, start):
+    target = target_at(spark, folder)
+    target.overwrite(start)
+    before = target.read()
+    for n in range(5):
+        target.delete_by_keys(keys(spark, n))
+    assert target.keep_versions is None and len(target._versions.numbers()) == 6
+    assert before.count() == 20 and target.read().count() == 15
+
+
+def test_deleted_rows_are_counted_in_touched_buckets(spark, folder, start, monkeypatch):
+    target = target_at(spark, folder)
+    target.overwrite(start)
+    target.replace_by_keys(frame(spark, {2: "x"}), keys(spark, 2))
+    scanned, base = [], SnapshotTarget._base
+
+    def seen(self, document, buckets):
+        scanned.append(list(buckets))
+        return base(self, document, buckets)
+
+    monkeypatch.setattr(SnapshotTarget, "_base", seen)
+    assert target.stage_replace(start, keys(spark, 1, 99)).deleted == 1
+    assert target.stage_replace(start, keys(spark, 2)).deleted == 1
+    assert scanned and all(len(b) <= 2 for b in scanned) and len(scanned[-1]) == 1
+
+
 def test_null_keys_survive_every_pass(spark, folder):
     start = spark.createDataFrame([(None, "n"), (1, "a")], "id int, v string")
     for way in (pending, fold_broadcast, fold_shuffle):

@@ -101,7 +101,7 @@ def test_newer_changes(spark):
 
 def test_positions_are_filtered_where_they_lie(spark, folder):
     """A small batch broadcasts its keys: the positions of all keys ever changed are on no side of a shuffle."""
-    positions = SnapshotTarget(spark, f"{folder}/known", "id", 4)
+    positions = SnapshotTarget(spark, folder("known"), "id", 4)
     positions.overwrite(spark.range(1000).selectExpr("cast(id as int) id", "'1' __lsn", "'1' __seqval"))
     latest = spark.createDataFrame([("2", "1", 4, 1, "a"), ("1", "1", 4, 2, "b"), ("1", "1", 4, 2000, "c")], FEED)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
