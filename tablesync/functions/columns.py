@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.functions.text import to_hex
-from tablesync.model import GENERATED, IDENTITY, META_PREFIX, Key, key_list, quoted
+from tablesync.model import GENERATED, IDENTITY, META_PREFIX, ROWVERSION, Key, key_list, quoted
 
 
 class ColumnInfo(NamedTuple):
@@ -37,6 +37,21 @@ def mark_generated(df: DataFrame, name: str, kind: str) -> DataFrame:
     return df.withMetadata(find_column(df, name), {GENERATED: kind})
 
 
+def mark_from_catalogue(df: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Flag the generated columns that a catalogue ``(column_name, generated)`` of this one table names.
+
+    A table read through JDBC does not tell which columns the database fills in; its catalogue does. One row per column is
+    read, at plan time. Columns that the table does not have, and rows without a kind, are left out.
+    """
+    marked = catalogue.where(F.col("generated").isNotNull()).select("column_name", "generated").distinct()
+    for name, kind in marked.toLocalIterator():
+        if kind not in (IDENTITY, ROWVERSION):
+            raise ValueError(f"column {name!r} has the unknown generated kind {kind!r}")
+        if has_column(df, name):
+            df = mark_generated(df, name, kind)
+    return df
+
+
 def has_column(df: DataFrame, name: str) -> bool:
     return any(c.lower() == name.lower() for c in df.columns)
 

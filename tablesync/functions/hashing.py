@@ -47,16 +47,16 @@ def row_hash(
 
 
 # Checksums add up words of at most 21 bits, so the sums are exact up to 2^42 rows in one group.
-WORDS = 3
+WORD_BITS = 21
 
 
 def md5_words(hash_col: Column) -> list[Column]:
-    """The first 60 bits of an MD5 text as words of five hex digits."""
-    return [F.conv(F.substring(hash_col, 5 * w + 1, 5), 16, 10).cast("bigint") for w in range(WORDS)]
+    """All 128 bits of an MD5 text as words of five hex digits, the last of two."""
+    return [F.conv(F.substring(hash_col, at, 5), 16, 10).cast("bigint") for at in range(1, 33, 5)]
 
 
 def value_words(df: DataFrame, columns: list[str], as_text: set[str], float_scale: int | None = None) -> list[Column]:
-    """63 bits of a 64-bit hash over the typed values, as words.
+    """All bits of a 64-bit hash over the typed values, as words.
 
     Several times cheaper than hashing text. NULL flags are part of the hash, since the hash function itself skips NULL.
     Columns in ``as_text`` are hashed by their canonical text, and with a ``float_scale`` so are floating-point columns.
@@ -69,7 +69,7 @@ def value_words(df: DataFrame, columns: list[str], as_text: set[str], float_scal
         values.append(text_of(c, dtype, float_scale) if name in as_text or scaled else c)
         flags.append(c.isNull())
     h = F.xxhash64(*values, *flags)
-    return [F.shiftrightunsigned(h, 21 * w).bitwiseAND(F.lit((1 << 21) - 1)) for w in range(WORDS)]
+    return [F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << WORD_BITS) - 1)) for at in range(0, 64, WORD_BITS)]
 
 
 def text_columns(src: DataFrame, dst: DataFrame, columns: list[str]) -> set[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.model import ERROR
+from tablesync.model import ERROR, IDENTITY
 
 
 def enabled_mappings(mappings: DataFrame, flows: DataFrame) -> DataFrame:
@@ -76,6 +76,13 @@ def update_state(state: DataFrame, updates: DataFrame, id_column: str = "mapping
     ])
 
 
+def with_states(mappings: DataFrame, states: DataFrame) -> DataFrame:
+    """Mappings with what the jobs stored since: requests for a full sync, positions and times of the last runs."""
+    known = [c for c in states.columns if c in mappings.columns]
+    return update_state(mappings, states.select(known))
+
+
+# The output columns of the two views.
 VIEW_COLUMNS = (
     "log_id", "flow_name", "source_database", "source_schema", "source_table", "dest_database", "dest_schema",
     "dest_table", "log_type", "log_message", "status", "records_count", "duration_ms", "created_at",
@@ -141,6 +148,29 @@ def sync_summary(logs: DataFrame, mappings: DataFrame) -> DataFrame:
     return per_type.join(mappings.select("mapping_id", "source_table", "dest_table"), "mapping_id", "left")
 
 
+def generated_columns(mappings: DataFrame, src_columns: DataFrame, dst_columns: DataFrame) -> DataFrame:
+    """Destination columns of many mappings with how they are treated, from column catalogues.
+
+    ``(mapping_id, column, src_generated, dst_generated, compared, exported)``: ``compared`` columns take part in the
+    verification (generated on neither side), ``exported`` ones in a full sync into a database (in the source, and not
+    numbered by the destination; keys always are). Names are compared without case.
+    """
+    src = src_columns.select(
+        "mapping_id", F.lower("column_name").alias("name"), F.col("generated").alias("src_generated"), F.lit(True).alias("there")
+    )
+    dst = dst_columns.select(
+        "mapping_id", F.col("column_name").alias("column"), F.lower("column_name").alias("name"),
+        F.col("generated").alias("dst_generated"),
+    )
+    keys = mappings.select("mapping_id", F.lower("primary_key_column").alias("key_name"))
+    numbered = F.coalesce(F.col("dst_generated") == IDENTITY, F.lit(False)) & (F.col("name") != F.col("key_name"))
+    return dst.join(keys, "mapping_id").join(src, ["mapping_id", "name"], "left").select(
+        "mapping_id", "column", "src_generated", "dst_generated",
+        (F.col("src_generated").isNull() & F.col("dst_generated").isNull()).alias("compared"),
+        (F.coalesce("there", F.lit(False)) & ~numbered).alias("exported"),
+    )
+
+
 def validate_mappings(mappings: DataFrame, src_columns: DataFrame, dst_columns: DataFrame) -> DataFrame:
     """Schema checks of many mappings at once from column catalogues ``(mapping_id, column_name, generated)``.
 

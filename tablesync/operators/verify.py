@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from tablesync.functions.columns import quoted, resolve_key, select_as, verify_columns
 from tablesync.functions.hashing import (
     MAX_COMBINED_ROWS,
-    WORDS,
     combined,
     md5_words,
     row_hash,
@@ -195,11 +194,11 @@ def verify_buckets(
         *[
             F.coalesce(F.sum(F.when(side, F.col(f"__w{w}"))), F.lit(0)).alias(f"{name}_sum{w}")
             for name, side in sides
-            for w in range(WORDS)
+            for w in range(len(words))
         ],
     )
     equal = F.col("src_rows") == F.col("dst_rows")
-    for w in range(WORDS):
+    for w in range(len(words)):
         equal = equal & (F.col(f"src_sum{w}") == F.col(f"dst_sum{w}"))
     return grouped.withColumn("equal", equal)
 
@@ -243,10 +242,10 @@ def verify_full(
     per_key = parts[0].unionByName(parts[1]).groupBy(*[quoted(k) for k in keys]).agg(
         F.count_if(F.col(_SIDE) == 1).alias("__src"),
         F.count_if(F.col(_SIDE) == -1).alias("__dst"),
-        *[F.sum(f"__w{w}").alias(f"__w{w}") for w in range(WORDS)],
+        *[F.sum(f"__w{w}").alias(f"__w{w}") for w in range(len(words))],
     )
     equal = F.col("__src") == F.col("__dst")
-    for w in range(WORDS):
+    for w in range(len(words)):
         equal = equal & (F.col(f"__w{w}") == 0)
     status = (
         F.when(F.col("__src") == 0, MISSING_IN_SRC).when(F.col("__dst") == 0, MISSING_IN_DST).otherwise(DIFFERENT)

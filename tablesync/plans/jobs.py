@@ -18,8 +18,16 @@ from dataclasses import dataclass
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from tablesync.functions.columns import cast_like, has_column, project_full_sync, schema_checks, verify_columns
+from pyspark.sql import types as T
+
+from tablesync.functions.columns import (
+    cast_like,
+    generated_names,
+    has_column,
+    project_full_sync,
+    schema_checks,
+    verify_columns,
+)
 from tablesync.model import (
     CDC,
     CONNECTION,
@@ -27,6 +35,7 @@ from tablesync.model import (
     ERROR,
     FAILED,
     FULL_SYNC,
+    IDENTITY,
     INFO,
     SUCCESS,
     SYNC,
@@ -38,7 +47,7 @@ from tablesync.model import (
     key_list,
 )
 from tablesync.operators.changes import bounded_position, lsn_bounds, lsn_text, lsn_window
-from tablesync.operators.control import MESSAGE_HEAD, enabled_mappings, verifiable_mappings
+from tablesync.operators.control import MESSAGE_HEAD, enabled_mappings, verifiable_mappings, with_states
 from tablesync.operators.verify import SAMPLE_KEYS, mismatch_sample, tail_summary, verify_full, verify_tail_rows
 from tablesync.sinks.control_store import ControlStore, utc_now
 from tablesync.sinks.files import stage, stage_keys
@@ -74,6 +83,8 @@ class Options:
     max_positions: int | None = None
     feed_names: FeedNames = DEFAULT_FEED
     float_scale: int | None = None
+    # JDBC targets: load the table itself in a full sync; half the writing, but readers see it fill up
+    in_place: bool = False
 
 
 @dataclass(frozen=True)
@@ -135,12 +146,18 @@ class SyncEngine:
         numbered = old if isinstance(target, JdbcTarget) else None
         rows = project_full_sync(source, numbered, mapping.key)
         if old is not None:
-            rows = cast_like(rows, old.schema)
-        staged = target.stage_overwrite(rows)
-        arrived = target.staged_rows(staged)
-        if staged.fresh > 0 and arrived != staged.fresh:
-            say(WARNING, f"Row count mismatch, exported {staged.fresh}, imported {arrived}")
-        target.publish(staged)
+            filled = generated_names(numbered, IDENTITY) - {c.lower() for c in rows.columns} if numbered is not None else set()
+            rows = cast_like(rows, T.StructType([f for f in old.schema.fields if f.name.lower() not in filled]))
+        in_place = self.options.in_place and isinstance(target, JdbcTarget)
+        if in_place:
+            exported, arrived = target.truncate_and_load(rows), target.read().count()
+        else:
+            staged = target.stage_overwrite(rows)
+            exported, arrived = staged.fresh, target.staged_rows(staged)
+        if exported > 0 and arrived != exported:
+            say(WARNING, f"Row count mismatch, exported {exported}, imported {arrived}")
+        if not in_place:
+            target.publish(staged)
         now, still = utc_now(), None if self._request(mapping) != served else False
         self.store.update(
             mapping.mapping_id, is_full_sync=still, last_cdc_lsn=frozen, last_full_sync_at=now, last_connected_at=now
@@ -374,8 +391,13 @@ def message_head(m: Mapping) -> str:
     )
 
 
-def load_mappings(mappings: DataFrame, flows: DataFrame) -> list[Mapping]:
-    """The enabled mappings as job inputs. Control rows only: one per table to keep in step."""
+def load_mappings(mappings: DataFrame, flows: DataFrame, states: DataFrame | None = None) -> list[Mapping]:
+    """The enabled mappings as job inputs. Control rows only: one per table to keep in step.
+
+    ``states`` (of a :class:`ControlStore`) is put over the mappings, which may be older than the last run.
+    """
+    if states is not None:
+        mappings = with_states(mappings, states)
     rows = enabled_mappings(mappings, flows).orderBy("mapping_id").select(
         "mapping_id", "flow_id", "flow_name",
         "source_database", "source_schema", "source_table", "dest_database", "dest_schema", "dest_table",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablesync.model import LOG_SCHEMA, STATE_SCHEMA
 from tablesync.sources.folders import Folder, VersionedDocument
 
+WRITER_BITS = 11
 _TIMES = ("last_cdc_sync_at", "last_full_sync_at", "last_connected_at")
 
 
@@ -30,6 +31,7 @@ class ControlStore:
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
         self._lock = threading.Lock()
         self._last_id = 0
+        self._writer = uuid.uuid4().int % (1 << WRITER_BITS)
 
     def _document(self, mapping_id: int) -> VersionedDocument:
         return VersionedDocument(Folder(self.spark, f"{self.root}/state/{mapping_id}"))
@@ -63,11 +65,14 @@ class ControlStore:
         return self.state(mapping_id).get("last_cdc_lsn")
 
     def _ids(self, n: int) -> list[int]:
-        """Log ids that rise with time: microseconds, pushed up where several are taken at once."""
+        """Log ids that rise with time: microseconds, pushed up where several are taken at once, then the writer.
+
+        The writer is a random number of this store, so that two drivers do not give the same id at the same time.
+        """
         with self._lock:
             first = max(int(utc_now().timestamp() * 1_000_000), self._last_id + 1)
             self._last_id = first + n - 1
-        return list(range(first, first + n))
+        return [(i << WRITER_BITS) + self._writer for i in range(first, first + n)]
 
     def append_logs(self, rows: list[dict[str, Any]], run: str | None = None) -> None:
         """Write the log rows of one run. ``run`` names it where it may be repeated (a stream batch)."""

@@ -115,6 +115,7 @@ def _clean(column: str) -> str:
 REPLACED = """select * from dst where o_orderkey not in (select o_orderkey from {k})
   union all select * from src where o_orderkey in (select o_orderkey from {k})"""
 
+# The columns and joins of the two views.
 VIEW = """l.log_id, f.flow_name, tm.source_database, tm.source_schema, tm.source_table, tm.dest_database, tm.dest_schema,
   tm.dest_table, l.log_type, l.log_message, l.status, l.records_count, l.duration_ms, l.created_at"""
 
@@ -131,12 +132,27 @@ APPLIED_SELECT = """select * from dst where o_orderkey not in (select o_orderkey
 
 def _bucket_side(table: str, prefix: str) -> str:
     sums = ", ".join(
-        f"cast(sum(cast('0x' || substr(h, {5 * w + 1}, 5) as bigint)) as bigint) as {prefix}_sum{w}" for w in range(3)
+        f"cast(sum(cast('0x' || substr(h, {5 * w + 1}, 5) as bigint)) as bigint) as {prefix}_sum{w}" for w in range(7)
     )
     return f"""(select cast(o_orderkey % 16 as int) as bucket, count(*) as {prefix}_rows, {sums}
   from (select o_orderkey, {ORDER_TAGGED} as h from {table}) group by 1)"""
 
 
+def _sums(prefix: str) -> str:
+    return ", ".join(f"{prefix}_sum{w}" for w in range(7))
+
+
+#: Column catalogues of all mappings.
+CATALOGUES = """
+      scol as (select cast(c_custkey + 1 as int) as mapping_id, name, generated from customer,
+        (values ('id', null), ('name', null), ('balance', null), ('segment', null), ('version', 'rowversion'),
+          ('extra', null)) as v(name, generated)
+        where c_custkey % 50 <> 49 and not (name = 'id' and c_custkey % 11 = 0)
+          and not (name = 'segment' and c_custkey % 9 = 0)),
+      dcol as (select cast(c_custkey + 1 as int) as mapping_id, name, generated from customer,
+        (values ('ID', null), ('Name', null), ('balance', null), ('segment', null), ('version', null),
+          ('seq', 'identity')) as v(name, generated))"""
+
 ORACLE: dict[str, str] = {
     "scan_full": "select * from orders",
     "scan_by_keys": _rep("select * from src where o_orderkey in (select o_orderkey from kh)"),
@@ -189,6 +205,9 @@ ORACLE: dict[str, str] = {
     "verify_buckets": _rep(f"""select bucket, src_rows, dst_rows, src_sum0, src_sum1, src_sum2, dst_sum0, dst_sum1,
       dst_sum2, src_rows = dst_rows and src_sum0 = dst_sum0 and src_sum1 = dst_sum1 and src_sum2 = dst_sum2 as equal
       from {_bucket_side('src', 'src')} s join {_bucket_side('dst', 'dst')} d using (bucket)"""),
+    "verify_buckets_all_bits": _rep(f"""select bucket, src_rows, dst_rows, {_sums('src')}, {_sums('dst')},
+      src_rows = dst_rows and ({_sums('src')}) = ({_sums('dst')}) as equal
+      from {_bucket_side('src', 'src')} s join {_bucket_side('dst', 'dst')} d using (bucket)"""),
     "verify_full": _rep("""select coalesce(s.o_orderkey, d.o_orderkey) as o_orderkey,
       case when s.o_orderkey is null then 'missing_in_src' when d.o_orderkey is null then 'missing_in_dst'
         else 'different' end as status
@@ -221,15 +240,11 @@ ORACLE: dict[str, str] = {
         where mapping_id in (select mapping_id from scol)
       union all select d.mapping_id, 'column_in_source', d.name, s.name is not null
         from dcol d left join scol s on d.mapping_id = s.mapping_id and lower(d.name) = lower(s.name)
-        where d.mapping_id in (select mapping_id from scol) and d.generated is null and s.generated is null""", """
-      scol as (select cast(c_custkey + 1 as int) as mapping_id, name, generated from customer,
-        (values ('id', null), ('name', null), ('balance', null), ('segment', null), ('version', 'rowversion'),
-          ('extra', null)) as v(name, generated)
-        where c_custkey % 50 <> 49 and not (name = 'id' and c_custkey % 11 = 0)
-          and not (name = 'segment' and c_custkey % 9 = 0)),
-      dcol as (select cast(c_custkey + 1 as int) as mapping_id, name, generated from customer,
-        (values ('ID', null), ('Name', null), ('balance', null), ('segment', null), ('version', null),
-          ('seq', 'identity')) as v(name, generated))"""),
+        where d.mapping_id in (select mapping_id from scol) and d.generated is null and s.generated is null""", CATALOGUES),
+    "generated_columns": _ctl("""select d.mapping_id, d.name as "column", s.generated as src_generated,
+        d.generated as dst_generated, s.generated is null and d.generated is null as compared,
+        s.name is not null and d.generated is distinct from 'identity' as exported
+      from dcol d left join scol s on d.mapping_id = s.mapping_id and lower(d.name) = lower(s.name)""", CATALOGUES),
     "reconcile_counts": "select count(*) as exported, count(*) as imported, true as ok from orders",
     "reconcile_counts_mismatch": _rep("""select e.n as exported, i.n as imported, e.n = 0 or e.n = i.n as ok
       from (select count(*) as n from orders) e, (select count(*) as n from dst) i"""),
@@ -280,6 +295,8 @@ ORACLE: dict[str, str] = {
     "log_messages": _ctl("""select mapping_id, concat('Flow ''', flow_name, ''': Table mapping ''', source_table, ''' (',
       source_database, '.', source_schema, '.', source_table, ' -> ', dest_database, '.', dest_schema, '.', dest_table,
       ') - Full sync started') as log_message from enabled"""),
+    "mappings_with_states": f"""with {REPLICATION}, {CONTROL} select mapping_id, is_full_sync,
+      case when mapping_id = 1 then (select max(start_lsn) from chg) else last_cdc_lsn end as last_cdc_lsn from enabled""",
     "state_update": f"""with {REPLICATION}, {CONTROL} select mapping_id, is_full_sync,
       case when cdc_enabled then (select max(start_lsn) from chg) else last_cdc_lsn end as last_cdc_lsn from enabled""",
     "recent_logs": _ctl(f"select {VIEW} {VIEW_JOIN} order by l.created_at desc, l.log_id desc, f.flow_name limit 1000"),

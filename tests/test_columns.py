@@ -87,3 +87,16 @@ def test_strip_metadata_and_hex(spark):
 def test_cast_like_fills_missing_columns(tables):
     src, dst = tables
     assert c.cast_like(src, dst.schema).first().asDict() == {"id": "a", "NAME": 1, "seq": 3, "gone": None}
+
+
+def test_catalogue_marks_generated_columns(spark):
+    df = spark.createDataFrame([(1, 2, "a")], "ID int, Version int, v string")
+    catalogue = spark.createDataFrame(
+        [("id", "identity"), ("VERSION", "rowversion"), ("v", None), ("gone", "identity")], "column_name string, generated string"
+    )
+    marked = c.mark_from_catalogue(df, catalogue)
+    assert [i.generated for i in c.column_info(marked)] == ["identity", "rowversion", None]
+    assert marked.collect() == df.collect()
+    assert c.mark_from_catalogue(df, catalogue.limit(0)).schema == df.schema
+    with pytest.raises(ValueError, match="unknown"):
+        c.mark_from_catalogue(df, spark.createDataFrame([("v", "computed")], catalogue.schema))

@@ -98,3 +98,14 @@ def test_export_text(spark):
     df = spark.createDataFrame([values], "s string, n string, b binary, t boolean, ts timestamp_ntz, d decimal(5,2)")
     out = df.select(*[export_text(F.col(f.name), f.dataType) for f in df.schema.fields]).first()
     assert tuple(out) == ("a b c d", "", "0a", "1", "2024-01-02 03:04:05.678", "1.20")
+
+
+def test_words_hold_all_bits(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    digest = F.md5(F.col("v").cast("binary"))
+    for r in df.select(digest.alias("h"), *[w.alias(f"w{i}") for i, w in enumerate(h.md5_words(digest))]).collect():
+        assert "".join(f"{r[f'w{i}']:05x}" for i in range(6)) + f"{r['w6']:02x}" == r["h"]
+    names = ["id", "v"]
+    want = F.xxhash64("id", "v", F.lit(False), F.lit(False))
+    for r in df.select(want.alias("x"), *[w.alias(f"w{i}") for i, w in enumerate(h.value_words(df, names, set()))]).collect():
+        assert sum(r[f"w{i}"] << (h.WORD_BITS * i) for i in range(4)) == r["x"] % (1 << 64)

@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
+from tablesync.functions.columns import mark_generated
 from tablesync.model import SUCCESS, FeedNames, Mapping, TableSpec
 from tablesync.operators.keyed import delete_by_keys, read_by_keys
 from tablesync.plans.jobs import Endpoints, Options, SyncEngine
@@ -110,3 +112,33 @@ def test_jobs_run_on_a_jdbc_target(spark, memory, folder):
     assert rows(memory.read()) == [(1, "a"), (8, "h")]
     assert engine.verify(mapping).status == SUCCESS
     assert memory.log == ["DELETE", "INSERT"] * 2
+
+
+class NumberingTarget(MemoryTarget):
+    """Numbers the rows of an INSERT that leaves the identity column out, as a database does."""
+
+    saved = ()
+
+    def _save(self, df, table, mode):
+        self.saved = [*self.saved, (table, df.columns)]
+        return super()._save(df, table, mode)
+
+    def _execute(self, statements):
+        staged = self.tables[self.rows_table]
+        missing = [c for c in self.tables["t"].columns if c not in staged.columns]
+        self.tables[self.rows_table] = staged.select("*", *[F.lit(0).alias(c) for c in missing])
+        super()._execute(statements)
+
+
+@pytest.mark.parametrize("in_place", [False, True])
+def test_full_sync_leaves_identity_columns_to_the_database(spark, folder, in_place):
+    table = mark_generated(spark.createDataFrame([(1, "a", 7)], "id int, v string, seq int"), "seq", "identity")
+    target = NumberingTarget(spark, table, "id")
+    source = spark.createDataFrame([(2, "b", 11), (3, "c", 22)], "id int, v string, seq int")
+    ends = Endpoints(lambda: source, lambda: None, target)
+    engine = SyncEngine(spark, ControlStore(spark, folder()), lambda m: ends, Options(in_place=in_place))
+    found = engine.full_sync(Mapping(1, 1, "f", "s", "dbo", "t", "d", "dbo", "t", ("id",), True, False))
+    assert (found.status, found.records) == (SUCCESS, 2)
+    assert target.saved == [("t" if in_place else "t_sync_rows", ["id", "v"])]
+    assert rows(target.read().select("id", "v")) == [(2, "b"), (3, "c")]
+    assert target.log == ([] if in_place else ["DELETE", "INSERT"])

@@ -369,7 +369,7 @@ def test_merged_logs_lose_and_repeat_nothing(spark, folder, monkeypatch):
     assert store.logs().count() == 5 and store.merge_logs() == 0
 
 
-def test_load_mappings(spark):
+def test_load_mappings(spark, folder):
     flows = spark.createDataFrame([(7, "f", True), (8, "g", False)], "flow_id int, flow_name string, is_enabled boolean")
     mappings = spark.createDataFrame(
         [(1, 7, "s", "dbo", "t", "d", "dbo", "t2", "id", True, True, True, None),
@@ -382,6 +382,11 @@ def test_load_mappings(spark):
     first, second = load_mappings(mappings, flows)
     assert first == mapping(1)
     assert second.key == ("a", "b") and second.last_cdc_lsn == lsn(4)
+    store = ControlStore(spark, folder())
+    store.update(1, is_full_sync=False, last_cdc_lsn=lsn(9))
+    first, second = load_mappings(mappings, flows, store.states())
+    assert (first.is_full_sync, first.last_cdc_lsn) == (False, lsn(9))
+    assert second.last_cdc_lsn == lsn(4)
 
 
 def test_table_specs(spark, folder):
