@@ -7,7 +7,8 @@ Every stage takes what its predecessor kept, written as Parquet, and all but the
    the text. No document goes, also if it has no line left.
 3. ``near_dedup`` keeps one document of each class of near-duplicates (shingles of five words, similarity 0.8).
 4. ``mixing`` puts the documents in the order of the mix: files in turn, rows in turn. No document goes.
-5. ``packing`` returns the pieces of documents with their places in sequences.
+5. ``packing`` returns the pieces of documents with their places in sequences. Consecutive stretches of the mix are packed,
+   and the sequences are numbered and written in that order.
 
 Null and empty texts, repeated rows, empty tables and further columns are treated as the operators state.
 """
@@ -24,6 +25,9 @@ from tablesync.llm.common import shielded, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Pieces of a stretch of the mix that is packed as a whole. Sequences of a stretch have the sources in its shares.
+STRETCH_PIECES = 4096
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -45,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, group_pieces=STRETCH_PIECES)
 
 
 STAGES: list[tuple[str, Stage]] = [
