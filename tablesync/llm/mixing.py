@@ -1,28 +1,40 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
-Each source is cut into blocks of ``block_rows`` documents in a shuffled order. Weights become integer shares of a period;
+Each source is cut into blocks of ``block_rows`` documents in a shuffled order. Weights become the smallest integer shares
+that have exactly their proportions, and the period is the sum of the shares;
 block ``c`` of a source with share ``p`` of period ``P`` is released at slot ``floor(c * P / p)`` and due by
 ``ceil((c + 1) * P / p)``. Earliest deadline first among the released blocks fills one period; the shares add up to the
-period, so the windows are always met, and at every slot each source is less than one block away from its share. The
-schedule repeats with the period, so one period is all that is ever computed, however many blocks there are.
+period, so the windows are always met, and at every slot each source is less than one block away from its weight. The
+schedule repeats with the period, so one period is all that is ever computed, however many blocks there are. Only weights
+whose exact period is longer than ``MAX_PERIOD`` are rounded, to whole slots of about that many.
+
+Sources of one share have the same windows and are served in turn, so the schedule looks at one candidate a share.
 
 When a source ends, its slots stay empty and the others keep their proportions. No row is dropped or repeated.
 
-Defined cases: a null source is a source of its own; a source without a positive weight gets the least share, one slot of a
-period; sources and weights may tie (order of the source's text decides); documents that repeat an id and a source are
+Defined cases: a null source is a source of its own; sources without a positive weight get one slot each
+of a period, which is made so long that all of them have one slot of ``PERIOD`` together; sources and weights may tie (order of the source's text decides); documents that repeat an id and a source are
 interchangeable; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablesync.llm.common import restored, shielded, written
 
-#: Slots of a period that weights are rounded to. At least one slot a source, so the period grows with many sources.
+#: Slots among which all sources without a positive weight have one.
 PERIOD = 1000
+#: Slots of the longest period that is computed. Weights that need a longer one are rounded, at least one slot a source.
+MAX_PERIOD = 1 << 18
+#: Slots that are appended one by one; longer periods are lists of such stretches.
+STRETCH = 1024
+#: Digits of given weights that count, from the first of the largest weight on.
+DIGITS = 10
 #: Rows of (source, slots) that a join may broadcast; beyond it Spark joins by its own choice, same rows.
 BROADCAST_SOURCES = 100_000
 
@@ -33,34 +45,57 @@ def source_key(source: Column) -> Column:
 
 
 def shares(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """Integer shares of a period: (key, share) from (key, weight long); at least 1."""
+    """Integer shares of a period, in the proportions of the weights: (key, share) from (key, weight long); at least 1."""
     known = weights.select("key", F.greatest(F.coalesce("weight", F.lit(0)), F.lit(0)).cast("long").alias("weight"))
-    total = known.agg(F.greatest(F.sum("weight"), F.lit(1))).first()[0] or 1
-    return known.select("key", F.greatest(F.lit(1), F.expr(f"(2 * weight * {period} + {total}) div (2 * {total})")).alias("share"))
+    euclid = """aggregate(sequence(1, 92), struct(g AS a, x AS b),
+        (s, i) -> if(s.b = 0, s, struct(s.b AS a, s.a % s.b AS b)), s -> s.a)"""
+    found = known.agg(
+        F.sum(F.col("weight").cast("decimal(38,0)")).alias("total"), F.collect_set("weight").alias("w"),
+        F.count_if(F.col("weight") == 0).alias("idle"), F.count(F.lit(1)).alias("n"),
+    )
+    found = found.select("total", "idle", "n", F.expr(f"aggregate(w, 0L, (g, x) -> {euclid})").alias("divisor")).first()
+    total, divisor = int(found["total"] or 0), found["divisor"] or 1
+    # Idle sources: the others take as many slots as they need to keep all but one of ``period``.
+    exact = total // divisor
+    times = max(1, -(-period * found["idle"] // exact)) if exact else 1
+    if exact * times + found["idle"] <= max(MAX_PERIOD, found["n"]):
+        share = F.expr(f"weight div {divisor}L * {times}L")
+    else:
+        slots = max(MAX_PERIOD - found["idle"], 1)
+        share = F.expr(f"cast((2 * cast(weight as decimal(20,0)) * {slots} + {total}) div (2 * cast({total} as decimal(38,0))) as long)")
+    return known.select("key", F.greatest(F.lit(1).cast("long"), share).alias("share"))
 
 
 def schedule(parts: DataFrame) -> DataFrame:
     """One period by earliest deadline first: (key, share, slots array<int>, period), slots in order."""
     row = parts.agg(F.array_sort(F.collect_list(F.struct("key", F.col("share").cast("long").alias("share")))).alias("s"))
-    row = row.select("s", F.expr("transform(s, x -> x.share)").alias("p"))
-    row = row.select("s", "p", F.expr("aggregate(p, 0L, (a, x) -> a + x)").alias("n")).where("n > 0")
-    # State: blocks given so far by source, and the picks. The inner aggregate over one element binds the pick.
-    pick = """
-        array_min(filter(
-            transform(st.given, (c, i) -> struct(
-                ((c + 1) * n + p[i] - 1) div p[i] AS due, i AS i, (c * n) div p[i] AS released)),
-            x -> x.released <= t)).i"""
+    sources = row.select(F.posexplode("s").alias("i", "x")).select("i", "x.key", "x.share")
+    alike = sources.groupBy("share").agg(F.sort_array(F.collect_list("i")).alias("members"))
+    row = alike.agg(
+        F.sort_array(F.collect_list(F.struct("share", "members"))).alias("k"), F.sum(F.col("share") * F.size("members")).alias("n")
+    ).where("n > 0")
+
+    def candidate(j: str, g: str) -> str:
+        """The next block of a share of which ``g`` blocks are placed: members in turn, then their next blocks."""
+        c, p = f"({g} div size(k[{j}].members))", f"k[{j}].share"
+        return f"""struct((({c} + 1) * n + {p} - 1) div {p} AS due, k[{j}].members[cast({g} % size(k[{j}].members) as int)] AS i,
+            {j} AS j, {g} AS g, ({c} * n) div {p} AS released)"""
+
+    # State: the next block of each share, and the picks. The inner aggregate over one element binds the pick.
     step = f"""
-        aggregate(array({pick}), st, (a, k) -> struct(
-            transform(a.given, (c, i) -> if(i = k, c + 1, c)) AS given, concat(a.picks, array(k)) AS picks))"""
-    row = row.select("s", "n", F.expr(f"""
-        aggregate(sequence(0L, n - 1),
-            struct(transform(p, x -> 0L) AS given, cast(array() AS array<int>) AS picks),
-            (st, t) -> {step}, st -> st.picks)""").alias("picks"))
-    return row.select("n", "s", F.posexplode("picks").alias("slot", "i")).groupBy("i").agg(
-        F.sort_array(F.collect_list("slot")).alias("slots"), F.first(F.expr("s[i].key")).alias("key"),
-        F.first(F.expr("s[i].share")).alias("share"), F.first("n").alias("period"),
-    ).select("key", "share", "slots", "period")
+        aggregate(array(array_min(filter(st.ahead, x -> x.released <= t))), st, (a, b) -> struct(
+            transform(a.ahead, x -> if(x.j = b.j, {candidate("x.j", "(x.g + 1)")}, x)) AS ahead, concat(a.picks, array(b.i)) AS picks))"""
+    stretch = f"""
+        aggregate(sequence(u * {STRETCH}, least(n, (u + 1) * {STRETCH}) - 1), struct(o.ahead AS ahead, cast(array() AS array<int>) AS picks),
+            (st, t) -> {step}, st -> struct(st.ahead AS ahead, concat(o.picks, array(st.picks)) AS picks))"""
+    row = row.select("n", F.expr(f"""
+        flatten(aggregate(sequence(0L, (n - 1) div {STRETCH}),
+            struct(transform(k, (x, j) -> {candidate("j", "0L")}) AS ahead, cast(array() AS array<array<int>>) AS picks),
+            (o, u) -> {stretch}, o -> o.picks))""").alias("picks"))
+    slots = row.select("n", F.posexplode("picks").alias("slot", "i")).groupBy("i").agg(
+        F.sort_array(F.collect_list("slot")).alias("slots"), F.first("n").alias("period")
+    )
+    return sources.join(slots, "i").select("key", "share", "slots", "period")
 
 
 def numbered(rows: DataFrame, total: int, bucket_rows: int) -> DataFrame:
@@ -101,9 +136,11 @@ def mix(
     else:
         given = weights.select(source_key(F.col("source")).alias("key"), F.col("weight").cast("double").alias("weight"))
         given = given.groupBy("key").agg(F.max("weight").alias("weight"))
-        # Any positive unit will do for weights: millionths of the largest.
-        top = given.agg(F.max("weight")).first()[0]
-        unit = F.floor(F.col("weight") / F.lit(top if top and top > 0 else 1.0) * 1_000_000)
+        # Any positive unit will do for weights: a power of ten keeps the proportions of decimal numbers.
+        top = given.where("weight > 0").agg(F.max("weight")).first()[0]
+        power = math.floor(math.log10(top)) if top else 0
+        unit = F.round(F.col("weight") / F.lit(10.0**power) * F.lit(10.0 ** (DIGITS - 1))).cast("long")
+        unit = F.when(F.col("weight") > 0, F.greatest(F.lit(1).cast("long"), unit))
         weights = counts.select("key").join(given, "key", "left").select("key", unit.alias("weight"))
     plan = written(schedule(shares(weights, period)), "mix-schedule")
     n_sources, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
