@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tablesync.llm.common import SPACE, UPPER
+from tablesync.llm.licenses import BETWEEN, COVER, MIN_VOTES, TEMPLATES
 from tablesync.llm.mixing import PERIOD
 from tablesync.llm.secrets import ACCESS, ASSIGN, ASSIGN_CHARS, HEX, KEY, KEY_CHARS
 
@@ -14,6 +15,8 @@ _SPANS = " UNION ALL ".join(f"""
         regexp_extract_all(t, '{p}', {2 if k == "assign" else 0}) AS secrets FROM texts WHERE regexp_matches(t, '{p}')
     """ for i, (k, p) in enumerate(_QUOTED.items()))
 
+_TEMPLATES = ", ".join(f"({i}, '{t.label}', {t.words!r}, {t.base}, {t.tolerance})" for i, t in enumerate(TEMPLATES))
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": f"""
         WITH lines AS (
@@ -83,4 +86,63 @@ ORACLE: dict[str, str] = {
             sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
             coalesce(n_example, 0) AS n_example
         FROM texts LEFT JOIN by_doc USING (doc_id)""",
+    "op11_licenses": f"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS row, doc_id, list_filter(
+                string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{BETWEEN}'), lambda w: w <> '') AS w
+            FROM documents),
+        templates AS (SELECT * FROM (VALUES {_TEMPLATES}) t(template, label, tw, base, tolerance)),
+        grams AS (SELECT template, tw[q + 1] AS t0, tw[q + 2] AS t1, q FROM (SELECT *, unnest(range(len(tw) - 1)) AS q FROM templates)),
+        hits AS (
+            SELECT row, template, p, q
+            FROM (SELECT row, w[p + 1] AS a, w[p + 2] AS b, p FROM (SELECT *, unnest(range(len(w) - 1)) AS p FROM texts))
+            JOIN grams ON a = t0 AND b = t1),
+        diagonals AS (
+            SELECT row, template, p - q AS diagonal, count(*) AS votes, min(p) AS first, max(p) AS last, list(q) AS qs
+            FROM hits GROUP BY ALL),
+        facts AS (SELECT *, len(tw) AS length FROM diagonals JOIN templates USING (template)),
+        merged AS (
+            SELECT row, label, length, diagonal, sum(votes) OVER w AS votes, min(first) OVER w AS start, max(last) OVER w + 2 AS stop,
+                list_distinct(flatten(list(qs) OVER w)) AS qs, tolerance
+            FROM facts WHERE NOT base AND votes >= {MIN_VOTES}
+            WINDOW w AS (PARTITION BY row, template ORDER BY diagonal RANGE BETWEEN tolerance PRECEDING AND tolerance FOLLOWING)),
+        strongest AS (
+            SELECT *, max({{'v': votes, 'd': -diagonal}}) OVER (
+                PARTITION BY row, label ORDER BY diagonal RANGE BETWEEN tolerance PRECEDING AND tolerance FOLLOWING) AS best
+            FROM merged),
+        covers AS (
+            SELECT row, label, start, len(list_distinct(list_concat(qs, list_transform(qs, lambda q: q + 1)))) AS covered,
+                greatest(length, stop - start) AS longer
+            FROM strongest WHERE best = {{'v': votes, 'd': -diagonal}}),
+        spans AS (
+            SELECT row, label, true AS base, diagonal AS start, 1.0::DOUBLE AS score FROM facts WHERE base AND votes = length - 1
+            UNION ALL
+            SELECT row, label, false, start, covered / longer FROM covers WHERE 100 * covered >= {COVER} * longer),
+        by_row AS (
+            SELECT row, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+                string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+                string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+            FROM spans GROUP BY row)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+            coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+        FROM texts LEFT JOIN by_row USING (row)""",
+    "op13_hard_negatives": """
+        WITH usable AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.x, r.x)::BIGINT AS score
+            FROM usable a JOIN usable r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.positive_id,
+            (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+            vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same
+            AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10""",
 }

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import ann, fingerprints, line_dedup, mixing, near_dedup, packing, secrets, token_counts, token_output, toxicity
+from tablesync.llm import (
+    ann,
+    fingerprints,
+    hard_negatives,
+    licenses,
+    line_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    secrets,
+    token_counts,
+    token_output,
+    toxicity,
+    whitening,
+)
 from tablesync.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +113,21 @@ def op10_fingerprints(spark, sf):
         fingerprints.hexadecimal(F.col("edited")).alias("edited_fingerprint"), "near_edited", "near_next",
         F.col("n_found").alias("n_within_radius"),
     )
+
+
+@query
+def op11_licenses(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return licenses.report(*licenses.scan(docs))
+
+
+@query
+def op12_whitening(spark, sf):
+    return whitening.whitened_embeddings(table(spark, sf, "embeddings"))
+
+
+@query
+def op13_hard_negatives(spark, sf):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.usable(table(spark, sf, "embeddings"), moved)
+    return hard_negatives.mine(rows, rows.where("vec_id % 100 = 0"))
