@@ -55,8 +55,8 @@ def md5_words(hash_col: Column) -> list[Column]:
     return [F.conv(F.substring(hash_col, at, 5), 16, 10).cast("bigint") for at in range(1, 33, 5)]
 
 
-def value_words(df: DataFrame, columns: list[str], as_text: set[str], float_scale: int | None = None) -> list[Column]:
-    """All bits of a 64-bit hash over the typed values, as words.
+def value_hash(df: DataFrame, columns: list[str], as_text: set[str], float_scale: int | None = None) -> Column:
+    """64-bit hash over the typed values.
 
     Several times cheaper than hashing text. NULL flags are part of the hash, since the hash function itself skips NULL.
     Columns in ``as_text`` are hashed by their canonical text, and with a ``float_scale`` so are floating-point columns.
@@ -68,10 +68,19 @@ def value_words(df: DataFrame, columns: list[str], as_text: set[str], float_scal
         scaled = float_scale is not None and isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType)
         values.append(text_of(c, dtype, float_scale) if name in as_text or scaled else c)
         flags.append(c.isNull())
-    h = F.xxhash64(*values, *flags)
+    return F.xxhash64(*values, *flags)
+
+
+def hash_words(h: Column) -> list[Column]:
+    """All bits of a 64-bit hash as words."""
     return [F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << WORD_BITS) - 1)) for at in range(0, 64, WORD_BITS)]
 
 
+def value_words(df: DataFrame, columns: list[str], as_text: set[str], float_scale: int | None = None) -> list[Column]:
+    """All bits of :func:`value_hash`, as words."""
+    return hash_words(value_hash(df, columns, as_text, float_scale))
+
+
 def text_columns(src: DataFrame, dst: DataFrame, columns: list[str]) -> set[str]:
     """Columns to compare by text: nested ones and those whose types differ between the sides."""
     nested = (T.ArrayType, T.MapType, T.StructType)

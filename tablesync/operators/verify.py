@@ -47,7 +47,7 @@ def tail_by_key(df: DataFrame, key: Key, n: int = 10) -> DataFrame:
     return df.where((lead >= floor) | lead.isNull()).orderBy(*order).limit(n)
 
 
-def _sides(src: DataFrame, dst: DataFrame, key: Key) -> tuple[DataFrame, DataFrame, list[str]]:
+def comparable_sides(src: DataFrame, dst: DataFrame, key: Key) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides reduced to the columns to verify, in destination spelling."""
     cols = verify_columns(src, dst, key)
     if not cols:
@@ -101,7 +101,7 @@ def verify_tail_rows(
     """
     if not 0 < n <= MAX_COMBINED_ROWS:
         raise ValueError(f"a tail has 1 to {MAX_COMBINED_ROWS} rows; use verify_full for whole tables")
-    src, dst, cols = _sides(src, dst, key)
+    src, dst, cols = comparable_sides(src, dst, key)
     keys = resolve_key(dst, key)
     tail = tail_by_key(dst, keys, n)
     tail_keys = tail.select(*[quoted(k) for k in keys])
@@ -154,7 +154,7 @@ def key_bucket(df: DataFrame, key: Key, buckets: int, as_text: set[str] = frozen
     return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
 
 
-def _words(df: DataFrame, cols: list[str], as_text: set[str], checksum: str, scale: int | None) -> list[Column]:
+def bucket_words(df: DataFrame, cols: list[str], as_text: set[str], checksum: str, scale: int | None) -> list[Column]:
     if checksum == "md5":
         return md5_words(md5_hex(tagged_row_text(df, cols, scale)))
     if checksum != "xxhash64":
@@ -181,12 +181,12 @@ def verify_buckets(
     the number of rows or the weight of one key. ``bucket_of`` replaces the hash bucket by an own expression.
     ``checksum="md5"`` adds up words of the MD5 row hashes, which other engines can reproduce.
     """
-    src, dst, cols = _sides(src, dst, key)
+    src, dst, cols = comparable_sides(src, dst, key)
     as_text = text_columns(src, dst, cols)
     parts = []
     for df, in_src in ((src, True), (dst, False)):
         bucket = bucket_of if bucket_of is not None else key_bucket(df, key, buckets, as_text)
-        words = _words(df, cols, as_text, checksum, float_scale)
+        words = bucket_words(df, cols, as_text, checksum, float_scale)
         parts.append(df.select(bucket.alias(BUCKET), F.lit(in_src).alias(_IN_SRC), *_named_words(words)))
     sides = (("src", F.col(_IN_SRC)), ("dst", ~F.col(_IN_SRC)))
     grouped = parts[0].unionByName(parts[1]).groupBy(BUCKET).agg(
@@ -227,15 +227,31 @@ def verify_full(
     found = verify_buckets(src, dst, key, buckets, float_scale, checksum=checksum)
     diff = F.broadcast(differing_buckets(found).withColumnRenamed(BUCKET, _BUCKET))
     key_type = {k: dst.schema[k].dataType for k in resolve_key(dst, key)}
-    src, dst, cols = _sides(src, dst, key)
+    src, dst, cols = comparable_sides(src, dst, key)
     as_text, keys = text_columns(src, dst, cols), resolve_key(dst, key)
-    parts = []
+    suspects = [
+        df.withColumn(_BUCKET, key_bucket(df, keys, buckets, as_text)).join(diff, _BUCKET, "left_semi").drop(_BUCKET)
+        for df in (src, dst)
+    ]
+    return compare_keys(*suspects, keys, cols, as_text, key_type, float_scale, checksum)
+
+
+def compare_keys(
+    src: DataFrame,
+    dst: DataFrame,
+    key: Key,
+    cols: list[str],
+    as_text: set[str],
+    key_types: dict[str, T.DataType],
+    float_scale: int | None = None,
+    checksum: str = "xxhash64",
+) -> DataFrame:
+    """``(key, status)`` of the keys whose rows differ as multisets, over comparable sides (all rows of a key or none)."""
+    keys, parts = resolve_key(dst, key), []
     for df, sign in ((src, 1), (dst, -1)):
-        bucket = key_bucket(df, keys, buckets, as_text)
-        suspects = df.withColumn(_BUCKET, bucket).join(diff, _BUCKET, "left_semi").drop(_BUCKET)
-        words = [c * sign for c in _words(suspects, cols, as_text, checksum, float_scale)]
-        parts.append(suspects.select(
-            *[F.col(quoted(k)).cast(key_type[k]).alias(k) for k in keys],
+        words = [c * sign for c in bucket_words(df, cols, as_text, checksum, float_scale)]
+        parts.append(df.select(
+            *[F.col(quoted(k)).cast(key_types[k]).alias(k) for k in keys],
             F.lit(sign).alias(_SIDE),
             *_named_words(words),
         ))

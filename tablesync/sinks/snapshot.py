@@ -4,6 +4,7 @@ Layout::
 
     <root>/data/<folder>/tablesync_bucket=<b>/*.parquet    base rows
     <root>/pending/<folder>/keys, .../rows                 keys replaced since, and their current rows
+    <root>/ledger/<folder>/*.parquet                       bucket checksums of a version, if asked for
     <root>/manifest/<n>.json                               which folders make up version n
 
 The table is ``(base without the pending keys) + pending rows``. A small pass only rewrites the pending part, so its cost
@@ -35,6 +36,7 @@ from tablesync.operators.keyed import (
     read_by_keys,
     typed_keys,
 )
+from tablesync.operators.ledger import LedgerRules, added, bucket_sums
 from tablesync.sinks.files import write_keys
 from tablesync.sources.folders import Folder, VersionedDocument
 
@@ -63,6 +65,8 @@ class SnapshotTarget:
     into the base when its keys outgrow ``broadcast_bytes`` or its rows ``pending_rows``. ``count_deleted`` counts the rows
     a pass replaces, which takes a scan of the key column of the touched buckets. Old versions stay readable until
     ``vacuum`` is called; with ``keep_versions`` a pass calls it every so many versions, which ends readers of older ones.
+    With ``ledger`` every version has a ledger of bucket checksums (see ``operators.ledger``), written before its manifest
+    names it; a table written without one gets it by a scan in the next pass.
     """
 
     def __init__(
@@ -76,12 +80,14 @@ class SnapshotTarget:
         compact_every: int = 8,
         count_deleted: bool = True,
         keep_versions: int | None = None,
+        ledger: LedgerRules | None = None,
     ):
         self.spark, self.root = spark, root.rstrip("/")
         self.key = key_list(key)
         self.buckets, self.broadcast_bytes, self.compact_every = buckets, broadcast_bytes, compact_every
         self.pending_rows = pending_rows
         self.count_deleted, self.keep_versions = count_deleted, keep_versions
+        self.ledger_rules = ledger
         self._versions = VersionedDocument(Folder(spark, f"{self.root}/manifest"))
 
     # ---- reading -------------------------------------------------------------------------------------------------
@@ -98,6 +104,37 @@ class SnapshotTarget:
     def properties(self) -> dict[str, Any]:
         return self.manifest()[1]["properties"] if self.exists() else {}
 
+    def ledger(self) -> tuple[DataFrame, LedgerRules] | None:
+        """Bucket checksums of the published version and their rules, if it has them."""
+        return self._ledger(self.manifest()[1])
+
+    def _ledger(self, document: dict[str, Any]) -> tuple[DataFrame, LedgerRules] | None:
+        kept = document.get("ledger")
+        if not kept:
+            return None
+        return self.spark.read.parquet(f"{self.root}/ledger/{kept['folder']}"), LedgerRules(**kept["rules"])
+
+    def _write_ledger(self, document: dict[str, Any], parts: list[DataFrame]) -> None:
+        """Add up the parts of a ledger: as many rows as buckets at most, in one file."""
+        folder = f"l{uuid.uuid4().hex}"
+        added(parts).coalesce(1).write.parquet(f"{self.root}/ledger/{folder}")
+        document["ledger"] = {"folder": folder, "rules": self.ledger_rules.document()}
+
+    def _keep_ledger(self, old: dict[str, Any], new: dict[str, Any], keys: DataFrame, stats: KeyStats, small: bool) -> None:
+        """The ledger of a version that replaces some keys: less their rows in the old version, plus those in the new one."""
+        new.pop("ledger", None)
+        if not self.ledger_rules:
+            return
+        kept = self._ledger(old)
+        if kept is None or kept[1] != self.ledger_rules:
+            self._write_ledger(new, [bucket_sums(self._table(new, range(new["buckets"])), self.key, self.ledger_rules)])
+            return
+        touched, parts = self._touched(keys, old["buckets"]), [kept[0]]
+        for document, sign in ((old, -1), (new, 1)):
+            rows = read_by_keys(self._table(document, touched), keys, self.key, small, not small, stats)
+            parts.append(bucket_sums(rows, self.key, self.ledger_rules, sign))
+        self._write_ledger(new, parts)
+
     def schema(self) -> T.StructType:
         return T.StructType.fromJson(self.manifest()[1]["schema"])
 
@@ -213,6 +250,8 @@ class SnapshotTarget:
             "folds": 0,
             "properties": properties or {},
         }
+        if self.ledger_rules:
+            self._write_ledger(document, [bucket_sums(self._base(document, filled), self.key, self.ledger_rules)])
         return Staged(number, f"{self.root}/data/{folder}", document, 0, seen["fresh"])
 
     def stage_replace(
@@ -273,10 +312,12 @@ class SnapshotTarget:
         all_keys = keys if not document["pending"] else old_keys.unionByName(keys).distinct()
         if total.fits(self.broadcast_bytes) and pending["rows"] <= self.pending_rows:
             path, new["pending"], seen = self._write_pending(all_keys, kept, fresh)
+            self._keep_ledger(document, new, keys, stats, small)
             return Staged(number, f"{path}/rows", new, seen["kept"], seen["fresh"], deleted, stats.keys)
         # Pending and new keys each fit the limit where both are small, so their union stays below twice of it.
-        small = small and total.fits(2 * self.broadcast_bytes)
-        path, seen = self._fold(new, all_keys, [(kept, False, True)], fresh, small, by_key)
+        all_small = small and total.fits(2 * self.broadcast_bytes)
+        path, seen = self._fold(new, all_keys, [(kept, False, True)], fresh, all_small, by_key)
+        self._keep_ledger(document, new, keys, stats, small)
         return Staged(number, path, new, seen["kept"], seen["fresh"], deleted, stats.keys)
 
     def _write_pending(self, keys: DataFrame, kept: DataFrame, fresh: DataFrame) -> tuple[str, dict, dict]:
@@ -378,6 +419,13 @@ class SnapshotTarget:
         for b in map(str, filled):
             data[b] = [*data.get(b, []), folder]
         new = {**document, "data": data, "properties": {**document["properties"], **(properties or {})}}
+        kept = self._ledger(document)
+        new.pop("ledger", None)
+        if self.ledger_rules and kept is not None and kept[1] == self.ledger_rules:
+            rows = self._base({**new, "data": {str(b): [folder] for b in filled}}, filled)
+            self._write_ledger(new, [kept[0], bucket_sums(rows, self.key, self.ledger_rules)])
+        elif self.ledger_rules:
+            self._write_ledger(new, [bucket_sums(self._table(new, range(new["buckets"])), self.key, self.ledger_rules)])
         return self._published(Staged(number, f"{self.root}/data/{folder}", new, 0, seen["fresh"]))
 
     def vacuum(self, keep: int = 2) -> list[str]:
@@ -389,8 +437,9 @@ class SnapshotTarget:
         documents = [self._versions.read(n) for n in numbers]
         used = {f for d in documents for folders in d["data"].values() for f in folders}
         used |= {d["pending"]["folder"] for d in documents if d["pending"]}
+        used |= {d["ledger"]["folder"] for d in documents if d.get("ledger")}
         dropped = []
-        for place in ("data", "pending"):
+        for place in ("data", "pending", "ledger"):
             folder = Folder(self.spark, f"{self.root}/{place}")
             for name in folder.names():
                 if documents and name not in used:

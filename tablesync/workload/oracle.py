@@ -159,7 +159,7 @@ ORACLE: dict[str, str] = {
     "changes_since": _rep("select * from later"),
     "changes_since_upper_hex": _rep("select * replace (upper(start_lsn) as start_lsn) from later"),
     "changes_since_binary": _rep("select * from later"),
-    "full_sync_identity": _rep("select * from src"),
+    "full_sync_identity": "select * from orders",
     "tail_by_key": _rep("select * from dst order by o_orderkey desc limit 10"),
     "changed_keys": _rep("select o_orderkey from kh"),
     "lsn_bounds": _rep("select min(start_lsn) as min_lsn, max(start_lsn) as max_lsn from chg"),
@@ -232,6 +232,28 @@ ORACLE: dict[str, str] = {
     "verify_full_documents": """select doc_id, case doc_id % 10 when 7 then 'missing_in_src' when 3 then 'missing_in_dst'
       else 'different' end as status from documents
       where doc_id % 10 in (3, 7) or (doc_id % 10 = 5 and text is not null)""",
+    "verify_sets_lineitem": """with s as (select * from lineitem where l_orderkey % 100 <> 7),
+      d as (select * replace (case when l_orderkey % 100 = 5 and l_linenumber = 1 then l_tax + 1 else l_tax end as l_tax)
+        from lineitem where l_orderkey % 100 <> 3 or l_linenumber <> 2),
+      sk as (select l_orderkey, list_sort(list(cast(s as varchar))) as content from s group by 1),
+      dk as (select l_orderkey, list_sort(list(cast(d as varchar))) as content from d group by 1)
+      select l_orderkey, 'missing_in_dst' as status from sk anti join dk using (l_orderkey)
+      union all select l_orderkey, 'missing_in_src' from dk anti join sk using (l_orderkey)
+      union all select l_orderkey, 'different' from sk join dk using (l_orderkey) where sk.content <> dk.content""",
+    "verify_sets_documents": """with s as (select * from documents where doc_id % 100 <> 7),
+      d as (select * replace (case when doc_id % 100 = 5 then text || '.' else text end as text)
+        from documents where doc_id % 100 <> 3)
+      select doc_id, 'missing_in_dst' as status from s anti join d using (doc_id)
+      union all select doc_id, 'missing_in_src' from d anti join s using (doc_id)
+      union all select s.doc_id, 'different' from s join d using (doc_id) where s.text is distinct from d.text""",
+    "ledger_after_changes": _rep(f"""select bucket, copy_rows as rows, {", ".join(f"copy_sum{w} as sum{w}" for w in range(7))}
+      from {_bucket_side('copied', 'copy')}""", f"copied as ({REPLACED.format(k='kh')})"),
+    "verify_ledger": _rep("""select coalesce(s.o_orderkey, d.o_orderkey) as o_orderkey,
+      case when s.o_orderkey is null then 'missing_in_src' when d.o_orderkey is null then 'missing_in_dst'
+        else 'different' end as status
+      from src s full join copied d on s.o_orderkey = d.o_orderkey
+      where s.o_orderkey is null or d.o_orderkey is null or s.o_totalprice <> d.o_totalprice""",
+      f"copied as ({REPLACED.format(k='kh')})"),
     "validate_schema": _ctl("""
       select mapping_id, 'source_exists' as check, cast(null as varchar) as column,
         mapping_id in (select mapping_id from scol) as ok from mappings
@@ -255,7 +277,7 @@ ORACLE: dict[str, str] = {
     "bounded_pass": _rep(REPLACED.format(k="k")),
     "sync_all": _rep("""select m.mapping_id, 'FULL_SYNC' as log_type, 'INFO' as status, cast(null as bigint) as records_count
         from (values (1), (2), (3), (4)) as m(mapping_id)
-      union all select 1, 'FULL_SYNC', 'SUCCESS', (select count(*) from src)
+      union all select 1, 'FULL_SYNC', 'SUCCESS', (select count(*) from orders)
       union all select 1, 'CDC', 'SUCCESS', 0
       union all select 2, 'FULL_SYNC', 'SUCCESS', (select count(*) from customer)
       union all select 3, 'FULL_SYNC', 'SUCCESS', (select count(*) from events)
@@ -273,13 +295,13 @@ ORACLE: dict[str, str] = {
         from src s full join dst d on s.o_orderkey = d.o_orderkey
         where s.o_orderkey is null or d.o_orderkey is null or s.o_totalprice <> d.o_totalprice) group by part_of)"""),
     "staged_roundtrip": _rep("select * from src where o_orderkey in (select o_orderkey from kh)"),
-    "full_sync": _rep("select * from src"),
+    "full_sync": "select * from orders",
     "cdc_sync": _rep(REPLACED.format(k="kh")),
     "run_logs": _rep("""select 1 as flow_id, 1 as mapping_id, 'FULL_SYNC' as log_type, 'INFO' as status,
       cast(null as bigint) as records_count
-      union all select 1, 1, 'FULL_SYNC', 'SUCCESS', (select count(*) from src)
+      union all select 1, 1, 'FULL_SYNC', 'SUCCESS', (select count(*) from orders)
       union all select 1, 1, 'CDC', 'SUCCESS', 0
-      union all select 1, 1, 'VERIFICATION', 'SUCCESS', least(10, (select count(*) from src))"""),
+      union all select 1, 1, 'VERIFICATION', 'SUCCESS', least(10, (select count(*) from orders))"""),
     "run_state": _rep("select 1 as mapping_id, max(start_lsn) as last_cdc_lsn, true as has_sync_time from chg"),
     "target_passes": _rep("select * from src"),
     "stream_sync": _rep("select * from src"),

@@ -21,6 +21,9 @@ from tablesync.model import DEFAULT_FEED, Mapping
 from tablesync.operators import changes as ch
 from tablesync.operators import control as ct
 from tablesync.operators import keyed as kd
+from tablesync.operators import ledger as lg
+from tablesync.operators import reconcile as rc
+from tablesync.operators.ledger import LedgerRules
 from tablesync.operators import verify as vf
 from tablesync.plans.jobs import Endpoints, Options, SyncEngine
 from tablesync.sinks.control_store import ControlStore
@@ -48,8 +51,12 @@ def _later(r: fx.Replication) -> DataFrame:
     return ch.lsn_window(r.chg, r.from_lsn, names=SHORT)
 
 
-def _target(spark: SparkSession, key=KEY) -> SnapshotTarget:
-    return SnapshotTarget(spark, fresh_folder(spark, "target"), key, TARGET_BUCKETS)
+def _target(spark: SparkSession, key=KEY, **options) -> SnapshotTarget:
+    return SnapshotTarget(spark, fresh_folder(spark, "target"), key, TARGET_BUCKETS, **options)
+
+
+#: Rules that another engine can follow: MD5 of the canonical text, buckets by remainder.
+LEDGER = LedgerRules(checksum="md5", float_scale=SCALE, bucket_of=f"{KEY} % 16")
 
 
 # ---- scans and key sets ------------------------------------------------------------------------------------------
@@ -110,7 +117,7 @@ def full_sync_identity(spark, sf):
     """Full sync over a target with an identity column: the copy gets the values of the source."""
     r, target = fx.replication(spark, sf), _target(spark)
     target.overwrite(mark_generated(r.dst, "o_custkey", "identity"))
-    _checked([_engine(spark, r, target).full_sync(ORDERS)])
+    _checked([_engine(spark, r, target, lambda: r.orders).full_sync(ORDERS)])
     return target.read()
 
 
@@ -309,6 +316,42 @@ def verify_full_documents(spark, sf):
     return vf.verify_full(docs.where(part != 7), docs.where(part != 3).withColumn("text", changed), "doc_id")
 
 
+@query
+def verify_sets_lineitem(spark, sf):
+    """Scattered differences by set reconciliation; the key is not unique."""
+    lines = fx.table(spark, sf, "lineitem")
+    part = F.col("l_orderkey") % 100
+    changed = F.when((part == 5) & (F.col("l_linenumber") == 1), F.col("l_tax") + 1).otherwise(F.col("l_tax"))
+    dst = lines.where((part != 3) | (F.col("l_linenumber") != 2)).withColumn("l_tax", changed)
+    return rc.verify_sets(lines.where(part != 7), dst, "l_orderkey")
+
+
+@query
+def verify_sets_documents(spark, sf):
+    """A few differing documents by set reconciliation."""
+    docs = fx.table(spark, sf, "documents")
+    part = F.col("doc_id") % 100
+    changed = F.when(part == 5, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    return rc.verify_sets(docs.where(part != 7), docs.where(part != 3).withColumn("text", changed), "doc_id")
+
+
+@query
+def ledger_after_changes(spark, sf):
+    """The ledger of the copy after change sync from the middle of the feed, kept up by the passes alone."""
+    engine, target = cdc_from_middle(spark, sf, _target(spark, ledger=LEDGER))
+    _checked([engine.cdc_sync(ORDERS)])
+    return target.ledger()[0]
+
+
+@query
+def verify_ledger(spark, sf):
+    """The source against the ledger of the copy, which is half a feed behind."""
+    r = fx.replication(spark, sf)
+    engine, target = cdc_from_middle(spark, sf, _target(spark, ledger=LedgerRules()))
+    _checked([engine.cdc_sync(ORDERS)])
+    return lg.verify_ledger(r.src, target.read(), target.ledger()[0], KEY, LedgerRules())
+
+
 @query
 def validate_schema(spark, sf):
     return ct.validate_mappings(fx.mappings(spark, sf), *fx.column_catalogues(spark, sf))
@@ -364,9 +407,12 @@ def tsv_roundtrip(spark, sf):
 ORDERS = Mapping(1, 1, "orders", "srcdb", "dbo", "orders", "dstdb", "dbo", "orders_copy", (KEY,), True, True)
 
 
-def _engine(spark: SparkSession, r: fx.Replication, target: SnapshotTarget, **options) -> SyncEngine:
+def _engine(
+    spark: SparkSession, r: fx.Replication, target: SnapshotTarget, source: Callable[[], DataFrame] | None = None, **options
+) -> SyncEngine:
+    """An engine over the orders; ``source`` in place of the live source after the changes."""
     store = ControlStore(spark, fresh_folder(spark, "control"))
-    ends = Endpoints(lambda: r.src, lambda: r.chg, target)
+    ends = Endpoints(source or (lambda: r.src), lambda: r.chg, target)
     return SyncEngine(spark, store, lambda mapping: ends, Options(feed_names=SHORT, **options))
 
 
@@ -379,7 +425,7 @@ def _checked(results) -> None:
 @query
 def full_sync(spark, sf):
     r, target = fx.replication(spark, sf), _target(spark)
-    _checked([_engine(spark, r, target).full_sync(ORDERS)])
+    _checked([_engine(spark, r, target, lambda: r.orders).full_sync(ORDERS)])
     return target.read()
 
 
@@ -421,10 +467,10 @@ TABLES = [
 ]
 
 
-def _engine_of_tables(spark, sf) -> SyncEngine:
+def _engine_of_tables(spark, sf, orders=lambda r: r.orders) -> SyncEngine:
     """One engine over several tables; the source of the last mapping does not exist."""
     r = fx.replication(spark, sf)
-    sources = {1: lambda: r.src, **{m.mapping_id: partial(fx.table, spark, sf, m.flow_name) for m in TABLES[1:]}}
+    sources = {1: lambda: orders(r), **{m.mapping_id: partial(fx.table, spark, sf, m.flow_name) for m in TABLES[1:]}}
     ends = {
         m.mapping_id: Endpoints(sources[m.mapping_id], lambda: r.chg, _target(spark, m.key)) for m in TABLES
     }
@@ -447,7 +493,7 @@ def sync_all(spark, sf):
 @query
 def verify_all(spark, sf):
     """Log rows of the verification of all copies; that of orders is stale."""
-    engine = _engine_of_tables(spark, sf)
+    engine = _engine_of_tables(spark, sf, lambda r: r.src)
     r = fx.replication(spark, sf)
     for mapping in TABLES[:-1]:
         ends = engine.locate(mapping)
@@ -471,7 +517,7 @@ def verify_whole(spark, sf):
 def run_logs(spark, sf):
     """Log rows of a full sync, the change sync after it and a verification."""
     r, target = fx.replication(spark, sf), _target(spark)
-    engine = _engine(spark, r, target)
+    engine = _engine(spark, r, target, lambda: r.orders)
     _checked([*engine.sync_mapping(ORDERS), engine.verify(ORDERS)])
     return engine.store.logs().select("flow_id", "mapping_id", "log_type", "status", "records_count")
 
@@ -487,12 +533,10 @@ def run_state(spark, sf):
 
 @query
 def target_passes(spark, sf):
-    """The feed in three windows, applied in the three ways a pass can take: pending rows, fold, fold by shuffle."""
+    """The feed in three windows that overlap, one pass each."""
     r, target = fx.replication(spark, sf), _target(spark)
     target.overwrite(r.dst)
-    windows = [ch.lsn_window(r.chg, None, r.from_lsn, SHORT), _later(r), r.chg]
-    for window, limits in zip(windows, ((1 << 26, 1 << 62), (1 << 26, -1), (0, 0)), strict=True):
-        target.broadcast_bytes, target.pending_rows = limits
+    for window in (ch.lsn_window(r.chg, None, r.from_lsn, SHORT), _later(r), r.chg):
         keys, stats = stage_keys(window, KEY, fresh_folder(spark, "keys"))
         target.replace_by_keys(r.src, keys, stats=stats)
     return target.read()
