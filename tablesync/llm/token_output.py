@@ -24,6 +24,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,56 +35,151 @@ LIMIT = 20
 #: Ids after which a block ends with the current document, and ids between two checkpoints.
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 256
-#: Distinct pieces of text whose ids a Python worker remembers.
-MEMORY = 800_000
+#: Blocks that a task decodes together.
+BLOCKS = 8
+#: Bytes of remembered pieces of text and their ids in a Python worker, and of the text that is split at once.
+MEMORY = 192 << 20
+CHUNK = 8 << 20
+#: A remembered piece costs about this much besides its own bytes; longer pieces than LONGEST are not remembered.
+PIECE_COST, LONGEST = 160, 256
+
+# How byte-level BPE splits a text before merging, for texts of the characters in PLAIN only. Runs of letters, of
+# digits and of other characters, each with one blank before it; runs of white space; and these endings after an apostrophe.
+SPACES, LETTERS, DIGITS = "\t\n\r ", "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9"
+PLAIN = "\t\n\r -~¡-±´-¸º»¿-ÿ"
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+SPACE, LETTER, DIGIT, OTHER, END, ODD = range(6)
+
+
+def _classes() -> np.ndarray:
+    """Class of every Latin-1 character; 0 ends a text."""
+    out = np.full(256, ODD, np.uint8)
+    for kind, chars in ((OTHER, PLAIN), (SPACE, SPACES), (LETTER, LETTERS), (DIGIT, DIGITS)):
+        pattern = re.compile(f"[{chars}]")
+        out[[i for i in range(256) if pattern.match(chr(i))]] = kind
+    out[0] = END
+    return out
+
 
-# How byte-level BPE splits a text before merging, for texts of the characters in PLAIN only.
-PIECE = re.compile(
-    r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+"
-)
-PLAIN = re.compile(r"[\t\n\r -~¡-±´-¸º»¿-ÿ]*")
+CLASSES = _classes()
+
+
+def piece_starts(data: np.ndarray) -> np.ndarray:
+    """Where pieces begin in Latin-1 texts, each followed by a 0, which is a piece of its own."""
+    kind = CLASSES[data]
+    starts = np.empty(len(data), bool)
+    starts[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=starts[1:])
+    ends = kind == END
+    starts |= ends
+    # The last character of white space before a word: a blank goes with the word, another one stands by itself.
+    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~ends[1:])
+    starts[last] = True
+    starts[last[data[last] == 32] + 1] = False
+    # An apostrophe that begins a run and is followed by one of the endings.
+    quotes = np.flatnonzero((data == 39) & starts)
+    for ending in ENDINGS:
+        hit = quotes[quotes + len(ending) < len(data)]
+        for i, char in enumerate(ending, 1):
+            hit = hit[data[hit + i] == ord(char)]
+        starts[hit + 1] = False
+        after = hit + len(ending) + 1
+        starts[after[after < len(data)]] = True
+    return np.flatnonzero(starts)
 
 
 class Encoder:
     """Ids of texts by the tokenizers library, as little-endian numbers of 2 bytes if the vocabulary permits, else of 4.
 
-    The tokenizer treats the pieces between its own split points separately, so their ids are remembered and a
-    word is looked up once. Texts with other characters than PLAIN, or with an added token, are encoded as a whole.
+    The tokenizer treats the pieces between its own split points separately. The texts of a chunk are split by array
+    operations, equal pieces are put together, and each distinct one is looked up or tokenized once; what was tokenized is
+    remembered up to a bound in bytes. Texts with other characters than PLAIN, or with an added token, are encoded as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.end = np.array([end_id], self.dtype).tobytes()
+        self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         kind = {2: "H", 4: "I"}[self.dtype.itemsize]
         return [struct.pack(f"<{len(ids)}{kind}", *ids) for ids in (e.ids for e in found)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = [not PLAIN.fullmatch(t) or any(a in t for a in self.added) for t in texts]
-        parts = [[t] if w else PIECE.findall(t) for t, w in zip(texts, whole, strict=True)]
-        ids_of_whole = iter(self._encode([t for t, w in zip(texts, whole, strict=True) if w]))
-        if len(self.known) > MEMORY:  # words met early are the frequent ones
-            self.known = dict(islice(self.known.items(), MEMORY // 2))
-        new = list(set().union(*(p for p, w in zip(parts, whole, strict=True) if not w)).difference(self.known))
-        self.known.update(zip(new, self._encode(new), strict=True))
-        return [next(ids_of_whole) if w else b"".join(map(self.known.__getitem__, p)) for p, w in zip(parts, whole, strict=True)]
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+    def _ids_of_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        values = list(map(self.known.get, pieces))
+        missing = [i for i, v in enumerate(values) if v is None]
+        if missing:
+            if self.held > MEMORY:  # words met early are the frequent ones
+                self.known = dict(islice(self.known.items(), len(self.known) // 2))
+                self.held = sum(len(k) + len(v) + PIECE_COST for k, v in self.known.items())
+            for i, ids in zip(missing, self._encode([pieces[i].decode("latin-1") for i in missing]), strict=True):
+                values[i] = ids
+                if len(pieces[i]) <= LONGEST:
+                    self.known[pieces[i]] = ids
+                    self.held += len(pieces[i]) + len(ids) + PIECE_COST
+        return values
+
+    def _plain(self, text: str) -> bytes | None:
+        try:
+            data = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        kinds = CLASSES[np.frombuffer(data, np.uint8)]
+        return None if (kinds >= END).any() or any(a in text for a in self.added) else data
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts one after the other, each text with the end id, and the number of ids of every text."""
+        plain = [self._plain(t) for t in texts]
+        found = self._split(b"\0".join([p for p in plain if p is not None]) + b"\0") if any(p is not None for p in plain) else None
+        if all(p is not None for p in plain):
+            return found or (np.empty(0, self.dtype), np.empty(0, np.int64))
+        whole = iter(self._encode([t for t, p in zip(texts, plain, strict=True) if p is None]))
+        ends = np.cumsum(found[1]) if found else None
+        rows, at = [], 0
+        for p in plain:
+            if p is None:
+                rows.append(np.frombuffer(next(whole) + self.end, self.dtype))
+            else:
+                rows.append(found[0][ends[at] - found[1][at] : ends[at]])
+                at += 1
+        return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+
+    def _split(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        view = np.frombuffer(data, np.uint8)
+        starts = piece_starts(view)
+        offsets = np.append(starts, len(data)).astype(np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+        ).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        end = distinct.index(b"\0")
+        words = distinct[:end] + distinct[end + 1 :]
+        values = self._ids_of_pieces(words)
+        values.insert(end, self.end)
+        # Every piece gives way to its ids; the bytes of all of them lie one after the other.
+        ids = pa.array(values, pa.large_binary()).take(pieces.indices)
+        _, ends, flat = ids.buffers()
+        of_texts = np.flatnonzero(pieces.indices.to_numpy() == end)
+        ends = np.frombuffer(ends, np.int64)[of_texts + 1] // self.dtype.itemsize
+        return np.frombuffer(flat, self.dtype), np.diff(ends, prepend=0)
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
     """One encoder for each Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 def ids_of(row: bytes, n: int) -> np.ndarray:
@@ -92,51 +188,66 @@ def ids_of(row: bytes, n: int) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: str) -> DataFrame:
-    """Staged rows (part, doc_id, before, n, ids): parts are ranges of the id, in order, each sorted.
+    """Staged rows (part, doc_id, before, n, ids, counts): parts are ranges of the id, in order, each sorted.
 
-    ``before`` is how many ids the part has before the row.
+    ``before`` is how many ids the part has before the row. A part's last row has no ids but how often each id occurs in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, before = encoder(tokenizer), 0
-        end = np.array([end_id], encode.dtype).tobytes()
+        encode, before, counts, kind, part = encoder(tokenizer, end_id), 0, np.zeros(0, np.int64), None, None
+        names = ["part", "doc_id", "before", "n", "ids", "counts"]
         for batch in batches:
-            for at in range(0, len(batch), 256):  # bounded text at a time
-                some = batch.slice(at, 256)
-                ids = [x + end for x in encode(some["text"].to_pylist())]
-                n = np.array([len(x) // encode.dtype.itemsize for x in ids], np.int64)
-                ends = before + np.cumsum(n)
+            kind = batch.schema.field("doc_id").type
+            for some in of_size(batch, CHUNK):
+                part = some["part"][0].as_py()
+                ids, n = encode(some["text"].to_pylist())
+                seen = np.bincount(ids, minlength=len(counts))
+                seen[: len(counts)] += counts
+                counts, ends = seen, np.cumsum(n)
+                offsets = np.append(0, ends * encode.dtype.itemsize).astype(np.int64)
+                rows = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))]
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [some["part"], some["doc_id"], pa.array(ends - n), pa.array(n), pa.array(ids, pa.binary())],
-                    ["part", "doc_id", "before", "n", "ids"],
+                    [some["part"], some["doc_id"], pa.array(before + ends - n), pa.array(n), rows.cast(pa.binary()), pa.nulls(len(n), pa.binary())],
+                    names,
                 )
-                before = int(ends[-1])
+                before += int(ends[-1])
+        if part is not None:
+            found = np.flatnonzero(counts).astype("<i8")
+            packed = found.tobytes() + counts[found].astype("<i8").tobytes()
+            last = [pa.array([part], pa.int32()), pa.nulls(1, kind), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*last, pa.array([packed], pa.binary())], names)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.mapInArrow(run, f"part int, doc_id {kind}, before long, n long, ids binary")
+    rows = rows.mapInArrow(run, f"part int, doc_id {kind}, before long, n long, ids binary, counts binary")
     path = fresh_folder(docs.sparkSession, "token-ids")
     rows.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def of_size(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of text; a longer text is a slice of its own."""
+    lengths = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    which = (np.cumsum(lengths) - lengths) // size
+    first = np.flatnonzero(np.diff(which, prepend=-1))
+    for lo, hi in zip(first, [*first[1:], len(batch)], strict=True):
+        yield batch.slice(lo, hi - lo)
+
+
 def id_counts(staged: DataFrame) -> dict[int, int]:
     """How often each id occurs in the corpus: at most one number for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, n in zip(batch["ids"].to_pylist(), batch["n"].to_pylist(), strict=True):
-                seen = np.bincount(ids_of(ids, n))
-                if len(seen) > len(total):
-                    total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
-                total[: len(seen)] += seen
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
-
-    rows = staged.select("ids", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            for packed in batch["counts"].to_pylist():
+                pairs = np.frombuffer(packed, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["id", "n"])
+
+    rows = staged.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r["id"]: r["n"] for r in rows.collect()}
 
 
@@ -179,13 +290,13 @@ class Code:
         spans = np.left_shift(1, self.limit - self.lengths)
         self.codes = (np.cumsum(spans) - spans) >> (self.limit - self.lengths)
         self.spans = spans
+        size = int(self.ids.max(initial=0)) + 1
+        self.code_of, self.length_of = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.code_of[self.ids], self.length_of[self.ids] = self.codes, self.lengths
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bits of all codes, and the bit offset of every CHECKPOINT-th id."""
-        place = np.zeros(int(self.ids.max()) + 1, np.int64)
-        place[self.ids] = np.arange(len(self.ids))
-        at = place[ids]
-        n, codes = self.lengths[at], self.codes[at]
+        n, codes = self.length_of[ids], self.code_of[ids]
         ends = np.cumsum(n)
         starts = ends - n
         bits = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
@@ -198,27 +309,44 @@ class Code:
         bits[word[over] + 1] += codes[over].astype(np.uint64) << (64 + free[over]).astype(np.uint64)
         return bits.astype(">u8").tobytes()[: (int(ends[-1]) + 7) >> 3], starts[::CHECKPOINT]
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Id and code length for every value of the next ``limit`` bits."""
-        return np.repeat(self.ids.astype(np.uint32), self.spans), np.repeat(self.lengths.astype(np.uint8), self.spans)
-
-    def decode(self, payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """All ``n`` ids of a block, one id of every checkpoint's stretch at a time."""
-        ids, lengths = table
-        data = np.frombuffer(payload + bytes(8), np.uint8)
-        at = np.asarray(checkpoints, np.int64)
+    def table(self) -> np.ndarray:
+        """Id and code length (the last five bits) for every value of the next ``limit`` bits."""
+        return np.repeat(self.ids.astype(np.uint64) << np.uint64(5) | self.lengths.astype(np.uint64), self.spans)
+
+    def decode(self, payload: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
+        """The ``n`` ids of a block, or of its stretches from a checkpoint on."""
+        return self.decode_blocks([(payload, checkpoints, n)], table)[0]
+
+    def decode_blocks(self, blocks: list[tuple[bytes, np.ndarray, int]], table: np.ndarray) -> list[np.ndarray]:
+        """All ids of some blocks (payload, checkpoints, number of ids), one id of every checkpoint's stretch at a time."""
+        data = np.frombuffer(b"".join(payload + bytes(8) for payload, *_ in blocks), np.uint8)
+        # The five bytes at every place: they hold any code of up to 33 bits, wherever in the first byte it begins.
+        window = np.zeros(len(data), np.uint64)
+        for i in range(5):
+            window[: len(data) - i] |= data[i:].astype(np.uint64) << np.uint64(32 - 8 * i)
+        base = np.cumsum([0, *(8 * (len(payload) + 8) for payload, *_ in blocks[:-1])])
+        at = np.concatenate([np.asarray(marks, np.int64) + b for (_, marks, _), b in zip(blocks, base, strict=True)]).astype(np.uint64)
+        left = np.concatenate([np.minimum(n - CHECKPOINT * np.arange(len(marks)), CHECKPOINT) for _, marks, n in blocks])
+        order = np.argsort(-left, kind="stable")  # shorter stretches last
+        at, alive = at[order], np.searchsorted(-left[order], -np.arange(CHECKPOINT), side="left")
         out = np.zeros((CHECKPOINT, len(at)), np.uint32)
-        last = n - (len(at) - 1) * CHECKPOINT  # ids of the last stretch
-        for row in range(min(CHECKPOINT, n)):
-            if row == last:
-                at = at[:-1]
-            byte, window = at >> 3, np.zeros(len(at), np.int64)
-            for i in range(5):  # hold any code of up to 33 bits, wherever in the first byte it begins
-                window = (window << 8) | data[byte + i]
-            value = (window >> (40 - self.limit - (at & 7))) & ((1 << self.limit) - 1)
-            out[row, : len(at)] = ids[value]
-            at = at + lengths[value]
-        return out.T.reshape(-1)[:n]
+        shift, mask = np.uint64(40 - self.limit), np.uint64((1 << self.limit) - 1)
+        for row in range(CHECKPOINT):
+            m = alive[row]
+            if not m:
+                break
+            here = at[:m]
+            value = (window[here >> np.uint64(3)] >> (shift - (here & np.uint64(7)))) & mask
+            entry = table[value]
+            out[row, :m] = entry >> np.uint64(5)
+            at[:m] += entry & np.uint64(31)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        by_stretch, ids, first = out.T, [], 0
+        for _, marks, n in blocks:
+            ids.append(by_stretch[back[first : first + len(marks)]].reshape(-1)[:n])
+            first += len(marks)
+        return ids
 
 
 CODEBOOK = "ids array<int>, lengths array<int>, end_id int"
@@ -232,6 +360,7 @@ def write_ids(
     spark = docs.sparkSession
     staged = tokenized(docs, tokenizer, end_id, doc_id, text)
     counts = sorted(id_counts(staged).items())
+    staged = staged.where("counts IS NULL").drop("counts")
     ids = np.array([i for i, _ in counts], np.int64)
     lengths = code_lengths(np.array([n for _, n in counts], np.int64), limit)
     book = [(ids.tolist(), lengths.tolist(), end_id)]
@@ -285,17 +414,21 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         code = Code(*spread.value)
         table = code.table()
         for batch in batches:
-            for row in range(len(batch)):
-                one = batch.slice(row, 1)
-                payload, marks, n, start = (one[c][0] for c in ("payload", "checkpoints", "n_ids", "start"))
-                ids = code.decode(payload.as_py(), marks.values.to_numpy(), n.as_py(), table)
-                sizes = one["sizes"][0].values.to_numpy()
-                ends = np.cumsum(sizes)
-                cut = [ids[e - s : e].astype("<u4").tobytes() for s, e in zip(sizes, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [one["doc_ids"][0].values, pa.array(start.as_py() + ends - sizes), pa.array(sizes), pa.array(cut, pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids"],
-                )
+            for lo in range(0, len(batch), BLOCKS):
+                some = batch.slice(lo, BLOCKS)
+                marks = [m.values.to_numpy() for m in some["checkpoints"]]
+                decoded = code.decode_blocks(list(zip(some["payload"].to_pylist(), marks, some["n_ids"].to_pylist(), strict=True)), table)
+                for row, ids in enumerate(decoded):
+                    sizes, start = some["sizes"][row].values.to_numpy(), some["start"][row].as_py()
+                    ends = np.cumsum(sizes)
+                    offsets = np.append(0, 4 * ends).astype(np.int64)
+                    cut = pa.LargeBinaryArray.from_buffers(
+                        pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))]
+                    )
+                    yield pa.RecordBatch.from_arrays(
+                        [some["doc_ids"][row].values, pa.array(start + ends - sizes), pa.array(sizes), cut.cast(pa.binary())],
+                        ["doc_id", "start", "n_tokens", "ids"],
+                    )
 
     return blocks.select("doc_ids", "sizes", "payload", "checkpoints", "n_ids", "start").mapInArrow(
         run, f"doc_id {kind}, start long, n_tokens long, ids binary"

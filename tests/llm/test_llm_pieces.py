@@ -1,0 +1,55 @@
+"""Splitting texts into pieces by array operations, against a pattern and against the tokenizer."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+import public_tokenizers
+from tablesync.llm import token_output
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
+
+
+def odd_text(rng, n):
+    return "".join(rng.choice("ab sS'tdmrevl 12\n\t\r .,!'\"éÀ°-  ") for _ in range(rng.randint(0, n)))
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_pieces_are_those_of_the_pattern(seed):
+    rng = random.Random(seed)
+    texts = [odd_text(rng, 30) for _ in range(300)]
+    data = b"\0".join(t.encode("latin-1") for t in texts) + b"\0"
+    starts = token_output.piece_starts(np.frombuffer(data, np.uint8)).tolist()
+    found = [data[a:b].decode("latin-1") for a, b in zip(starts, [*starts[1:], len(data)])]
+    assert found == [p for t in texts for p in [*PIECE.findall(t), "\0"]]
+
+
+def test_ids_are_those_of_the_tokenizer():
+    rng, tokenizer = random.Random(5), Tokenizer.from_file(BPE)
+    texts = [odd_text(rng, 200) for _ in range(200)] + ["", "é日本 x", "a <|endoftext|> b", "x" * 5000, "\0", " \x7f²"]
+    ids, sizes = token_output.Encoder(BPE, 2)(texts)
+    ends = np.cumsum(sizes)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert token_output.Encoder(BPE, 2)(["日本"])[1].tolist() == [len(tokenizer.encode("日本", add_special_tokens=False).ids) + 1]
+
+
+def test_the_memory_of_pieces_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(token_output, "MEMORY", 20_000)
+    encoder = token_output.Encoder(BPE, 2)
+    for i in range(30):
+        encoder([" ".join(f"w{i}x{j}" for j in range(100)), "long" * 1000])
+        assert encoder.held < 20_000 + 101 * 2 * 200
+        assert all(len(k) <= token_output.LONGEST for k in encoder.known)
+
+
+def test_blocks_decoded_together():
+    rng = np.random.default_rng(1)
+    parts = [(rng.zipf(1.3, n) % 60_000).astype("<u4") for n in (1, 256, 3000, 257, 255, 5000)]
+    found, counts = np.unique(np.concatenate(parts), return_counts=True)
+    code = token_output.Code(found.astype(np.int64), token_output.code_lengths(counts))
+    blocks = [(*code.encode(ids), len(ids)) for ids in parts]
+    assert all((a == b).all() for a, b in zip(code.decode_blocks(blocks, code.table()), parts, strict=True))
