@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os.path
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,3 +142,49 @@ def bounded_position(
     window = lsn_window(feed, from_lsn, names=names)
     nxt = window.select(lsn_text(window, names).alias("p")).distinct().orderBy("p").limit(positions)
     return nxt.agg(F.max("p").alias("to_lsn"))
+
+
+#: Hex digits of a position that one step of :func:`bounded_changes` tells apart: at most 4096 groups.
+STEP_DIGITS = 3
+
+
+def bounded_changes(
+    feed: DataFrame, from_lsn: Position | None, changes: int, names: FeedNames = DEFAULT_FEED, digits: int = STEP_DIGITS
+) -> str | None:
+    """The last position up to which a pass that starts after ``from_lsn`` holds at most ``changes`` changes.
+
+    The first position alone where it has more; None where nothing follows. Nothing is lost: the changes beyond belong to the next
+    pass.
+
+    The cut is found by descending the digits of the positions: changes are counted by the next digits (a bounded number of
+    groups, added up before the shuffle), a running sum finds the group in which the bound is crossed, and the next step
+    looks into that group only. So neither positions nor changes are sorted, and a position with a third of all changes
+    is one counter. A step reads the position column alone; a feed in hex text gets the prefix as a filter of its scan.
+    """
+    if changes < 1:
+        raise ValueError("a pass needs room for at least one change")
+    window = lsn_window(feed, from_lsn, names=names)
+    position = lsn_text(window, names)
+    ends = window.agg(F.min(position), F.max(position)).head()
+    if ends[0] is None:
+        return None
+    prefix = os.path.commonprefix(ends)
+    room, included = changes, None
+    while True:
+        some = window.where(position.startswith(prefix)) if prefix else window
+        group = F.substring(position, len(prefix) + 1, digits)
+        counts = some.groupBy(group.alias("digits")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(position).alias("first"), F.max(position).alias("last")
+        )
+        # One window over a bounded number of groups.
+        running = counts.withColumn("sum", F.sum("n").over(Window.orderBy("digits")))
+        beyond = F.col("sum") > room
+        crossing = F.min_by(F.struct("digits", "first", "last", (F.col("sum") - F.col("n")).alias("before")), F.when(beyond, F.col("digits")))
+        found = running.agg(F.max(F.when(~beyond, F.col("last"))).alias("fits"), crossing.alias("crossing")).head()
+        included = found["fits"] or included
+        if found["crossing"] is None:
+            return included
+        at = found["crossing"]
+        if at["first"] == at["last"]:
+            return included or at["last"]
+        prefix, room = prefix + at["digits"], room - at["before"]

@@ -46,15 +46,16 @@ from tablesync.model import (
     Mapping,
     key_list,
 )
-from tablesync.operators.changes import bounded_position, lsn_bounds, lsn_text, lsn_window
+from tablesync.operators.changes import bounded_changes, bounded_position, lsn_bounds, lsn_text, lsn_window
 from tablesync.operators.control import MESSAGE_HEAD, enabled_mappings, verifiable_mappings, with_states
 from tablesync.operators.ledger import same_columns, verify_ledger
 from tablesync.operators.reconcile import verify_sets
 from tablesync.operators.verify import SAMPLE_KEYS, mismatch_sample, tail_summary, verify_full, verify_tail_rows
+from tablesync.plans.chunks import Chunks, copy_chunk
 from tablesync.sinks.control_store import ControlStore, utc_now
 from tablesync.sinks.files import stage, stage_keys
 from tablesync.sinks.jdbc import JdbcTarget
-from tablesync.sinks.snapshot import SnapshotTarget
+from tablesync.sinks.snapshot import SnapshotTarget, Staged
 from tablesync.sources.folders import scratch
 from tablesync.sources.tables import read_remote_by_keys
 
@@ -83,8 +84,12 @@ class Options:
     # parity: the changes at the very first position are skipped on a bootstrap without full sync; all: they are read
     bootstrap: str = "all"
     max_positions: int | None = None
+    # a pass holds at most so many changes, unless one position alone has more
+    max_changes: int | None = None
     feed_names: FeedNames = DEFAULT_FEED
     float_scale: int | None = None
+    # Snapshot targets: copy in so many chunks beside the change feed; a full sync that failed goes on at the next chunk
+    chunks: int | None = None
     # Whole-table verification by set reconciliation (sets) or by bucket checksums (buckets)
     whole_verification: str = "sets"
     # JDBC targets: load the table itself in a full sync; half the writing, but readers see it fill up
@@ -140,8 +145,22 @@ class SyncEngine:
                 say(WARNING, "No change feed found")
             else:
                 frozen = lsn_bounds(feed, names).head()["max_lsn"] or ZERO_LSN
-        source = self._source(mapping, ends, say)
-        target = ends.target
+        target, rows = ends.target, self._exported(mapping, ends, say)
+        if self.options.chunks and isinstance(target, SnapshotTarget):
+            staged, frozen = self._in_chunks(mapping, ends, rows, frozen, served, say)
+            arrived = sum(part["rows"] for part in self.store.state(mapping.mapping_id)["snapshot"]["parts"])
+            return self._published(mapping, target, staged, arrived, frozen, served, say)
+        if self.options.in_place and isinstance(target, JdbcTarget):
+            exported, arrived = target.truncate_and_load(rows), target.read().count()
+            if exported != arrived:
+                say(WARNING, f"Row count mismatch, exported {exported}, imported {arrived}")
+            return self._published(mapping, target, None, arrived, frozen, served, say)
+        staged = target.stage_overwrite(rows)
+        return self._published(mapping, target, staged, target.staged_rows(staged), frozen, served, say)
+
+    def _exported(self, mapping: Mapping, ends: Endpoints, say) -> DataFrame:
+        """The rows of the source as the target takes them, after the schema check."""
+        source, target = self._source(mapping, ends, say), ends.target
         old = target.read() if target.exists() else None
         failed = [c for c in schema_checks(source, old, mapping.key) if not c.ok]
         if failed:
@@ -152,19 +171,52 @@ class SyncEngine:
         if old is not None:
             filled = generated_names(numbered, IDENTITY) - {c.lower() for c in rows.columns} if numbered is not None else set()
             rows = cast_like(rows, T.StructType([f for f in old.schema.fields if f.name.lower() not in filled]))
-        in_place = self.options.in_place and isinstance(target, JdbcTarget)
-        if in_place:
-            exported, arrived = target.truncate_and_load(rows), target.read().count()
-        else:
-            staged = target.stage_overwrite(rows)
-            exported, arrived = staged.fresh, target.staged_rows(staged)
+        return rows
+
+    def _in_chunks(self, mapping: Mapping, ends: Endpoints, rows: DataFrame, frozen: str | None, served: str | None, say):
+        """Copy the source chunk by chunk; returns the staged version and the position to go on from.
+
+        What is done is noted in the state after every chunk. A run that finds notes of an unfinished one goes on where
+        it ended if the change feed still reaches back to its start; without a feed it begins anew.
+        """
+        target, names = ends.target, self.options.feed_names
+        made_for = {"request": served, "schema": rows.schema.jsonValue(), "buckets": target.buckets, "wanted": self.options.chunks}
+        notes = self.store.state(mapping.mapping_id).get("snapshot") or {}
+        if not (notes and frozen and notes["made_for"] == made_for and self._reaches(ends, notes["frozen"]) and target.has_parts(notes["parts"])):
+            chunks = Chunks.cut(rows, mapping.key, self.options.chunks)
+            notes = {"made_for": made_for, "frozen": frozen, "n": chunks.n, "bounds": chunks.bounds, "parts": []}
+            self.store.update(mapping.mapping_id, snapshot=notes)
+        elif notes["parts"]:
+            say(INFO, f"Full sync goes on with chunk {len(notes['parts']) + 1} of {notes['n']}")
+        chunks = Chunks(notes["n"], None if notes["bounds"] is None else tuple(notes["bounds"]))
+        watermark = None
+        if frozen:
+            watermark = lambda: lsn_bounds(ends.feed(), names).head()["max_lsn"]
+        while len(notes["parts"]) < chunks.n:
+            number = len(notes["parts"])
+            part = copy_chunk(target, rows, mapping.key, chunks, number, watermark, ends.feed, names)
+            notes = {**notes, "parts": [*notes["parts"], part]}
+            self.store.update(mapping.mapping_id, snapshot=notes)
+            if number + 1 < chunks.n:
+                rows = self._exported(mapping, ends, say)
+        return target.stage_parts(rows.schema, notes["parts"]), notes["frozen"]
+
+    def _reaches(self, ends: Endpoints, position: str) -> bool:
+        """Whether the feed still holds everything after a position."""
+        feed = ends.feed()
+        first = lsn_bounds(feed, self.options.feed_names).head()["min_lsn"] if feed is not None else None
+        return position == ZERO_LSN or first is None or first <= position
+
+    def _published(self, mapping: Mapping, target, staged: Staged | None, arrived: int, frozen, served, say) -> RunResult:
+        """Check the counts, publish the staged version (None: loaded in place) and store position and flags."""
+        exported = staged.fresh if staged else arrived
         if exported > 0 and arrived != exported:
             say(WARNING, f"Row count mismatch, exported {exported}, imported {arrived}")
-        if not in_place:
+        if staged:
             target.publish(staged)
         now, still = utc_now(), None if self._request(mapping) != served else False
         self.store.update(
-            mapping.mapping_id, is_full_sync=still, last_cdc_lsn=frozen, last_full_sync_at=now, last_connected_at=now
+            mapping.mapping_id, is_full_sync=still, last_cdc_lsn=frozen, last_full_sync_at=now, last_connected_at=now, snapshot={}
         )
         return self._done(mapping, FULL_SYNC, f"Full sync completed, {arrived} records transferred", records=arrived)
 
@@ -193,6 +245,9 @@ class SyncEngine:
         end = None
         if self.options.max_positions:
             end = bounded_position(feed, start, self.options.max_positions, names).head()["to_lsn"]
+        if self.options.max_changes:
+            # Within the positions allowed; None where there are none.
+            end = bounded_changes(lsn_window(feed, start, end, names), None, self.options.max_changes, names) or end
         window = lsn_window(feed, start, end, names)
         found = window.agg(F.max(lsn_text(window, names)).alias("end"), F.count(F.lit(1)).alias("n")).head()
         end = found["end"]

@@ -254,6 +254,49 @@ class SnapshotTarget:
             self._write_ledger(document, [bucket_sums(self._base(document, filled), self.key, self.ledger_rules)])
         return Staged(number, f"{self.root}/data/{folder}", document, 0, seen["fresh"])
 
+    # ---- a snapshot in parts -------------------------------------------------------------------------------------
+
+    def stage_part(self, df: DataFrame) -> dict[str, Any]:
+        """Write some rows of a snapshot that is built in parts; what it returns is kept until :meth:`stage_parts`."""
+        folder, filled, seen = self._write_base([(df, True, True)], self.buckets)
+        return {"folder": folder, "buckets": filled, "exported": seen["fresh"], "rows": self._part_rows(folder, filled)}
+
+    def _part_rows(self, folder: str, filled: list[int]) -> int:
+        return self.spark.read.parquet(f"{self.root}/data/{folder}").count() if filled else 0
+
+    def stage_dropped(self, keys: DataFrame) -> str | None:
+        """Write keys that the parts must not show; returns their folder, None if there are none."""
+        folder = f"d{uuid.uuid4().hex}"
+        _, stats = write_keys(keys.hint("rebalance"), self.key, f"{self.root}/pending/{folder}/keys")
+        return folder if stats.keys else None
+
+    def has_parts(self, parts: list[dict[str, Any]]) -> bool:
+        """Whether all files of some parts are still there (``vacuum`` takes parts that no version names)."""
+        return all(
+            (not p["buckets"] or Folder(self.spark, f"{self.root}/data/{p['folder']}").has_data())
+            and (not p.get("dropped") or Folder(self.spark, f"{self.root}/pending/{p['dropped']}").has_data())
+            for p in parts
+        )
+
+    def stage_parts(self, schema: T.StructType, parts: list[dict[str, Any]]) -> Staged:
+        """A full snapshot made of parts, without publishing it. Dropped keys become pending keys without rows."""
+        data: dict[str, list[str]] = {}
+        for part in parts:
+            for b in part["buckets"]:
+                data.setdefault(str(b), []).append(part["folder"])
+        document = {
+            "schema": schema.jsonValue(), "key": self.key, "buckets": self.buckets, "data": data, "pending": None, "folds": 0,
+            "properties": {},
+        }
+        dropped = [f"{self.root}/pending/{p['dropped']}/keys" for p in parts if p.get("dropped")]
+        if dropped:
+            keys = self._load(T.StructType([schema[k] for k in self._key_names(schema)]), dropped).distinct()
+            nothing = self.spark.createDataFrame([], schema)
+            _, document["pending"], _ = self._write_pending(keys, nothing, nothing)
+        if self.ledger_rules:
+            self._write_ledger(document, [bucket_sums(self._table(document, range(self.buckets)), self.key, self.ledger_rules)])
+        return Staged(self._next(), None, document, 0, sum(p["exported"] for p in parts))
+
     def stage_replace(
         self,
         source: DataFrame,

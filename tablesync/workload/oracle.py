@@ -296,6 +296,21 @@ ORACLE: dict[str, str] = {
         where s.o_orderkey is null or d.o_orderkey is null or s.o_totalprice <> d.o_totalprice) group by part_of)"""),
     "staged_roundtrip": _rep("select * from src where o_orderkey in (select o_orderkey from kh)"),
     "full_sync": "select * from orders",
+    # Greedy passes by recursion over positions with running numbers of changes.
+    "passes_of_changes": "with recursive " + _rep("""select pass, to_lsn, cast(changes as bigint) as changes from passes
+        where pass >= 0""", """
+      counted as (select start_lsn, count(*) as n from chg group by 1),
+      running as (select start_lsn, sum(n) over (order by start_lsn) as upto from counted),
+      room as (select greatest(1, (count(*) + 7) // 8) as size from chg),
+      passes as (
+        select -1 as pass, '' as to_lsn, 0 as changes, 0 as upto
+        union all
+        select p.pass + 1, last.start_lsn, last.upto - p.upto, last.upto
+        from passes p, room, lateral (select start_lsn, upto from running where start_lsn > p.to_lsn
+          and (upto - p.upto <= size or start_lsn = (select min(start_lsn) from running where start_lsn > p.to_lsn))
+          order by start_lsn desc limit 1) last)""")[len("with "):],
+    "copy_by_passes_of_changes": _rep(REPLACED.format(k="k")),
+    "full_sync_chunked": _rep("select * from src"),
     "cdc_sync": _rep(REPLACED.format(k="kh")),
     "run_logs": _rep("""select 1 as flow_id, 1 as mapping_id, 'FULL_SYNC' as log_type, 'INFO' as status,
       cast(null as bigint) as records_count

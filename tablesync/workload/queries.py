@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -429,6 +429,63 @@ def full_sync(spark, sf):
     return target.read()
 
 
+@query
+def passes_of_changes(spark, sf):
+    """Where passes of at most an eighth of the changes end, and how many changes each holds."""
+    r = fx.replication(spark, sf)
+    feed = stage(r.chg, fresh_folder(spark, "feed"))
+    size, passes, start = max(1, -(-feed.count() // 8)), [], None
+    while (end := ch.bounded_changes(feed, start, size, SHORT)) is not None:
+        window = ch.lsn_window(feed, start, end, SHORT)
+        passes.append(window.select(F.lit(len(passes)).alias("pass")).groupBy("pass").agg(
+            F.lit(end).alias("to_lsn"), F.count(F.lit(1)).alias("changes")
+        ))
+        start = end
+    return reduce(DataFrame.unionByName, passes)
+
+
+@query
+def copy_by_passes_of_changes(spark, sf):
+    """The copy after the whole feed in passes of at most a third of its changes."""
+    r, target = fx.replication(spark, sf), _target(spark)
+    target.overwrite(r.dst)
+    engine = _engine(spark, r, target, max_changes=max(1, -(-r.chg.count() // 3)))
+    while (result := engine.cdc_sync(ORDERS)).changes:
+        _checked([result])
+    _checked([result])
+    return target.read()
+
+
+class Moving:
+    """Source and feed that change while a copy in chunks is under way: at the high watermark of the second chunk.
+
+    Until then the source is the stale copy and the feed is empty. The position frozen at the start and the low watermarks of two
+    chunks with one high watermark in between are the first four reads of the feed.
+    """
+
+    def __init__(self, r: fx.Replication):
+        self.r, self.reads = r, 0
+
+    def source(self) -> DataFrame:
+        return self.r.src if self.reads >= 5 else self.r.dst
+
+    def feed(self) -> DataFrame:
+        self.reads += 1
+        return self.r.chg if self.reads >= 5 else self.r.chg.limit(0)
+
+
+@query
+def full_sync_chunked(spark, sf):
+    """A full sync in four chunks beside a source that changes during the second, and the change sync after it."""
+    r, target = fx.replication(spark, sf), _target(spark)
+    moving = Moving(r)
+    store = ControlStore(spark, fresh_folder(spark, "control"))
+    ends = Endpoints(moving.source, moving.feed, target)
+    engine = SyncEngine(spark, store, lambda mapping: ends, Options(feed_names=SHORT, chunks=4))
+    _checked(engine.sync_mapping(ORDERS))
+    return target.read()
+
+
 def cdc_from_middle(spark, sf, target=None):
     """Change sync of the stale copy from the middle of the feed."""
     r, target = fx.replication(spark, sf), target or _target(spark)
