@@ -5,7 +5,17 @@ from __future__ import annotations
 from tablesync.llm.common import SPACE, UPPER
 from tablesync.llm.licenses import BETWEEN, COVER, MIN_VOTES, TEMPLATES
 from tablesync.llm.mixing import PERIOD
-from tablesync.llm.secrets import ACCESS, ASSIGN, ASSIGN_CHARS, HEX, KEY, KEY_CHARS
+from tablesync.llm.secrets import (
+    ACCESS,
+    ASSIGN,
+    ASSIGN_CHARS,
+    HEX,
+    KEY,
+    OWNERS_LEAST,
+    OWNERS_SHARE,
+    REPOSITORIES_LEAST,
+    REPOSITORIES_SHARE,
+)
 
 _SPACE = " || ".join(f"chr({ord(c)})" for c in SPACE)
 # RE2 knows no quantifier above 1000; those of the patterns are below. Quotes are doubled for SQL.
@@ -65,11 +75,19 @@ ORACLE: dict[str, str] = {
             SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM matches),
         spans AS (
             SELECT doc_id, source, kind, secret, (stop - length(hit))::BIGINT AS start, stop::BIGINT AS stop FROM placed
-            WHERE CASE kind WHEN 0 THEN length(secret) >= {ASSIGN_CHARS} WHEN 3 THEN length(secret) <= {KEY_CHARS}
-                AND regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[a-z]') AND regexp_matches(secret, '[A-Z]') ELSE true END),
+            WHERE CASE kind WHEN 0 THEN length(secret) >= {ASSIGN_CHARS} WHEN 3 THEN regexp_matches(secret, '[0-9]')
+                AND regexp_matches(secret, '[a-z]') AND regexp_matches(secret, '[A-Z]') ELSE true END),
+        totals AS (
+            SELECT greatest({OWNERS_LEAST}, (count(DISTINCT coalesce('1' || source, '0')) * {OWNERS_SHARE} + 99) // 100) AS of_owners,
+                greatest({REPOSITORIES_LEAST}, (count(DISTINCT t) * {REPOSITORIES_SHARE} + 9999) // 10000) AS of_repositories
+            FROM texts),
         owners AS (
-            SELECT secret, count(DISTINCT coalesce('1' || source, '0')) = 1 AS live FROM spans GROUP BY secret),
-        marked AS (SELECT s.*, live FROM spans s JOIN owners USING (secret)),
+            SELECT secret, count(DISTINCT coalesce('1' || s.source, '0')) AS n_owners, count(DISTINCT t) AS n_repositories
+            FROM spans s JOIN texts USING (doc_id) GROUP BY secret),
+        marked AS (
+            SELECT s.*, n_owners, n_repositories,
+                NOT (n_owners >= of_owners AND n_repositories >= of_owners OR n_repositories >= of_repositories) AS live
+            FROM spans s JOIN owners USING (secret), totals),
         kept AS (
             SELECT * FROM marked WHERE kind < 3
             UNION ALL
@@ -80,11 +98,12 @@ ORACLE: dict[str, str] = {
             SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
                 count(*) FILTER (kind = 2) AS n_hex, string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
                 string_agg(s, ',' ORDER BY start, kind) AS spans, count(*) FILTER (kind < 3 AND live) AS n_live,
-                count(*) FILTER (kind < 3 AND NOT live) AS n_example
+                count(*) FILTER (kind < 3 AND NOT live) AS n_example,
+                max(n_repositories) AS most_repositories, max(n_owners) AS most_owners
             FROM named GROUP BY doc_id)
         SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
             sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
-            coalesce(n_example, 0) AS n_example
+            coalesce(n_example, 0) AS n_example, coalesce(most_repositories, 0) AS most_repositories, coalesce(most_owners, 0) AS most_owners
         FROM texts LEFT JOIN by_doc USING (doc_id)""",
     "op11_licenses": f"""
         WITH texts AS (

@@ -124,18 +124,22 @@ def secret_spans(rows):
                 secret = m[2] if kind == "assign" else m[0]
                 good = {
                     "assign": len(secret) >= 6, "access": len(secret) >= 20, "hex": len(secret) >= 24,
-                    "owned": 24 <= len(secret) <= 128 and all(re.search(c, secret) for c in ("[a-z]", "[A-Z]", "[0-9]")),
+                    "owned": len(secret) >= 24 and all(re.search(c, secret) for c in ("[a-z]", "[A-Z]", "[0-9]")),
                 }[kind]
                 if good:
-                    found.append((row, m.start(), list(PATTERNS).index(kind), m.end(), kind, secret, source))
-    owners = defaultdict(set)
+                    found.append((row, m.start(), list(PATTERNS).index(kind), m.end(), kind, secret, source, t or ""))
+    owners, texts = defaultdict(set), defaultdict(set)
     for f in found:
         owners[f[5]].add(f[6])
+        texts[f[5]].add(f[7])
+    of_owners = max(3, math.ceil(len({s for *_, s in rows}) / 100))
+    of_texts = max(20, math.ceil(len({t or "" for _, t, _ in rows}) / 10_000))
+    live = {s: not (len(owners[s]) >= of_owners <= len(texts[s]) or len(texts[s]) >= of_texts) for s in owners}
     out = {}
     for row in range(len(rows)):
         own = sorted(f for f in found if f[0] == row and f[4] != "owned")
         more = [
-            f for f in found if f[0] == row and f[4] == "owned" and len(owners[f[5]]) == 1
+            f for f in found if f[0] == row and f[4] == "owned" and live[f[5]]
             and not any(b[1] < f[3] and f[1] < b[3] for b in own)
         ]
         name = lambda fs: [f"{f[4]}:{f[1]}:{f[3]}" for f in sorted(fs)]

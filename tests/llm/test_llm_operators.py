@@ -284,11 +284,31 @@ def test_secrets(spark, small):
 
 
 def test_secrets_ownership(spark):
-    text = "password=abcdefgh"
-    rows = [(i, text, "one" if i < 9 else "two") for i in range(10)] + [(20, "token=ijklmnop", None), (21, "token=ijklmnop", None)]
-    found = {r["doc_id"]: r["spans"][0] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert (found[3]["n_repositories"], found[3]["n_owners"], found[3]["live"]) == (10, 2, False)
-    assert (found[20]["n_repositories"], found[20]["n_owners"], found[20]["live"]) == (2, 1, True)
+    key = "Zz9" * 43  # 129 characters
+    texts = {
+        "sample": [(f"copy {i} password=abcdefgh", "one") for i in range(25)],  # many texts of one owner
+        "copied": [(f"see {key} here", f"o{i}") for i in range(30)],  # one text under many owners
+        "own": [("a token=ijklmnop", None), ("b token=ijklmnop", None), ("c token=ijklmnop", "one")],
+        "shared": [(f"{o} Qq7Qq7Qq7Qq7Qq7Qq7Qq7Qq7Qq7", o) for o in ("x", "y", "z")],  # a text in each of three owners
+    }
+    rows, at = [], {}
+    for name, some in texts.items():
+        at[name] = len(rows)
+        rows += [(len(rows) + i, *r) for i, r in enumerate(some)]
+    df = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    found = {r["doc_id"]: r["spans"] for r in df.collect()}
+    facts = {name: [(s["n_repositories"], s["n_owners"], s["live"]) for s in found[i]] for name, i in at.items()}
+    assert facts == {"sample": [(25, 1, False)], "copied": [(1, 30, True)], "own": [(3, 2, True)], "shared": []}
+    assert found[at["copied"]][0]["end"] - found[at["copied"]][0]["start"] == 129
+    counts = {r["doc_id"]: (r["n_live"], r["n_example"], r["most_repositories"], r["most_owners"]) for r in secrets.report(df).collect()}
+    assert counts[at["sample"]] == (0, 1, 25, 1) and counts[at["own"]] == (1, 0, 3, 2) and counts[at["shared"]] == (0, 0, 0, 0)
+
+
+def test_secrets_by_a_named_repository(spark):
+    rows = [(i, "password=abcdefgh", f"o{i}", f"r{i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    assert {r["spans"][0]["live"] for r in secrets.scan(df).collect()} == {True}
+    assert {r["spans"][0]["live"] for r in secrets.scan(df, repository="repo").collect()} == {False}
 
 
 def test_secrets_odd(spark):
