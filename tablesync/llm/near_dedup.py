@@ -225,9 +225,14 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that name their class, one row of rows that repeat an id; rows without id stay. Columns as they were."""
-    groups = near_groups(docs, doc_id, text, k, percent)
-    kept = groups.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    named, (key,) = shielded(docs, doc_id)
-    rows = named.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("__kept"), "left_semi").dropDuplicates([key])
-    return rows.unionByName(named.where(F.col(key).isNull())).toDF(*docs.columns)
+    """One document of each class, that of the smallest id; rows without id stay. Columns as they were.
+
+    A document is an id with its text: of rows that repeat both one stays, and different texts under one id are
+    documents of their own, of which a unique one is never lost.
+    """
+    named, (key, body) = shielded(docs, doc_id, text)
+    named = named.withColumn("__document", F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("id"), F.xxhash64(body).alias("text"))))
+    groups = near_groups(named, "__document", body, k, percent)
+    kept = groups.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__document")).distinct()
+    rows = named.where("__document IS NOT NULL").join(kept, "__document", "left_semi").dropDuplicates(["__document"])
+    return rows.unionByName(named.where("__document IS NULL")).drop("__document").toDF(*docs.columns)

@@ -270,6 +270,13 @@ def test_one_of_each(spark):
     assert near_dedup.one_of_each(empty(spark)).count() == 0
 
 
+def test_one_of_each_keeps_unique_texts_of_a_repeated_id(spark):
+    long = [" ".join(f"{w}{i}" for i in range(40)) for w in "abc"]
+    rows = [(1, long[0]), (5, long[0] + " more"), (5, long[1]), (5, long[1]), (6, long[2]), (6, None), (6, ""), (None, long[0])]
+    kept = near_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(kept, "*") == sorted([(1, long[0]), (5, long[1]), (6, long[2]), (6, None), (6, ""), (None, long[0])], key=repr)
+
+
 # ---- secrets -----------------------------------------------------------------------------------------------------------
 
 

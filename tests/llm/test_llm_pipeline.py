@@ -20,7 +20,7 @@ def test_sql_twin(spark, name):
 
 def test_all_are_registered():
     assert set(REGISTRY) | {"pipeline"} <= set(queries()) and set(ORACLE) <= set(oracle_sql())
-    assert [int(n.split("_")[0][2:]) for n in REGISTRY] == list(range(1, 11))
+    assert [int(n.split("_")[0][2:]) for n in REGISTRY] == list(range(1, 14))
     assert [n for n, _ in cp.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "packing"]
 
 

@@ -1,0 +1,279 @@
+"""License scan, whitening and hard negatives against brute force."""
+
+import re
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from odd import ODD, documents, empty, lower
+from pyspark.sql import functions as F
+
+from tablesync.llm import hard_negatives, licenses, whitening
+from tablesync.llm.common import table
+from tablesync.llm.licenses import Template
+
+SF = "/root/testdata/sf0.001"
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def got(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+# ---- licenses ----------------------------------------------------------------------------------------------------------
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+
+
+def places(text):
+    words = words_of(text)
+    return words, [(i, t.label) for t in licenses.TEMPLATES if t.base for i in range(len(words)) if words[i : i + len(t.words)] == t.words]
+
+
+def base_rows(rows):
+    out = []
+    for d, t in rows:
+        words, found = places(t)
+        starts = [i for i, _ in found]
+        out.append((d, len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))))
+    return sorted(out, key=repr)
+
+
+LICENSED = [
+    (1, None), (2, ""), (3, " ... "), (4, "CC BY"), (5, "cc by cc-by CC\nBY by cc"), (6, "ccby, cc x by"), (7, "All Rights Reserved"),
+    (7, "GNU GENERAL PUBLIC LICENSE; general  public\tlicense general public general public license"), (8, "éall rights reserved all rightsé"),
+    (9, "all rights reserved " * 500), (10, "\x00cc\x00by\x7f"), (None, "cc by"), (11, "ſcc by ſ"), (12, "K cc BY K"),
+    (13, "CC BY"), (13, "CC BY"),
+]
+BASE = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+
+
+def test_base_phrases(spark):
+    df = licenses.report(*licenses.scan(spark.createDataFrame(LICENSED, "doc_id long, text string")))
+    assert got(df, *BASE) == base_rows(LICENSED)
+    assert all(r["score"] == (1.0 if r["n_base"] else 0.0) for r in df.collect())
+
+
+def test_license_odd_and_documents(spark):
+    small = table(spark, SF, "documents")
+    for df in (documents(spark, extra=True), small):
+        rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+        assert got(licenses.report(*licenses.scan(df)), *BASE) == base_rows(rows)
+    assert licenses.report(*licenses.scan(empty(spark))).count() == 0
+
+
+def test_edited_notices_are_found_by_neighbouring_diagonals(spark):
+    mit = next(t for t in licenses.TEMPLATES if t.label == "mit").words
+    apart = mit[:9] + ["inserted"] + mit[9:20] + mit[21:]
+    texts = {
+        "exact": mit, "inserted and left out": apart, "half": mit[: len(mit) // 2], "shuffled": sorted(mit), "twice": mit + ["x"] * 30 + apart,
+        "around": ["before"] * 50 + apart + ["after"] * 50, "two words replaced": mit[:5] + ["a"] + mit[6:17] + ["b"] + mit[18:],
+    }
+    df = spark.createDataFrame([(n, " ".join(w)) for n, w in texts.items()], "doc_id string, text string")
+    docs, placed = licenses.scan(df)
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.report(docs, placed).collect()}
+    assert {n for n, (labels, _) in found.items() if labels == "mit"} == set(texts) - {"half", "shuffled"}
+    assert found["exact"][1] == 1.0 and 0.8 <= found["inserted and left out"][1] < 1
+    spans = placed.join(docs, "row").where("NOT base").select("doc_id", "start", "end").collect()
+    at = {n: sorted((s["start"], s["end"]) for s in spans if s["doc_id"] == n) for n in texts}
+    assert at["exact"] == [(0, len(mit))] and at["around"] == [(50, 50 + len(apart))]
+    assert at["twice"] == [(0, len(mit)), (len(mit) + 30, len(mit) + 30 + len(apart))]
+
+
+def test_license_plan_is_native_and_shuffles_no_text(spark):
+    found = licenses.hits(documents(spark), licenses.TEMPLATES)
+    assert "text" not in found.columns and "words" not in found.columns
+    plan = licenses.report(*licenses.scan(documents(spark)))._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_templates_are_checked(spark):
+    for bad in ("one", "Cc by", "é a"):
+        with pytest.raises(ValueError):
+            licenses.template_grams(spark, [Template("x", bad)])
+
+
+# ---- whitening ---------------------------------------------------------------------------------------------------------
+
+
+def whitened(vectors, components=4):
+    """Whitening by an eigendecomposition: {vec_id index: [whitened...]} up to signs, with exact numbers."""
+    x = np.floor(256 * np.array(vectors, np.float64))
+    fit = np.unique(x, axis=0)
+    n, sums = len(fit), [sum(int(v) for v in column) for column in fit.T]
+    mean = fit.mean(axis=0)
+    values, vectors_ = np.linalg.eigh((fit - mean).T @ (fit - mean) / n)
+    order = np.argsort(-values)[:components]
+    values, parts = values[order], vectors_[:, order]
+    deviation = [sum((n * int(v) - s) ** 2 for v, s in zip(row, sums)) for row in x]
+    return n, deviation, (x - mean) @ parts / np.sqrt(values), values / ((fit - mean) ** 2).sum() * n, parts
+
+
+def compare_whitening(spark, vectors, components=4):
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    rows = whitening.whitened_embeddings(df, components).orderBy("vec_id", "component").collect()
+    n, deviation, want, explained, parts = whitened(vectors, components)
+    c = len(explained)
+    assert [(r["vec_id"], r["component"]) for r in rows] == [(i, j + 1) for i in range(len(vectors)) for j in range(c)]
+    assert all(r["n"] == n and r["deviation"] == deviation[r["vec_id"]] for r in rows)
+    found = np.array([r["whitened"] for r in rows]).reshape(-1, c)
+    signs = np.sign((found * want).sum(axis=0))
+    assert np.abs(found * signs - want).max() < 1e-9
+    assert np.abs(np.array([r["explained"] for r in rows]).reshape(-1, c) - explained).max() < 1e-12
+    assert len({r["identity_error"] for r in rows}) == 1 and rows[0]["identity_error"] < 1e-9
+
+
+@pytest.mark.parametrize("shape", [(40, 3), (300, 12), (9, 20)])
+def test_whitening(spark, shape):
+    rng = np.random.default_rng(shape[0])
+    base = rng.standard_normal(shape) * np.linspace(1, 3, shape[1])
+    vectors = np.concatenate([base, base[:5], base[:1]]).tolist()
+    compare_whitening(spark, vectors)
+
+
+def test_whitening_with_close_eigenvalues_and_a_constant_part(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((500, 6)) * [1, 1.0001, 1.0002, 1, 0, 1]
+    compare_whitening(spark, (base + [5, 0, 0, 0, 7, 0]).tolist())
+
+
+def test_whitening_embeddings(spark):
+    rows = table(spark, SF, "embeddings").collect()
+    compare_whitening(spark, [list(map(float, r["embedding"])) for r in sorted(rows, key=lambda r: r["vec_id"])])
+
+
+def test_whitening_goes_on_where_the_iteration_closes(spark):
+    # Equal deviations along four axes: from one start only one direction of that space is found.
+    axes = [[s * (i == j) for j in range(5)] for i in range(4) for s in (1.0, -1.0)] + [[0.0] * 4 + [s * 0.5] for s in (1, -1)]
+    df = spark.createDataFrame([(i, a, 0) for i, a in enumerate(axes)], "vec_id long, embedding array<double>, label int")
+    model = whitening.fit_whitening(whitening.scaled(df), 4)
+    assert np.allclose(model.eigenvalues, model.eigenvalues[0]) and len(model.eigenvalues) == 4 and model.identity_error < 1e-12
+    assert np.allclose(model.components.T @ model.components, np.eye(4))
+
+
+def test_whitening_defined_cases(spark):
+    def rows_of(some):
+        df = spark.createDataFrame(some, VECTORS).withColumn("n", F.lit("own")).withColumn("deviation", F.lit("own"))
+        return whitening.whitened_embeddings(df).collect()
+
+    nan, inf = float("nan"), float("inf")
+    odd = [(1, None, 0), (2, [1.0, None], 0), (3, [nan, 1.0], 0), (4, [inf, 0.0], 0), (5, [1.0], 0), (6, [], 0), (None, [0.5, 0.25], None)]
+    good = [(10, [1.0, 2.0], None), (10, [1.0, 2.0], None), (11, [3.0, 5.0], 1), (12, [-1.0, 0.5], 1)]
+    found = rows_of(odd + good)
+    assert sorted((str(r["vec_id"]), r["component"]) for r in found) == sorted((str(i), c) for i in (None, 10, 10, 11, 12) for c in (1, 2))
+    assert {r["n"] for r in found} == {4}
+    assert rows_of([]) == [] == rows_of([(1, [1.0, 2.0], 0), (2, [1.0, 2.0], 0)])  # nothing varies
+    line = rows_of([(i, [float(i), 2.0 * i], 0) for i in range(5)])
+    assert {r["component"] for r in line} == {1}  # one direction only
+
+
+def test_whitening_of_large_numbers(spark):
+    big = [(i, [float(i << 40), float(i % 3)], 0) for i in range(5)] + [(9, [1e300, 0.0], 0)]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>, label int")
+    found = whitening.whitened_embeddings(df).collect()
+    assert {r["vec_id"] for r in found} == set(range(5))
+    exact = {i: (5 * (i << 48) - 10 * (1 << 48)) ** 2 + (5 * (i % 3 * 256) - 4 * 256) ** 2 for i in range(5)}
+    assert all(r["deviation"] == (exact[r["vec_id"]] if exact[r["vec_id"]] < 1 << 63 else None) for r in found)
+
+
+# ---- hard negatives ----------------------------------------------------------------------------------------------------
+
+
+def mined(rows, positives=5, negatives=10, every=100):
+    """All hard negatives, every pair scored; rows as (vec_id, x, label)."""
+    out = []
+    for a, x, label in rows:
+        if a % every:
+            continue
+        scored = [(sum(int(p) * int(q) for p, q in zip(x, y)), i, other) for i, y, other in rows if i != a]
+        same = sorted(((-s, i) for s, i, o in scored if o == label))[:positives]
+        for minus, positive in same:
+            s = -minus
+            window = sorted((-n, i) for n, i, o in scored if o != label and 30 * s <= 100 * n <= 90 * s)[:negatives]
+            out += [(a, positive, rank, i, s, -n) for rank, (n, i) in enumerate(window, 1)]
+    return sorted(out)
+
+
+def frame(spark, vectors, labels, start=0):
+    rows = [(start + i, list(map(float, v)), int(label)) for i, (v, label) in enumerate(zip(vectors, labels))]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+
+
+def brute_rows(df):
+    return [(r["vec_id"], r["x"], r["label"]) for r in df.collect()]
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_negatives_on_random_vectors(spark, block):
+    rng = np.random.default_rng(4)
+    rows = hard_negatives.usable(frame(spark, rng.standard_normal((400, 8)) + 0.7, rng.integers(0, 4, 400)), F.col("label"))
+    df = hard_negatives.mine(rows, rows.where("vec_id % 20 = 0"), block_anchors=block)
+    assert got(df, "*") == sorted(mined(brute_rows(rows), every=20), key=repr)
+
+
+def test_bounds_skip_most_candidates_of_clusters(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((6, 16)) * 4
+    near = np.concatenate([c + 0.02 * rng.standard_normal((150, 16)) for c in centres])
+    order = rng.permutation(len(near))
+    rows = hard_negatives.usable(frame(spark, near[order], rng.integers(0, 3, len(near))), F.col("label"))
+    counts = [spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)]
+    df = hard_negatives.mine(rows, rows.where("vec_id % 9 = 0"), report=counts)
+    assert got(df, "*") == sorted(mined(brute_rows(rows), every=9), key=repr)
+    pairs, scored = (a.value for a in counts)
+    assert pairs == 2 * 900 * 100 and scored < pairs / 3
+
+
+def test_negatives_with_ties_and_copies(spark):
+    vectors = [[1, 2], [2, 1], [1, 2], [1, 2], [2, 2], [1, 1]] * 40
+    labels = [i % 3 for i in range(240)]
+    rows = hard_negatives.usable(frame(spark, vectors, labels), F.col("label"))
+    assert got(hard_negatives.mine(rows, rows.where("vec_id % 50 = 0")), "*") == sorted(mined(brute_rows(rows), every=50), key=repr)
+
+
+def test_negatives_of_negative_and_large_scores(spark):
+    for scale in (1.0, 2.0**18):  # the second needs whole numbers beyond those that doubles add exactly
+        rng = np.random.default_rng(6)
+        rows = hard_negatives.usable(frame(spark, (rng.standard_normal((120, 5)) - 0.2) * scale, rng.integers(0, 2, 120)), F.col("label"))
+        assert got(hard_negatives.mine(rows, rows.where("vec_id % 10 = 0")), "*") == sorted(mined(brute_rows(rows), every=10), key=repr)
+
+
+def test_negatives_defined_cases(spark):
+    nan, inf = float("nan"), float("inf")
+    odd = [(1, None, 0), (2, [1.0, None], 0), (3, [nan, 1.0], 0), (4, [inf, 0.0], 0), (5, [1.0], 0), (6, [], 0), (None, [1.0, 1.0], 0),
+           (7, [1.0, 1.0], None), (8, [1e300, 0.0], 0)]
+    good = [(0, [1.0, 1.0], 0), (10, [1.0, 0.9], 0), (11, [0.5, 0.5], 1), (11, [0.5, 0.5], 1), (100, [1.0, 1.0], 5)]
+    df = spark.createDataFrame(odd + good, "vec_id long, embedding array<double>, label int").withColumn("rank", F.lit("own"))
+    rows = hard_negatives.usable(df, F.col("label"))
+    assert sorted(r[0] for r in brute_rows(rows)) == [0, 10, 11, 100]
+    found = hard_negatives.mine(rows, rows.where("vec_id % 100 = 0"))
+    assert got(found, "*") == sorted(mined(brute_rows(rows)), key=repr) and got(found, "anchor_id", "positive_id", "negative_id") == [(0, 10, 11)]
+    none = hard_negatives.usable(df.limit(0), F.col("label"))
+    assert hard_negatives.mine(none, none).count() == 0 and hard_negatives.mine(rows, rows.limit(0)).count() == 0
+
+
+def test_spanning_tree_is_the_shortest():
+    rng = np.random.default_rng(7)
+    x = rng.integers(-50, 50, (40, 3))
+    order, parent, edge = hard_negatives.spanning_tree(x)
+    assert sorted(order) == list(range(40)) and all(parent[i] < i for i in range(1, 40)) and edge[0] == 0
+    apart = np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(axis=2))
+    assert np.allclose(edge[1:], [apart[order[i], order[parent[i]]] for i in range(1, 40)])
+    pairs, root, total = sorted((apart[i, j], i, j) for i in range(40) for j in range(i)), list(range(40)), 0.0
+    for d, i, j in pairs:  # Kruskal
+        if root[i] != root[j]:
+            total, old = total + d, root[i]
+            root = [root[j] if r == old else r for r in root]
+    assert np.isclose(edge.sum(), total)
+
+
+def test_whole_deviation_is_exact():
+    x = np.array([[3, -7], [1 << 40, 5]])
+    want = [sum((Fraction(11) * int(v) - s) ** 2 for v, s in zip(row, (4, -9))) for row in x]
+    assert whitening.deviations(x, 11, [4, -9]) == [int(w) if w < 1 << 63 else None for w in want]
+
+
+def test_odd_documents_have_words():
+    assert sum(len(words_of(t)) for _, t, *_ in ODD) > 1000
