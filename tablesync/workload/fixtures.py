@@ -157,3 +157,24 @@ def column_catalogues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
         base.where(k % 50 != 49).select("mapping_id", F.inline(src)),
         base.select("mapping_id", F.inline(dst)),
     )
+
+
+def feed_catalogues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mappings over seven databases, the databases (one is not enabled, one is missing), and the registered change tables.
+
+    Sources have none, one or two change tables; some are registered under names in another case.
+    """
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    database = F.concat(F.lit("db"), (k % 7).cast("string"))
+    maps = mappings(spark, sf_dir).withColumn("source_database", F.concat(F.lit("db"), ((F.col("mapping_id") - 1) % 7).cast("string")))
+    databases = c.where(k % 7 != 5).select(F.upper(database).alias("database_name"), (k % 7 != 3).alias("is_cdc_enabled")).distinct()
+    name = F.when(k % 4 == 0, F.upper("c_name")).otherwise(F.col("c_name"))
+    instances = F.when(k % 3 == 1, F.array(F.lit(1))).when(k % 3 == 2, F.array(F.lit(2), F.lit(1)))
+    tables = c.select(
+        database.alias("database_name"), F.lit("DBO").alias("schema_name"), name.alias("table_name"), F.explode(instances).alias("i"), "c_custkey"
+    ).select(
+        "database_name", "schema_name", "table_name", F.concat_ws("_", F.lit("dbo"), "table_name", "i", F.lit("CT")).alias("change_table"),
+        # The second instance of every other table is the older one.
+        F.when(k % 2 == 0, F.col("i")).otherwise(-F.col("i")).alias("registered_at"),
+    )
+    return maps, databases, tables

@@ -53,6 +53,22 @@ logs as (select event_id as log_id,
   case when event_type = 'click' then cast(event_id % 977 as int) end as duration_ms, ts as created_at from events)
 """
 
+#: Mappings over seven databases, what the databases say, and the registered change tables.
+REGISTRY = """
+  maps as (select mapping_id, flow_id, cdc_enabled, 'db' || (mapping_id - 1) % 7 as db, source_table from mappings),
+  dbs as (select distinct 'db' || c_custkey % 7 as db, c_custkey % 7 <> 3 as enabled from customer where c_custkey % 7 <> 5),
+  registered as (select 'db' || c_custkey % 7 as db, lower(c_name) as name,
+      'dbo_' || case when c_custkey % 4 = 0 then upper(c_name) else c_name end || '_' || i || '_CT' as change_table,
+      case when c_custkey % 2 = 0 then i else -i end as registered_at
+    from customer, (values (1), (2)) as v(i) where c_custkey % 3 >= i),
+  resolved as (select m.mapping_id, case when d.enabled then r.change_table end as change_table, coalesce(r.n, 0) as registrations,
+      case when coalesce(d.enabled, false) = false then 'database_not_enabled' when r.change_table is null then 'table_not_registered'
+        else 'resolved' end as resolution
+    from maps m left join dbs d on m.db = d.db left join (
+      select db, name, arg_min(change_table, registered_at) as change_table, count(*) as n from registered group by 1, 2) r
+    on m.db = r.db and lower(m.source_table) = r.name)
+"""
+
 PRICE = "coalesce(cast(cast(o_totalprice as decimal(38, 6)) as varchar), 'NULL')"
 DATE = "coalesce(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f'), 'NULL')"
 
@@ -322,6 +338,13 @@ ORACLE: dict[str, str] = {
     "stream_sync": _rep("select * from src"),
     "stream_sync_ops": _rep(APPLIED_SELECT, APPLIED),
     "enabled_mappings": _ctl("select mapping_id, flow_id, flow_name, source_table, dest_table, last_cdc_lsn from enabled"),
+    "resolve_feeds": _ctl("select * from resolved", REGISTRY),
+    "feed_warnings": _ctl("""select flow_id, mapping_id, 'CDC' as log_type, 'WARNING' as status, log_message from (
+        select *, case resolution when 'database_not_enabled' then 'No feed: capture is off in the database of ' || name
+          when 'table_not_registered' then 'No feed: no change table is registered for ' || name
+          else registrations || ' change tables are registered for ' || name || ', reading ' || change_table end as log_message
+        from (select *, db || '.dbo.' || source_table as name from maps join resolved using (mapping_id) where cdc_enabled)
+        where resolution <> 'resolved' or registrations > 1)""", REGISTRY),
     "route_mappings": _ctl("""select mapping_id, is_full_sync, cdc_enabled, case when is_full_sync and cdc_enabled
       then 'FULL_THEN_CDC' when is_full_sync then 'FULL' when cdc_enabled then 'CDC' else 'NONE' end as action
       from enabled"""),

@@ -23,6 +23,7 @@ from tablesync.operators import control as ct
 from tablesync.operators import keyed as kd
 from tablesync.operators import ledger as lg
 from tablesync.operators import reconcile as rc
+from tablesync.operators import registry as rg
 from tablesync.operators.ledger import LedgerRules
 from tablesync.operators import verify as vf
 from tablesync.plans.jobs import Endpoints, Options, SyncEngine
@@ -659,6 +660,18 @@ def generated_columns(spark, sf):
     return ct.generated_columns(fx.mappings(spark, sf), *fx.column_catalogues(spark, sf))
 
 
+@query
+def resolve_feeds(spark, sf):
+    """The change tables of all mappings from catalogue tables: none, one, or the first of two."""
+    return rg.resolve_feeds(*fx.feed_catalogues(spark, sf))
+
+
+@query
+def feed_warnings(spark, sf):
+    maps, databases, tables = fx.feed_catalogues(spark, sf)
+    return rg.feed_warnings(rg.resolve_feeds(maps, databases, tables), maps)
+
+
 @query
 def mappings_with_states(spark, sf):
     """The enabled mappings after a change sync of the first one: its position is the end of the feed."""
