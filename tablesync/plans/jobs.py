@@ -115,6 +115,13 @@ class GuardFailed(RuntimeError):
     """A data check failed; nothing was published."""
 
 
+def check_arrival(staged: Staged, arrived: int) -> bool:
+    """Whether as many rows arrived as were exported; an error if rows were exported and none arrived."""
+    if staged.fresh > 0 and arrived <= 0:
+        raise GuardFailed(f"{staged.fresh} rows exported, none imported")
+    return arrived == staged.fresh
+
+
 class SyncEngine:
     """Runs mappings. ``locate`` gives the endpoints of a mapping; credentials live there, not in control tables."""
 
@@ -275,9 +282,7 @@ class SyncEngine:
                 source = read_remote_by_keys(source, keys, mapping.key)
             staged = target.stage_replace(source, keys, stats=stats)
         arrived = target.staged_rows(staged) - staged.kept
-        if staged.fresh > 0 and arrived <= 0:
-            raise GuardFailed(f"{staged.fresh} rows exported, none imported")
-        if arrived != staged.fresh:
+        if not check_arrival(staged, arrived):
             say(WARNING, f"Row count mismatch, exported {staged.fresh}, imported {arrived}")
         if staged.keys == 0:
             say(WARNING, f"{changes} changes without a key value")

@@ -4,6 +4,11 @@ The change feed is a stream, the target a :class:`SnapshotTarget` (or, in replac
 stream and re-reads the current source rows, so neither order nor repetition of changes matters. ``ops`` mode takes the rows
 from the changes themselves and keeps the last applied position of every key (deletes included) in a second target, so
 changes that arrive late are dropped.
+
+At the boundary of a batch a stream looks whether a full sync of its table is requested. If so the batch waits, the full
+sync runs, and its position is handed over: changes up to there are part of the copy and are left out from then on. A batch is
+checked before it is published, as a pass of change sync is; what fails a check or the full sync stops the stream
+before the batch counts, so that a restart delivers it again.
 """
 
 from __future__ import annotations
@@ -14,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tablesync.functions.columns import quoted, resolve_key
-from tablesync.model import CDC, DEFAULT_FEED, SUCCESS, FeedNames, Key, key_list
+from tablesync.functions.columns import has_column, quoted, resolve_key
+from tablesync.model import CDC, DEFAULT_FEED, SUCCESS, WARNING, FeedNames, Key, Mapping, key_list
+from tablesync.operators.changes import lsn_window
 from tablesync.operators.keyed import latest_changes, measure_keys, read_by_keys
+from tablesync.plans.jobs import GuardFailed, SyncEngine, check_arrival
 from tablesync.sinks.control_store import ControlStore, utc_now
 from tablesync.sinks.files import stage, stage_keys
 from tablesync.sinks.jdbc import JdbcTarget
@@ -30,7 +37,15 @@ def replace_batch(
     """One micro-batch in replace mode. The key set is written first: the batch is read once."""
     with scratch(target.spark, "batch-keys") as folder:
         keys, stats = stage_keys(batch, key, folder, target.spark)
-        return target.replace_by_keys(source, keys, properties, stats)
+        return _published(target, target.stage_replace(source, keys, properties, stats))
+
+
+def _published(target: SnapshotTarget | JdbcTarget, staged: Staged) -> Staged:
+    """Check what the staged rows of a batch became, then publish them. A batch without a key publishes nothing."""
+    check_arrival(staged, target.staged_rows(staged) - staged.kept)
+    if staged.keys:
+        target.publish(staged)
+    return staged
 
 
 def newer_changes(latest: DataFrame, positions: DataFrame, key: Key, names: FeedNames = DEFAULT_FEED) -> DataFrame:
@@ -73,7 +88,7 @@ def ops_batch(
         latest = stage(latest_changes(batch, key, names), f"{folder}/latest", target.spark)
         if positions.exists():
             latest = stage(newer_changes(latest, known_positions(positions, latest), key, names), f"{folder}/newer", target.spark)
-        staged = target.apply_ops(latest, names, properties)
+        staged = _published(target, target.stage_ops(latest, names, properties))
         applied = latest.select(
             *[quoted(k) for k in keys],
             F.col(quoted(names.lsn)).alias("__lsn"),
@@ -97,15 +112,27 @@ def stream_sync(
     store: ControlStore | None = None,
     mapping_id: int | None = None,
     flow_id: int | None = None,
+    engine: SyncEngine | None = None,
+    mapping: Mapping | None = None,
 ) -> StreamingQuery:
     """Start the sync. ``trigger`` is a processing-time interval; None processes what is there and stops.
 
     Batches never overlap, and a long one delays the next. A batch is delivered at least once: its number is published
     together with its rows, and a batch that was published already is not applied a second time. The position to resume
     from is the stream checkpoint. Log rows are keyed by the batch.
+
+    With ``engine`` and ``mapping``, full syncs that are requested run between batches (see above), also the first one of a
+    target that does not exist yet; the store of the engine takes the log rows.
     """
     if mode not in ("replace", "ops"):
         raise ValueError(f"unknown mode {mode!r}")
+    for k in target.key:
+        if not has_column(feed_stream, k):
+            raise GuardFailed(f"Key column {k} is not in the change feed")
+    if engine is not None:
+        if mapping is None:
+            raise ValueError("an engine needs the mapping of the stream")
+        store, mapping_id, flow_id = engine.store, mapping.mapping_id, mapping.flow_id
     if mode == "ops":
         # Only batches of this stream read the positions, one at a time, so a few versions are enough.
         positions = SnapshotTarget(
@@ -120,16 +147,25 @@ def stream_sync(
         if done.get("stream") == stream and done.get("batch", -1) >= batch_id and mode == "replace":
             return
         properties = {"stream": stream, "batch": batch_id}
+        if engine is not None:
+            if engine.full_sync_requested(mapping):
+                result = engine.full_sync(mapping)
+                if result.status != SUCCESS:
+                    raise GuardFailed(f"Full sync before batch {batch_id} failed: {result.message}")
+            batch = lsn_window(batch, store.position(mapping_id), names=names)
         if mode == "replace":
             staged = replace_batch(target, source_reader(), batch, target.key, properties)
         else:
             staged = ops_batch(target, positions, batch, target.key, names, properties)
         if store is not None and mapping_id is not None:
             text = f"Batch {batch_id}: {staged.keys} keys, {staged.deleted} deleted, {staged.fresh} imported"
+            status = SUCCESS
+            if not staged.keys and not batch.isEmpty():
+                text, status = f"Batch {batch_id}: changes without a key value", WARNING
             store.append_logs(
                 [{
                     "flow_id": flow_id, "mapping_id": mapping_id, "log_type": CDC, "log_message": text,
-                    "status": SUCCESS, "records_count": staged.fresh,
+                    "status": status, "records_count": staged.fresh,
                 }],
                 run=f"stream-{mapping_id}-{batch_id}",
             )

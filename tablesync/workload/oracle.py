@@ -336,6 +336,7 @@ ORACLE: dict[str, str] = {
     "run_state": _rep("select 1 as mapping_id, max(start_lsn) as last_cdc_lsn, true as has_sync_time from chg"),
     "target_passes": _rep("select * from src"),
     "stream_sync": _rep("select * from src"),
+    "stream_sync_with_full_sync": _rep("select * from src"),
     "stream_sync_ops": _rep(APPLIED_SELECT, APPLIED),
     "enabled_mappings": _ctl("select mapping_id, flow_id, flow_name, source_table, dest_table, last_cdc_lsn from enabled"),
     "resolve_feeds": _ctl("select * from resolved", REGISTRY),

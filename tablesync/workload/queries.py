@@ -623,6 +623,24 @@ def stream_sync_ops(spark, sf):
     return _run_stream(spark, sf, "ops")
 
 
+@query
+def stream_sync_with_full_sync(spark, sf):
+    """A stream whose first batch finds a full sync requested: the copy is that of the middle of the feed, the stream goes on."""
+    r, target = fx.replication(spark, sf), _target(spark)
+    feed = fresh_folder(spark, "feed")
+    r.chg.repartitionByRange(4, "start_lsn").write.parquet(feed)
+    first = ch.lsn_window(r.chg, None, r.from_lsn, SHORT)
+    middle = stage(kd.replace_by_keys(r.dst, r.src, kd.changed_keys(first, KEY), KEY), fresh_folder(spark, "middle"))
+    ends = Endpoints(lambda: middle, lambda: first, target)
+    engine = SyncEngine(spark, ControlStore(spark, fresh_folder(spark, "control")), lambda mapping: ends, Options(feed_names=SHORT))
+    stream = spark.readStream.schema(r.chg.schema).option("maxFilesPerTrigger", 2).parquet(feed)
+    run = start_stream(
+        stream, lambda: r.src, target, fresh_folder(spark, "checkpoint"), trigger=None, names=SHORT, engine=engine, mapping=ORDERS
+    )
+    run.awaitTermination()
+    return target.read()
+
+
 # ---- control plane -----------------------------------------------------------------------------------------------
 
 

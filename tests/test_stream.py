@@ -2,9 +2,11 @@ import pytest
 
 from conftest import rows
 from tablesync.model import FeedNames
+from tablesync.plans.jobs import Endpoints, GuardFailed, Options, SyncEngine
 from tablesync.sinks.control_store import ControlStore
 from tablesync.sinks.snapshot import SnapshotTarget
 from tablesync.streaming import stream as sm
+from test_jobs import mapping
 
 NAMES = FeedNames("lsn", "seqval", "op")
 FEED = "lsn string, seqval string, op int, id int, v string"
@@ -140,3 +142,112 @@ def test_a_new_checkpoint_at_the_same_place_is_another_stream(spark, folder):
     flow.emit((1, 1, 4, 1, "new"))
     flow.run()
     assert flow.content() == {1: "new", 2: "b"}
+
+
+class Requested(Flow):
+    """A stream with an engine over the same tables: full syncs may be requested between its batches."""
+
+    def __init__(self, spark, folder, mode="replace", exists=True):
+        super().__init__(spark, folder, mode)
+        if not exists:
+            self.target = SnapshotTarget(spark, folder("none-yet"), "id", 2)
+        ends = Endpoints(self.source_table, self.batch_feed, self.target)
+        self.engine = SyncEngine(spark, self.store, lambda m: ends, Options(feed_names=NAMES))
+        self.mapping = mapping(is_full_sync=not exists)
+        self.upto = None  # the last position that a full sync sees in the feed; None: all
+
+    def batch_feed(self):
+        feed = self.spark.read.schema(FEED).parquet(self.feed)
+        return feed if self.upto is None else feed.where(feed["lsn"] <= f"{self.upto:020x}")
+
+    def run(self):
+        stream = self.spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(self.feed)
+        sm.stream_sync(
+            stream, self.source_table, self.target, self.checkpoint, self.mode, None, NAMES, engine=self.engine, mapping=self.mapping
+        ).awaitTermination()
+
+    def log(self):
+        return [(r["log_type"], r["status"]) for r in self.store.logs().orderBy("log_id").collect()]
+
+
+@pytest.mark.parametrize("mode", ["replace", "ops"])
+def test_a_requested_full_sync_runs_before_the_batch_and_hands_over_its_position(spark, folder, mode):
+    flow = Requested(spark, folder, mode, exists=False)
+    flow.upto, flow.source = 2, {1: "now", 3: "c"}
+    flow.emit((1, 1, 4, 1, "older than the copy"), (2, 1, 1, 2, "b"), (3, 1, 4, 3, "after the copy"))
+    if mode == "replace":
+        flow.source[3] = "after the copy"
+    flow.run()
+    assert flow.content() == {1: "now", 3: "after the copy"} and flow.store.position(1) == f"{2:020x}"
+    assert flow.log() == [("FULL_SYNC", "INFO"), ("FULL_SYNC", "SUCCESS"), ("CDC", "SUCCESS")]
+    flow.upto, flow.source = 4, {1: "all new"}
+    flow.engine.request_full_sync(1)
+    flow.emit((4, 1, 4, 1, "older again"))
+    flow.run()
+    assert flow.content() == {1: "all new"} and not flow.engine.full_sync_requested(flow.mapping)
+
+
+def test_a_failed_full_sync_stops_the_stream_before_its_batch(spark, folder):
+    flow = Requested(spark, folder, exists=False)
+    flow.emit((1, 1, 4, 1, "x"))
+    good, flow.source_table = flow.source_table, lambda: (_ for _ in ()).throw(OSError("no route"))
+    flow.engine.locate = lambda m: Endpoints(flow.source_table, flow.batch_feed, flow.target)
+    with pytest.raises(Exception, match="Full sync before batch 0 failed"):
+        flow.run()
+    assert not flow.target.exists() and flow.engine.full_sync_requested(flow.mapping)
+    flow.source_table = good
+    flow.run()
+    assert flow.content() == {1: "a", 2: "b"}
+
+
+def test_a_failure_after_the_full_sync_repeats_the_batch_only(spark, folder, monkeypatch):
+    flow = Requested(spark, folder, exists=False)
+    flow.upto = 0
+    flow.emit((1, 1, 4, 1, "a"))
+    plain = flow.target.stage_replace
+    with monkeypatch.context() as m:
+        m.setattr(flow.target, "stage_replace", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(Exception, match="lost"):
+            flow.run()
+    assert plain and flow.content() == {1: "a", 2: "b"} and not flow.engine.full_sync_requested(flow.mapping)
+    flow.source[1] = "aa"
+    flow.run()
+    assert flow.content() == {1: "aa", 2: "b"}
+    assert [s for t, s in flow.log() if t == "FULL_SYNC"] == ["INFO", "SUCCESS"]
+
+
+@pytest.mark.parametrize("mode", ["replace", "ops"])
+def test_rows_that_do_not_arrive_stop_the_stream(spark, folder, monkeypatch, mode):
+    flow = Requested(spark, folder, mode)
+    flow.source[1] = "x"
+    flow.emit((1, 1, 4, 1, "x"))
+    with monkeypatch.context() as m:
+        m.setattr(flow.target, "staged_rows", lambda staged: 0)
+        with pytest.raises(Exception, match="none imported"):
+            flow.run()
+    assert flow.content() == {1: "a", 2: "b"}
+    flow.run()
+    assert flow.content() == {1: "x", 2: "b"}
+
+
+def test_changes_without_a_key_are_a_warning(spark, folder):
+    flow = Requested(spark, folder)
+    flow.emit((1, 1, 4, None, "x"))
+    before = flow.target.manifest()[0]
+    flow.run()
+    assert flow.log() == [("CDC", "WARNING")] and flow.target.manifest()[0] == before
+    flow.source[1] = "y"
+    flow.emit((2, 1, 4, 1, "y"))
+    flow.run()
+    assert flow.content() == {1: "y", 2: "b"} and flow.log()[1:] == [("CDC", "SUCCESS")]
+
+
+def test_a_feed_without_the_key_is_refused(spark, folder):
+    flow = Flow(spark, folder, "replace")
+    flow.emit((1, 1, 4, 1, "x"))
+    stream = spark.readStream.schema(FEED).parquet(flow.feed).drop("id")
+    with pytest.raises(GuardFailed, match="id"):
+        sm.stream_sync(stream, flow.source_table, flow.target, flow.checkpoint, names=NAMES)
+    with pytest.raises(ValueError, match="mapping"):
+        sm.stream_sync(spark.readStream.schema(FEED).parquet(flow.feed), flow.source_table, flow.target, flow.checkpoint, names=NAMES,
+                       engine=SyncEngine(spark, flow.store, lambda m: None))
