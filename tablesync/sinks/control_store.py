@@ -8,12 +8,13 @@ from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesync.model import LOG_SCHEMA, STATE_SCHEMA
 from tablesync.sources.folders import Folder, VersionedDocument
 
 WRITER_BITS = 11
-_TIMES = ("last_cdc_sync_at", "last_full_sync_at", "last_connected_at")
 
 
 def utc_now() -> datetime:
@@ -51,15 +52,19 @@ class ControlStore:
         return merged
 
     def states(self) -> DataFrame:
-        """State of all mappings as a DataFrame (one row each)."""
-        rows = []
-        for name in Folder(self.spark, f"{self.root}/state").names():
-            if name.isdigit():
-                state = self.state(int(name))
-                times = {t: datetime.fromisoformat(state[t]) for t in _TIMES if t in state}
-                rows.append({"mapping_id": int(name), **state, **times})
-        values = [[r.get(f) for f in STATE_SCHEMA.fieldNames()] for r in rows]
-        return self.spark.createDataFrame(values, STATE_SCHEMA)
+        """State of all mappings as a DataFrame (one row each): one read of all documents, the last version of each counts."""
+        if not Folder(self.spark, f"{self.root}/state").names():
+            return self.spark.createDataFrame([], STATE_SCHEMA)
+        stored = T.StructType([f for f in STATE_SCHEMA.fields if f.name != "mapping_id"])
+        place = F.regexp_extract_all("file", F.lit(r"/(\d+)/(\d+)\.json$"), F.lit(1))
+        number = F.regexp_extract("file", r"/(\d+)\.json$", 1).cast("long")
+        documents = self.spark.read.schema(stored).options(
+            timestampFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", ignoreMissingFiles="true"  # old versions may go meanwhile
+        ).json(f"{self.root}/state/*/*.json").select("*", F.col("_metadata.file_path").alias("file"))
+        newest = documents.groupBy(place[0].cast("int").alias("mapping_id")).agg(
+            F.max_by(F.struct(*stored.fieldNames()), number).alias("s")
+        )
+        return newest.select("mapping_id", "s.*").select(*STATE_SCHEMA.fieldNames())
 
     def position(self, mapping_id: int) -> str | None:
         return self.state(mapping_id).get("last_cdc_lsn")

@@ -374,3 +374,4 @@ ORACLE: dict[str, str] = {
         from logs group by mapping_id, log_type) t
       left join mappings m on t.mapping_id = m.mapping_id"""),
 }
+ORACLE["sync_summary_incremental"] = ORACLE["sync_summary"]

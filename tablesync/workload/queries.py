@@ -32,6 +32,7 @@ from tablesync.sinks.files import cluster_by_key as clustered, stage, stage_keys
 from tablesync.sinks.snapshot import SnapshotTarget
 from tablesync.sources.folders import fresh_folder
 from tablesync.streaming.stream import stream_sync as start_stream
+from tablesync.streaming.summary import SummaryStore, summary_stream
 from tablesync.workload import fixtures as fx
 from tablesync.workload.fixtures import KEY, SHORT
 
@@ -725,3 +726,15 @@ def recent_errors(spark, sf):
 @query
 def sync_summary(spark, sf):
     return ct.sync_summary(fx.logs(spark, sf), fx.mappings(spark, sf))
+
+
+@query
+def sync_summary_incremental(spark, sf):
+    """The summary from a stream of the log in several batches, partials merged on the way."""
+    feed = fresh_folder(spark, "log")
+    logs = fx.logs(spark, sf)
+    logs.repartitionByRange(5, "log_id").write.parquet(feed)
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    store = SummaryStore(spark, fresh_folder(spark, "summary"), merge_every=3)
+    summary_stream(stream, store, fresh_folder(spark, "checkpoint"), trigger=None).awaitTermination()
+    return store.summary(fx.mappings(spark, sf))
