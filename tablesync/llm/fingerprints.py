@@ -1,8 +1,9 @@
 """SimHash fingerprints of documents, and all fingerprints within a Hamming radius by permuted block tables.
 
-Terms of a text are its words and pairs of neighbouring words. Every distinct term votes with the weight 1 + ln(count) on
-64 bits, for or against by the bits of its hash; the signs of the sums are the fingerprint. The likeness of two
-fingerprints is the share of equal bits.
+Terms of a text are its words and pairs of neighbouring words. Every distinct term votes on 64 bits, for or against by the bits
+of its hash, with the number of binary digits of its count as weight; the signs of the sums are the fingerprint. Weights are
+whole numbers and sums exact, so every machine finds the same fingerprint. The likeness of two fingerprints is the share of
+equal bits.
 
 A search cuts fingerprints into ``blocks`` blocks of bits. Two fingerprints within the radius agree in at least
 ``blocks - radius`` whole blocks, so one table for each choice of that many blocks, keyed by their bits, finds all of them;
@@ -10,7 +11,8 @@ what a table finds is compared in full. Equal fingerprints are one class through
 
 Defined cases: a null text is the empty text; texts without words have the fingerprint 0, and likeness 1 to each other;
 rows that repeat an id follow each other in the order of their texts; a row without id comes first; the only document
-of a table is its own next one; an empty table gives no rows.
+of a table is its own next one; an empty table gives no rows; a very long text votes a bounded number of terms at a time;
+other columns than id and text are not read. Ids are whole numbers, or texts of them.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def simhash(text: bytes) -> int:
     """Fingerprint as an unsigned number."""
     hashes = word_hashes(words(text))
     terms, counts = np.unique(np.concatenate([ngram_hashes(hashes, g, s) for s, g in enumerate(((0,), (0, 1)))]), return_counts=True)
-    weights, votes = (1 + np.log(counts)).astype(np.float32), np.zeros(BITS)
+    weights, votes = np.frexp(counts)[1].astype(np.float32), np.zeros(BITS)
     for at in range(0, len(terms), CHUNK):
         bits = np.unpackbits(terms[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         some = weights[at : at + CHUNK]
