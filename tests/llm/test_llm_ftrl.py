@@ -1,0 +1,90 @@
+"""FTRL-proximal against a version with dictionaries, one coordinate at a time."""
+
+import math
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from tablesync.llm import toxicity
+from tablesync.llm.common import mix, odd_numbers
+from tablesync.llm.toxicity import BITS, Ftrl, Model, Settings
+
+
+def slow_features(text):
+    """Distinct buckets of words, pairs, and pairs over one word, in plain numbers."""
+    hashes = [xxhash.xxh3_64_intdigest(w) for w in re.findall(r"[^\W_]+", text.lower())]
+    found = set()
+    for seed, gram in enumerate(((0,), (0, 1), (0, 2))):
+        factors = [int(x) for x in odd_numbers(len(gram), 7 + seed)]
+        for i in range(len(hashes) - gram[-1]):
+            total = (seed + sum(hashes[i + o] * f for o, f in zip(gram, factors, strict=True))) % 2**64
+            found.add(int(mix(np.array([total], np.uint64))[0]) >> (64 - BITS))
+    return found
+
+
+class SlowFtrl:
+    """Per-coordinate FTRL-proximal as published; the bias has no L1 penalty."""
+
+    def __init__(self, s):
+        self.s, self.z, self.n = s, defaultdict(float), defaultdict(float)
+
+    def weight(self, i):
+        l1 = 0 if i == "bias" else self.s.l1
+        z = self.z[i]
+        if abs(z) <= l1:
+            return 0.0
+        return -(z - math.copysign(l1, z)) / ((self.s.beta + math.sqrt(self.n[i])) / self.s.alpha + self.s.l2)
+
+    def margin(self, text):
+        return sum(self.weight(i) for i in [*slow_features(text), "bias"])
+
+    def learn(self, text, label):
+        weights = {i: self.weight(i) for i in [*slow_features(text), "bias"]}
+        g = 1 / (1 + math.exp(-max(-30, min(30, sum(weights.values()))))) - label
+        for i, w in weights.items():
+            sigma = (math.sqrt(self.n[i] + g * g) - math.sqrt(self.n[i])) / self.s.alpha
+            self.z[i] += g - sigma * w
+            self.n[i] += g * g
+
+
+def texts(seed, n):
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(40)] + ["Bad!", "worse", "worst_of"]
+    out = []
+    for _ in range(n):
+        chosen = rng.choice(words, rng.integers(0, 25))
+        out.append((" ".join(chosen), int(any("o" in w or w == "Bad!" for w in chosen))))
+    return out
+
+
+@pytest.mark.parametrize("settings", [Settings(), Settings(alpha=0.5, beta=0.1, l1=0.2, l2=0.0), Settings(l1=2.0, l2=3.0)])
+def test_weights_are_those_of_the_slow_version(settings):
+    fast, slow = Ftrl(settings), SlowFtrl(settings)
+    for text, label in [*texts(1, 250), ("", 1), ("one", 0), ("...", 1)]:
+        fast.learn(text, label)
+        slow.learn(text, label)
+    at, weights = fast.kept()
+    want = {(1 << BITS if i == "bias" else i): w for i in slow.z if (w := slow.weight(i))}
+    assert dict(zip(at.tolist(), weights.tolist())) == pytest.approx(want, rel=1e-9)
+    model = Model(at[at < 1 << BITS], weights[at < 1 << BITS], want[1 << BITS])
+    some = [t for t, _ in texts(2, 60)] + ["", "worse " * 2000]
+    assert model.scores(some) == pytest.approx([1 / (1 + math.exp(-max(-30, min(30, slow.margin(t))))) for t in some], rel=1e-4)
+
+
+def test_a_fit_in_spark_is_that_of_the_slow_version(spark):
+    rows = [(i, t, label) for i, (t, label) in enumerate(texts(3, 120))]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    settings = Settings(epochs=2, l1=0.5)
+    sample = toxicity.training_rows(docs, labels, "doc_id", "text", settings)
+    order = sample.selectExpr("__id", "text", "label", "explode(sequence(1, 2)) AS e").selectExpr("*", "xxhash64(__id, e) AS h")
+    slow = SlowFtrl(settings)
+    for r in sorted(order.collect(), key=lambda r: (r["e"], r["h"], r["__id"])):
+        slow.learn(r["text"], r["label"])
+    model = toxicity.fit(docs, labels, settings=settings)
+    want = {i: w for i in slow.z if i != "bias" and (w := slow.weight(i))}
+    assert dict(zip(model.buckets.tolist(), model.weights.tolist())) == pytest.approx(want, rel=1e-9)
+    assert model.bias == pytest.approx(slow.weight("bias"), rel=1e-9)
