@@ -11,9 +11,11 @@ import logging
 import threading
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -88,6 +90,9 @@ class Options:
     max_changes: int | None = None
     feed_names: FeedNames = DEFAULT_FEED
     float_scale: int | None = None
+    # Seconds that the jobs of one mapping may take in a run over mappings; then its Spark jobs are cancelled, no others.
+    # What the driver does without Spark is not interrupted.
+    time_limit: float | None = None
     # Snapshot targets: copy in so many chunks beside the change feed; a full sync that failed goes on at the next chunk
     chunks: int | None = None
     # Whole-table verification by set reconciliation (sets) or by bucket checksums (buckets)
@@ -134,6 +139,7 @@ class SyncEngine:
     ):
         self.spark, self.store, self.locate, self.options = spark, store, locate, options or Options()
         self._running: set[int] = set()
+        self._limits = threading.local()
         self._lock = threading.Lock()
 
     # ---- single jobs ---------------------------------------------------------------------------------------------
@@ -412,7 +418,55 @@ class SyncEngine:
 
     def _parallel(self, job, mappings: Iterable[Mapping]):
         with ThreadPoolExecutor(self.options.parallelism) as pool:
-            return list(pool.map(inheritable_thread_target(self.spark)(job), mappings))
+            # Wrapped one by one: what a wrapper hands on is one set of properties, which its threads would share.
+            started = [pool.submit(inheritable_thread_target(self.spark)(partial(self._by_itself, job)), m) for m in mappings]
+            return [s.result() for s in started]
+
+    def _by_itself(self, job, mapping: Mapping):
+        """Run the jobs of a mapping in a scheduler pool of its own, with one time limit for all of them.
+
+        Pools share the executors evenly where ``spark.scheduler.mode`` is FAIR, so a mapping with many tasks does not keep
+        the others waiting.
+        """
+        pool = "spark.scheduler.pool"
+        before = self.spark.sparkContext.getLocalProperty(pool)
+        self.spark.sparkContext.setLocalProperty(pool, f"mapping-{mapping.mapping_id}")
+        self._limits.end = time.monotonic() + self.options.time_limit if self.options.time_limit else None
+        try:
+            return job(mapping)
+        finally:
+            self._limits.end = None
+            self.spark.sparkContext.setLocalProperty(pool, before)
+
+    @contextmanager
+    def _limited(self) -> Iterator[threading.Event]:
+        """Cancel what this thread runs in Spark once the time of its mapping is over; tells whether that happened.
+
+        Spark jobs carry a tag of this run, by which they alone are cancelled. Those that the driver starts after the limit
+        are cancelled as well, until the block is left; log and state are written outside of it.
+        """
+        late, done, end = threading.Event(), threading.Event(), getattr(self._limits, "end", None)
+        if end is None:
+            yield late
+            return
+        context, tag = self.spark.sparkContext, f"tablesync-{uuid.uuid4().hex}"
+
+        def watch() -> None:
+            wait = max(end - time.monotonic(), 0)
+            while not done.wait(wait):
+                late.set()
+                context.cancelJobsWithTag(tag)
+                wait = 1.0
+
+        watcher = threading.Thread(target=watch, daemon=True)
+        context.addJobTag(tag)
+        try:
+            watcher.start()
+            yield late
+        finally:
+            done.set()
+            watcher.join()
+            context.removeJobTag(tag)
 
     # ---- bookkeeping ---------------------------------------------------------------------------------------------
 
@@ -449,11 +503,16 @@ class SyncEngine:
                 "records_count": records, "duration_ms": duration,
             })
 
+        late = threading.Event()
         try:
-            result = job(mapping, say)
+            with self._limited() as late:
+                result = job(mapping, say)
         except Exception as error:  # one mapping must not stop the others
             log.exception("%s of mapping %s failed", log_type, mapping.mapping_id)
-            result = RunResult(mapping.mapping_id, log_type, ERROR, f"{type(error).__name__}: {error}")
+            text = f"{type(error).__name__}: {error}"
+            if late.is_set():
+                text = f"Cancelled after the limit of {self.options.time_limit:g} seconds"
+            result = RunResult(mapping.mapping_id, log_type, ERROR, text)
         took = int((time.monotonic() - begun) * 1000)
         say(result.status, result.message, result.records, took)
         self.store.append_logs(rows)
