@@ -26,7 +26,7 @@ def lsn_text(feed: DataFrame, names: FeedNames = DEFAULT_FEED) -> Column:
     return to_hex(c) if _is_binary(feed, names) else c
 
 
-def _as_stored(feed: DataFrame, position: Position, names: FeedNames) -> Column:
+def as_stored(feed: DataFrame, position: Position, names: FeedNames) -> Column:
     """A hex position in the type of the feed column: the comparison stays a plain one that reaches the scan.
 
     A position of a text feed must have the spelling of the feed (case, prefix), as those that :func:`lsn_text` returns.
@@ -45,9 +45,9 @@ def lsn_window(
     """Changes strictly after ``from_lsn`` and, if given, up to and including ``to_lsn``."""
     lsn = F.col(quoted(names.lsn))
     if from_lsn is not None:
-        changes = changes.where(lsn > _as_stored(changes, from_lsn, names))
+        changes = changes.where(lsn > as_stored(changes, from_lsn, names))
     if to_lsn is not None:
-        changes = changes.where(lsn <= _as_stored(changes, to_lsn, names))
+        changes = changes.where(lsn <= as_stored(changes, to_lsn, names))
     return changes
 
 

@@ -150,7 +150,7 @@ class SyncEngine:
 
     def _full_sync(self, mapping: Mapping, say) -> RunResult:
         ends, names = self.locate(mapping), self.options.feed_names
-        say(INFO, "Full sync started")
+        say(INFO, "Copying the whole table")
         served, frozen = self._request(mapping), None
         if mapping.cdc_enabled:
             feed = ends.feed()
@@ -166,7 +166,7 @@ class SyncEngine:
         if self.options.in_place and isinstance(target, JdbcTarget):
             exported, arrived = target.truncate_and_load(rows), target.read().count()
             if exported != arrived:
-                say(WARNING, f"Row count mismatch, exported {exported}, imported {arrived}")
+                say(WARNING, f"{exported} rows were read, but the target holds {arrived}")
             return self._published(mapping, target, None, arrived, frozen, served, say)
         staged = target.stage_overwrite(rows)
         return self._published(mapping, target, staged, target.staged_rows(staged), frozen, served, say)
@@ -177,7 +177,7 @@ class SyncEngine:
         old = target.read() if target.exists() else None
         failed = [c for c in schema_checks(source, old, mapping.key) if not c.ok]
         if failed:
-            raise GuardFailed(f"Schema validation failed: {[(c.check, c.column) for c in failed]}")
+            raise GuardFailed(f"Schema checks not passed: {[(c.check, c.column) for c in failed]}")
         # Only a database numbers identity columns itself; files must get the values of the source.
         numbered = old if isinstance(target, JdbcTarget) else None
         rows = project_full_sync(source, numbered, mapping.key)
@@ -224,14 +224,14 @@ class SyncEngine:
         """Check the counts, publish the staged version (None: loaded in place) and store position and flags."""
         exported = staged.fresh if staged else arrived
         if exported > 0 and arrived != exported:
-            say(WARNING, f"Row count mismatch, exported {exported}, imported {arrived}")
+            say(WARNING, f"{exported} rows were read, but the target holds {arrived}")
         if staged:
             target.publish(staged)
         now, still = utc_now(), None if self._request(mapping) != served else False
         self.store.update(
             mapping.mapping_id, is_full_sync=still, last_cdc_lsn=frozen, last_full_sync_at=now, last_connected_at=now, snapshot={}
         )
-        return self._done(mapping, FULL_SYNC, f"Full sync completed, {arrived} records transferred", records=arrived)
+        return self._done(mapping, FULL_SYNC, f"Copied the whole table: {arrived} rows", records=arrived)
 
     def cdc_sync(self, mapping: Mapping) -> RunResult:
         """Bring the keys that changed since the stored position up to date."""
@@ -289,7 +289,7 @@ class SyncEngine:
             staged = target.stage_replace(source, keys, stats=stats)
         arrived = target.staged_rows(staged) - staged.kept
         if not check_arrival(staged, arrived):
-            say(WARNING, f"Row count mismatch, exported {staged.fresh}, imported {arrived}")
+            say(WARNING, f"{staged.fresh} rows were read, but the target holds {arrived}")
         if staged.keys == 0:
             say(WARNING, f"{changes} changes without a key value")
         else:

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tablesync.functions.columns import has_column, quoted, resolve_key
 from tablesync.model import CDC, DEFAULT_FEED, SUCCESS, WARNING, FeedNames, Key, Mapping, key_list
-from tablesync.operators.changes import lsn_window
+from tablesync.operators.changes import as_stored, lsn_window
 from tablesync.operators.keyed import latest_changes, measure_keys, read_by_keys
 from tablesync.plans.jobs import GuardFailed, SyncEngine, check_arrival
 from tablesync.sinks.control_store import ControlStore, utc_now
@@ -101,6 +101,19 @@ def ops_batch(
         return staged
 
 
+def expire_positions(positions: SnapshotTarget, horizon: str) -> int:
+    """Forget the positions of keys whose last change lies before the horizon; returns how many were forgotten.
+
+    The table is written anew without them, in one pass, and only if there are any.
+    """
+    known = positions.read()
+    old = F.col("__lsn") < (F.unhex(F.lit(horizon)) if dict(known.dtypes)["__lsn"] == "binary" else F.lit(horizon))
+    gone = known.where(old).count()
+    if gone:
+        positions.overwrite(known.where(~old))
+    return gone
+
+
 def stream_sync(
     feed_stream: DataFrame,
     source_reader: Callable[[], DataFrame],
@@ -114,6 +127,8 @@ def stream_sync(
     flow_id: int | None = None,
     engine: SyncEngine | None = None,
     mapping: Mapping | None = None,
+    horizon: Callable[[], str | None] | None = None,
+    expire_every: int = 50,
 ) -> StreamingQuery:
     """Start the sync. ``trigger`` is a processing-time interval; None processes what is there and stops.
 
@@ -121,6 +136,10 @@ def stream_sync(
     together with its rows, and a batch that was published already is not applied a second time. The position to resume
     from is the stream checkpoint. Log rows are keyed by the batch.
 
+    In ops mode ``horizon`` gives the position before which no change can arrive any more, the low position of the feed say.
+    Changes before it are left out, as the positions of their keys may be forgotten: every ``expire_every`` batches those
+    before the horizon are, deletes included, so what is kept is bounded by the keys that changed since.
+
     With ``engine`` and ``mapping``, full syncs that are requested run between batches (see above), also the first one of a
     target that does not exist yet; the store of the engine takes the log rows.
     """
@@ -153,10 +172,16 @@ def stream_sync(
                 if result.status != SUCCESS:
                     raise GuardFailed(f"Full sync before batch {batch_id} failed: {result.message}")
             batch = lsn_window(batch, store.position(mapping_id), names=names)
+        low = horizon() if horizon is not None and mode == "ops" else None
+        if low is not None:
+            batch = batch.where(F.col(quoted(names.lsn)) >= as_stored(batch, low, names))
         if mode == "replace":
             staged = replace_batch(target, source_reader(), batch, target.key, properties)
         else:
             staged = ops_batch(target, positions, batch, target.key, names, properties)
+            # After the target and the positions of this batch are published: a repetition finds the same rows to forget.
+            if low is not None and (batch_id + 1) % expire_every == 0:
+                expire_positions(positions, low)
         if store is not None and mapping_id is not None:
             text = f"Batch {batch_id}: {staged.keys} keys, {staged.deleted} deleted, {staged.fresh} imported"
             status = SUCCESS

@@ -100,7 +100,7 @@ def test_log_rows(world):
         ("FULL_SYNC", INFO, None), ("FULL_SYNC", SUCCESS, 2), ("CDC", SUCCESS, 0),
     ]
     assert entries[1]["log_message"] == (
-        "Flow 'f': Table mapping 't' (s.dbo.t -> d.dbo.t2) - Full sync completed, 2 records transferred"
+        "Flow 'f': Table mapping 't' (s.dbo.t -> d.dbo.t2) - Copied the whole table: 2 rows"
     )
     assert entries[1]["duration_ms"] > 0 and entries[0]["flow_id"] == 7
 

@@ -251,3 +251,53 @@ def test_a_feed_without_the_key_is_refused(spark, folder):
     with pytest.raises(ValueError, match="mapping"):
         sm.stream_sync(spark.readStream.schema(FEED).parquet(flow.feed), flow.source_table, flow.target, flow.checkpoint, names=NAMES,
                        engine=SyncEngine(spark, flow.store, lambda m: None))
+
+
+class Expiring(Flow):
+    """A stream in ops mode whose feed has a low position."""
+
+    low = None
+
+    def run(self):
+        stream = self.spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(self.feed)
+        sm.stream_sync(
+            stream, self.source_table, self.target, self.checkpoint, "ops", None, NAMES,
+            horizon=lambda: self.low and f"{self.low:020x}", expire_every=2,
+        ).awaitTermination()
+
+    def positions(self):
+        known = SnapshotTarget(self.spark, f"{self.target.root}/positions", "id", 2).read()
+        return {r["id"]: int(r["__lsn"], 16) for r in known.collect()}
+
+
+def test_positions_before_the_horizon_are_forgotten(spark, folder):
+    flow = Expiring(spark, folder, "ops")
+    flow.emit((5, 1, 4, 1, "five"), (5, 2, 1, 2, "b"), (9, 1, 2, 3, "c"))
+    flow.run()
+    assert flow.positions() == {1: 5, 2: 5, 3: 9} and flow.content() == {1: "five", 3: "c"}
+    flow.low = 7
+    # Late ones inside the horizon are dropped by position, those before it in any case, also of keys never seen.
+    flow.emit((8, 1, 4, 3, "late"), (6, 1, 2, 2, "before"), (4, 1, 2, 7, "before"), (7, 1, 4, 4, "at the horizon"), (12, 1, 4, 5, "new"))
+    flow.run()
+    assert flow.content() == {1: "five", 3: "c", 4: "at the horizon", 5: "new"}
+    assert flow.positions() == {3: 9, 4: 7, 5: 12}  # batch 1 is the second one
+    flow.low = 11
+    flow.emit((11, 1, 1, 1, "five"))
+    flow.emit((13, 1, 2, 2, "again"))
+    flow.run()
+    assert flow.content() == {2: "again", 3: "c", 4: "at the horizon", 5: "new"}
+    assert flow.positions() == {1: 11, 2: 13, 5: 12}
+
+
+def test_expiry_that_failed_is_made_up_for(spark, folder, monkeypatch):
+    flow = Expiring(spark, folder, "ops")
+    flow.emit((5, 1, 4, 1, "five"))
+    flow.emit((9, 1, 4, 2, "nine"))
+    flow.low = 5
+    with monkeypatch.context() as m:
+        m.setattr(sm, "expire_positions", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(Exception, match="lost"):
+            flow.run()
+    flow.low = 6
+    flow.run()  # the second batch again
+    assert flow.content() == {1: "five", 2: "nine"} and flow.positions() == {2: 9}
