@@ -129,9 +129,9 @@ class SnapshotTarget:
         if kept is None or kept[1] != self.ledger_rules:
             self._write_ledger(new, [bucket_sums(self._table(new, range(new["buckets"])), self.key, self.ledger_rules)])
             return
-        touched, parts = self._touched(keys, old["buckets"]), [kept[0]]
+        holding, parts = self._holding(keys, stats, old["buckets"]), [kept[0]]
         for document, sign in ((old, -1), (new, 1)):
-            rows = read_by_keys(self._table(document, touched), keys, self.key, small, not small, stats)
+            rows = read_by_keys(self._table(document, holding), keys, self.key, small, not small, stats)
             parts.append(bucket_sums(rows, self.key, self.ledger_rules, sign))
         self._write_ledger(new, parts)
 
@@ -197,6 +197,10 @@ class SnapshotTarget:
         """The buckets of some keys: at most as many numbers as there are buckets."""
         return sorted(r[0] for r in keys.select(self._bucket(keys, buckets)).distinct().collect())
 
+    def _holding(self, keys: DataFrame, stats: KeyStats, buckets: int) -> Iterable[int]:
+        """Buckets to look for some keys in: those of the keys, or all where so many keys leave hardly one out."""
+        return range(buckets) if stats.keys >= 3 * buckets else self._touched(keys, buckets)
+
     def _aligned(self, buckets: int) -> bool:
         """Whether a task of a shuffle by key holds rows of few buckets only, and needs no second shuffle to write."""
         initial = self.spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
@@ -345,7 +349,7 @@ class SnapshotTarget:
         small = stats.fits(self.broadcast_bytes)
         deleted = None
         if self.count_deleted:
-            have = self._table(document, self._touched(keys, document["buckets"]))
+            have = self._table(document, self._holding(keys, stats, document["buckets"]))
             have = have.select(*[quoted(f.name) for f in self._key_fields()])
             deleted = read_by_keys(have, keys, self.key, small, not small, stats).count()
         fresh = fresh_rows(self.schema(), stats)
