@@ -148,6 +148,15 @@ def sync_summary(logs: DataFrame, mappings: DataFrame) -> DataFrame:
     return per_type.join(mappings.select("mapping_id", "source_table", "dest_table"), "mapping_id", "left")
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that goes by shuffle whatever its estimate.
+
+    Catalogues hold many rows a mapping, often made by an explode, and compress very well: Catalyst takes millions of them for
+    few megabytes and would broadcast them all to every executor. The sorts of a merge join hold one partition, and spill.
+    """
+    return df.hint("merge")
+
+
 def generated_columns(mappings: DataFrame, src_columns: DataFrame, dst_columns: DataFrame) -> DataFrame:
     """Destination columns of many mappings with how they are treated, from column catalogues.
 
@@ -181,7 +190,7 @@ def validate_mappings(mappings: DataFrame, src_columns: DataFrame, dst_columns:
     src = src_columns.select("mapping_id", F.lower("column_name").alias("name"), F.col("generated").alias("src_generated"))
     base = mappings.select("mapping_id", "primary_key_column", F.lower("primary_key_column").alias("key_name"))
     per_mapping = (
-        base.join(src.withColumn("found", F.lit(True)), "mapping_id", "left")
+        base.join(_shuffled(src.withColumn("found", F.lit(True))), "mapping_id", "left")
         .groupBy("mapping_id", "primary_key_column")
         .agg(
             F.count("found").alias("columns"),
@@ -200,10 +209,10 @@ def validate_mappings(mappings: DataFrame, src_columns: DataFrame, dst_columns:
     ))).where("show").drop("show")
     known = src.select("mapping_id").distinct()
     columns = (
-        dst_columns.join(mappings.select("mapping_id"), "mapping_id", "left_semi")
-        .join(known, "mapping_id", "left_semi")
+        dst_columns.join(_shuffled(mappings.select("mapping_id")), "mapping_id", "left_semi")
+        .join(_shuffled(known), "mapping_id", "left_semi")
         .select("mapping_id", F.col("column_name").alias("column"), F.lower("column_name").alias("name"), "generated")
-        .join(src.withColumn("ok", F.lit(True)), ["mapping_id", "name"], "left")
+        .join(_shuffled(src.withColumn("ok", F.lit(True))), ["mapping_id", "name"], "left")
         .where(F.col("generated").isNull() & F.col("src_generated").isNull())
         .select("mapping_id", F.lit("column_in_source").alias("check"), "column",
                 F.coalesce("ok", F.lit(False)).alias("ok"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import SMOKE_DIR, queries
 from tablesync.model import FeedNames
 from tablesync.operators import changes as ch
+from tablesync.operators import control as ct
 from tablesync.operators import keyed as kd
 from tablesync.operators import verify as vf
 from tablesync.sinks.files import stage_keys
@@ -147,3 +148,29 @@ def test_hot_key_of_a_table_is_split_in_the_join(spark, how):
     finally:
         for name in options:
             spark.conf.unset(name)
+
+
+def _catalogues(spark, tmp_path):
+    """Mappings and column catalogues exploded from one small stored table, which is estimated far below its rows."""
+    path = str(tmp_path / "mappings")
+    spark.range(100).select(
+        F.col("id").cast("int").alias("mapping_id"), F.lit("id").alias("primary_key_column")
+    ).write.parquet(path)
+    mappings = spark.read.parquet(path)
+    columns = mappings.select(
+        "mapping_id", F.explode(F.array(*[F.lit(c) for c in ("id", "a", "b")])).alias("column_name"),
+        F.lit(None).cast("string").alias("generated"),
+    )
+    return mappings, columns, columns
+
+
+def _joins_by_shuffle(df, joins):
+    text = plan(df)
+    assert "Broadcast" not in text and "ShuffledHashJoin" not in text
+    assert text.count("SortMergeJoin") == joins
+
+
+def test_validation_of_mappings_broadcasts_no_catalogue(spark, tmp_path):
+    out = ct.validate_mappings(*_catalogues(spark, tmp_path))
+    _joins_by_shuffle(out, 4)
+    assert out.where("ok").count() == 500
