@@ -173,7 +173,8 @@ def generated_columns(mappings: DataFrame, src_columns: DataFrame, dst_columns:
     )
     keys = mappings.select("mapping_id", F.lower("primary_key_column").alias("key_name"))
     numbered = F.coalesce(F.col("dst_generated") == IDENTITY, F.lit(False)) & (F.col("name") != F.col("key_name"))
-    return dst.join(keys, "mapping_id").join(src, ["mapping_id", "name"], "left").select(
+    known = dst.join(_shuffled(keys), "mapping_id")
+    return known.join(_shuffled(src), ["mapping_id", "name"], "left").select(
         "mapping_id", "column", "src_generated", "dst_generated",
         (F.col("src_generated").isNull() & F.col("dst_generated").isNull()).alias("compared"),
         (F.coalesce("there", F.lit(False)) & ~numbered).alias("exported"),

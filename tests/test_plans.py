@@ -170,6 +170,12 @@ def _joins_by_shuffle(df, joins):
     assert text.count("SortMergeJoin") == joins
 
 
+def test_generated_columns_broadcast_no_catalogue(spark, tmp_path):
+    out = ct.generated_columns(*_catalogues(spark, tmp_path))
+    _joins_by_shuffle(out, 2)
+    assert out.where("compared and exported").count() == 300
+
+
 def test_validation_of_mappings_broadcasts_no_catalogue(spark, tmp_path):
     out = ct.validate_mappings(*_catalogues(spark, tmp_path))
     _joins_by_shuffle(out, 4)
